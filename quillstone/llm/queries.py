@@ -96,13 +96,16 @@ FROM v JOIN comp ON comp.a = v.vec_id LEFT JOIN deg ON deg.a = v.vec_id
 
 OP4_SQL = """
 WITH crc AS (
-  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
 ), d AS (
   SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(text, '')) AS k FROM documents
+), bytes AS (
+  SELECT t AS text, hex(encode(t)) AS h, octet_length(encode(t)) AS n FROM (SELECT DISTINCT t FROM d)
+), codes AS (
+  SELECT text, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM bytes
 ), sums AS (
-  SELECT t AS text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::BIGINT)),
-         lambda c, b: xor(c >> 8, (SELECT t FROM crc)[(xor(c, b) & 255) + 1])), 4294967295) AS crc
-  FROM (SELECT DISTINCT t FROM d)
+  SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM codes, crc
 ), o AS (
   SELECT doc_id, t, size, sum(size) OVER w - size AS before, row_number() OVER w AS i, sum(size) OVER () AS total
   FROM d WINDOW w AS (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING)
