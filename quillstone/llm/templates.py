@@ -239,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     enough = met.where(F.col("met") >= F.col("n") * least - 1e-9)
     named = benchmark.select(F.col("item_id").cast("long").alias("i2"), F.col("text").alias("item"), F.xxhash64("text").alias("v2")).distinct()
     pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2"))).select("row", "item_id", "item", "width")
-    pairs = pairs.join(hits.select("row", "doc_id", "text"), "row").select("doc_id", "item_id", "width", "item", "text")
+    pairs = pairs.join(hits.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").select("doc_id", "item_id", "width", "item", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_windows", "n_matched", "similarity", "first_word", "last_word"]
