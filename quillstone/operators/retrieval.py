@@ -7,9 +7,12 @@ vectors are taken in blocks.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,11 +196,15 @@ def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, run: st
 
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """Deterministic stand-in for an encoder: counts of tokens by hash bucket."""
-    buckets = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    # the array around buckets binds them once
-    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))
-    return F.get(F.transform(F.array(buckets), count), F.lit(0))
+    """Deterministic stand-in for an encoder: counts of tokens by hash bucket, in Arrow batches as a real encoder would run."""
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        find = re.compile(r"\w{2,}").findall
+        buckets = ([zlib.crc32(t.encode()) % dims for t in find((x or "").lower())] for x in texts)
+        return pd.Series([np.bincount(np.array(b, np.int64), minlength=dims).astype(float) for b in buckets])
+
+    return encode(text)
 
 
 def phrase_hits(hits: DataFrame, texts: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import l2_normalize
 from quillstone.operators import ranking
 from quillstone.operators.retrieval import BM25Index, hashed_vector, knn
 from quillstone.plans.registry import register
@@ -38,7 +37,7 @@ class DenseIndexer:
         self.encode = encode
 
     def build(self, chunks: DataFrame) -> DenseIndexer:
-        self.vectors = chunks.select("chunk_id", "doc_id", l2_normalize(self.encode(F.col("text"))).alias("vector"))
+        self.vectors = chunks.select("chunk_id", "doc_id", self.encode(F.col("text")).alias("vector"))
         return self
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
