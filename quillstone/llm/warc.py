@@ -57,15 +57,17 @@ def captures_of(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     base = base.withColumn("id", record_id("response", F.col("page_id"), F.col("url"), F.col("digest")))
-    best = base.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max(F.struct("page_id", "id")).alias("best"))
+    best = base.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max(F.struct("page_id", "id")).alias("best"), F.count("*").alias("copies"))
+    # as a table its size is known, and payloads need not be shuffled where repeated ones are few
+    best = cut_table(best.where("copies > 1").select("digest", "n", "best"), "repeated")
     joined = base.join(best, ["digest", "n"], "left")
     refers = F.when(F.col("page_id") < F.col("best.page_id"), F.col("best.id"))
     refers = F.when(F.col("page_id").isNull() & (F.col("id") != F.col("best.id")), F.col("best.id")).otherwise(refers)
     return joined.select("page_id", "url", "payload", "digest", "id", refers.alias("refers_to"))
 
 
-def write_archive(captures: DataFrame, path: str, total_bytes: int, file_bytes: int = FILE_BYTES) -> None:
-    """Writes the three records of each capture; files hold about file_bytes."""
+def write_archive(captures: DataFrame, path: str, mean_bytes: int, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the three records of each capture, gzipped; files hold about file_bytes for captures of mean_bytes."""
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     response = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(""))
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
@@ -79,7 +81,7 @@ def write_archive(captures: DataFrame, path: str, total_bytes: int, file_bytes:
     # the sink ends each row with \n, the last byte of the last record
     text = F.concat(first, request, metadata)
     rows = captures.select(F.substring(text, F.lit(1), F.length(text) - 1).alias("value"))
-    rows.repartition(max(1, -(-total_bytes // file_bytes))).write.text(path, lineSep="\n")
+    rows.write.option("maxRecordsPerFile", max(1, file_bytes // max(1, mean_bytes))).text(path, compression="gzip", lineSep="\n")
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
@@ -173,10 +175,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives and reads them back: a row per capture with page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     captures = captures_of(pages)
-    total = pages.agg(F.sum(F.octet_length("html") + 1000)).first()[0] or 0
+    mean = int(pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 1000)).first()[0] or 1)
     path = scratch_path(spark, "warc")
-    write_archive(captures, path, total)
-    records = cut_table(read_archive(spark, path), "records")
+    write_archive(captures, path, mean)
+    # lengths and digests are the payloads' own; of the payloads only the metadata's are looked into again
+    small = F.when(F.col("type") == "metadata", F.col("payload")).alias("payload")
+    read = read_archive(spark, path)
+    records = cut_table(read.select(*(small if c == "payload" else F.col(c) for c in read.columns)), "records")
     remove_path(spark, path)
     page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "UTF-8"), "(?m)^page_id: (-?[0-9]+)", 1)
     rows = cut(assemble(records).select("record_id", F.when(page != "", page).cast("long").alias("page_id"), "type", "refers_to", "payload_bytes", "payload_digest"))
