@@ -21,21 +21,24 @@ that repeat it count as copies; null vec_ids are left out; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytesops as B
 from .graph import components
 from .grouping import map_groups
 from .runtime import cut
 
 COSINE, BLOCK, GRID = 0.95, 16, 2
-CHUNK = 3000
+CHUNK = 20_000
 SLACK = 1e-7
 
 
+@lru_cache(maxsize=8)
 def rotation(dims: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(12345).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
@@ -49,7 +52,16 @@ def blocks_of(dims: int, width: int = BLOCK) -> list[tuple[int, int]]:
 
 def unpack(packed: pa.Array, dims: int) -> np.ndarray:
     """Rows of doubles from vectors packed as floats or doubles."""
-    return np.stack([np.frombuffer(x.as_buffer(), np.float32 if len(x.as_buffer()) == 4 * dims else np.float64).astype(np.float64) for x in packed])
+    data, offsets = B.flat(packed)
+    single = np.diff(offsets) == 4 * dims
+    out = np.empty((len(single), dims))
+    for narrow, kind in ((True, np.float32), (False, np.float64)):
+        rows = np.flatnonzero(single == narrow)
+        if len(rows) == len(single):
+            return data.view(kind).reshape(-1, dims).astype(np.float64)
+        if len(rows):
+            out[rows] = np.frombuffer(b"".join(data[offsets[r] : offsets[r + 1]].tobytes() for r in rows), kind).reshape(-1, dims)
+    return out
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -90,12 +102,13 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def join_cell(group: pa.Table, cosine: float, width: int) -> pa.RecordBatch | None:
     """Link counts and a spanning forest of one chunk pair of a cell: rows (vec, links, root)."""
     ids = group.column("vec").to_numpy()
-    home = np.array(group.column("home").to_pylist(), bool)
+    home = group.column("home").to_numpy()
     part = group.column("part").to_numpy()
     i, j, b = (group.column(c)[0].as_py() for c in ("i", "j", "block"))
-    left = np.flatnonzero(part == i)
-    right = left if i == j else np.flatnonzero(part == j)
-    if not home.any() or len(left) == 0 or len(right) == 0 or (i == j and len(ids) < 2):
+    left, right = np.flatnonzero((part == i) & home), np.flatnonzero(part == j)
+    # a row at home meets all rows of the other part, once
+    sides = [(left, right)] if i == j else [(left, right), (np.flatnonzero((part == j) & home), np.flatnonzero((part == i) & ~home))]
+    if not home.any() or len(ids) < 2:
         return None
     weight = group.column("copies").to_numpy()
     raw = unpack(group.column("vector").combine_chunks(), group.column("dims")[0].as_py())
@@ -104,10 +117,13 @@ def join_cell(group: pa.Table, cosine: float, width: int) -> pa.RecordBatch | No
     budgets = [room * (hi - lo) / raw.shape[1] + SLACK for lo, hi in blocks]
     lo, hi = blocks[b]
     coarse = turned[:, lo:hi].astype(np.float32)
-    norm = (coarse * coarse).sum(axis=1)
+    half, one = -(coarse * coarse).sum(axis=1, keepdims=True) / 2, np.ones((len(ids), 1), np.float32)
+    # products of these are minus half the squared distances, in single precision; the budget gets room for
+    # its rounding here and is held in double precision below
+    rows_of, columns_of = np.hstack((coarse, half, one)), np.hstack((coarse, one, half)).T
+    least = np.float32(-(budgets[b] + 1e-5) / 2)
     counts = np.zeros(len(ids), np.int64)
     root = np.arange(len(ids))
-    forest: list[tuple[int, int]] = []
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -115,15 +131,10 @@ def join_cell(group: pa.Table, cosine: float, width: int) -> pa.RecordBatch | No
             x = root[x]
         return x
 
-    for s in range(0, len(left), 500):
-        own = left[s : s + 500]
-        # single precision with room for its rounding; the budget itself is held in double precision below
-        near = norm[own][:, None] + norm[right][None, :] - 2 * coarse[own] @ coarse[right].T <= np.float32(budgets[b] + 1e-5)
-        x, y = np.nonzero(near)
-        x, y = own[x], right[y]
-        keep = (home[x] | home[y]) & (ids[x] != ids[y])
-        if i == j:
-            keep &= x < y
+    for own, others in ((own[s : s + 500], others) for own, others in sides for s in range(0, len(own), 500)):
+        hits = np.flatnonzero(rows_of[own] @ columns_of[:, others] >= least)
+        x, y = own[hits // len(others)], others[hits % len(others)]
+        keep = (x < y) | (~home[y] & (ids[x] != ids[y])) if i == j else ids[x] != ids[y]
         x, y = x[keep], y[keep]
         for t in range(0, len(x), 200_000):
             p, q = x[t : t + 200_000], y[t : t + 200_000]
