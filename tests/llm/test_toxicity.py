@@ -45,7 +45,7 @@ def test_score_is_noisy_or_of_sentences():
     raw = np.frombuffer(text.encode(), np.uint8)
     score, (starts, ends, rows, chance) = model.score(raw, np.array([0, len(raw)]))
     sigmoid = lambda z: 1 / (1 + np.exp(-z))
-    want = [sigmoid(5.0), sigmoid(-5.0), sigmoid(-3.0), sigmoid(1.0)]
+    want = [sigmoid(1.0), sigmoid(-5.0), sigmoid(-3.0), sigmoid(1.0)]
     solid = [c for c, a, b in zip(chance, starts, ends) if text[a:b].strip()]
     assert np.allclose(solid, want)
     assert np.isclose(score[0], 1 - np.prod(1 - chance))
