@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's chance is the logistic of a bias plus the weights of
-its words; a document's score is their noisy-or, 1 - prod(1 - p), so one offending sentence is
+the words it holds and of their beginnings (three to six bytes, which join inflected forms); of
+these the FEATURES that tell the labels apart best are kept. A document's score is their noisy-or, 1 - prod(1 - p), so one offending sentence is
 enough and the sentences with high chances are the ones to show. Weights are fitted by Adam on the
 likelihood of document labels alone.
 
@@ -25,9 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .runtime import cut_table
 
 FIT_DOCUMENTS, FIT_BYTES = 8000, 48 << 20
-LEAST_DOCUMENTS, ROUNDS, RATE, DECAY = 4, 200, 0.1, 2e-4
+PREFIXES = (3, 4, 5, 6)
+FEATURES, LEAST_DOCUMENTS = 4000, 8
+#: Steps of the fit, their rate, weight decay, and what a toxic document counts.
+ROUNDS, RATE, DECAY, POSITIVE = 200, 0.1, 3e-4, 2.0
 
 IS_INNER = np.ones(256, bool)
 IS_INNER[list(b".!?\n\r|")] = False
@@ -38,10 +43,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence starts, ends and rows; words' hashes and sentences."""
+    """Sentence starts, ends and rows; hashes of words and their beginnings, and the sentences they stand in."""
     starts, ends, rows = B.spans(IS_INNER[data], offsets)
-    word_starts, _, _, hashes = B.words(data, offsets)
-    return starts, ends, rows, hashes, np.searchsorted(starts, word_starts, "right") - 1
+    first, last, _ = B.spans(B.IS_WORD[data], offsets)
+    prefix = B.prefix_hash(B.LOWER[data])
+    place = np.searchsorted(starts, first, "right") - 1
+    hashes, where = [B.span_hash(prefix, first, last)], [place]
+    for n in PREFIXES:
+        longer = last - first > n
+        hashes.append(B.mix(B.span_hash(prefix, first[longer], first[longer] + n) ^ np.uint64(n)))
+        where.append(place[longer])
+    return starts, ends, rows, np.concatenate(hashes), np.concatenate(where)
+
+
+def known(vocabulary: np.ndarray, hashes: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted vocabulary and sentences of the features in it, each once for a sentence."""
+    if not len(vocabulary) or not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sieve = np.zeros(1 << 16, bool)
+    sieve[vocabulary & np.uint64(0xFFFF)] = True
+    maybe = np.flatnonzero(sieve[hashes & np.uint64(0xFFFF)])
+    at = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), len(vocabulary) - 1)
+    hit = vocabulary[at] == hashes[maybe]
+    pair = np.unique(sentence[maybe[hit]] * len(vocabulary) + at[hit])
+    return pair % len(vocabulary), pair // len(vocabulary)
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -60,9 +85,8 @@ class Model:
         """z of each sentence."""
         if not len(self.vocabulary):
             return np.full(n, -np.inf)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        w = np.where(self.vocabulary[at] == hashes, self.weights[at], 0.0)
-        return self.bias + np.bincount(sentence, w, n)
+        at, where = known(self.vocabulary, hashes, sentence)
+        return self.bias + np.bincount(where, self.weights[at], n)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Noisy-or of each row, and (start, end, row, chance) of all sentences."""
@@ -72,29 +96,18 @@ class Model:
         return -np.expm1(-total), (starts, ends, rows, -np.expm1(-softplus(z)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """bags: word hashes and their sentence numbers (from 0) of each document."""
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    keep = [i for i, (h, _) in enumerate(bags) if len(h)]
-    if not keep or not 0 < labels[keep].sum() < len(keep):
-        return empty
+def fit(vocabulary: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """bags: places in the vocabulary, their sentences (from 0), and the number of sentences of each document."""
+    keep = [i for i, (_, _, n) in enumerate(bags) if n]
+    if not keep or not len(vocabulary) or not 0 < labels[keep].sum() < len(keep):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     y = labels[keep].astype(float)
-    present = np.concatenate([np.unique(bags[i][0]) for i in keep])
-    vocabulary, seen = np.unique(present, return_counts=True)
-    vocabulary = vocabulary[seen >= min(LEAST_DOCUMENTS, max(1, len(keep) // 50))]
-    if not len(vocabulary):
-        return empty
-    word, sentence, owner, n = [], [], [], 0
-    for d, i in enumerate(keep):
-        hashes, s = bags[i]
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        hit = vocabulary[at] == hashes
-        word.append(at[hit])
-        sentence.append(s[hit] + n)
-        count = int(s.max()) + 1
-        owner.append(np.full(count, d))
-        n += count
-    word, sentence, owner = np.concatenate(word), np.concatenate(sentence), np.concatenate(owner)
+    sizes = np.array([bags[i][2] for i in keep])
+    begins = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    word = np.concatenate([bags[i][0] for i in keep])
+    sentence = np.concatenate([bags[i][1] + b for i, b in zip(keep, begins)])
+    owner = np.repeat(np.arange(len(keep)), sizes)
     x = np.concatenate((np.zeros(len(vocabulary)), [-np.log(n / len(keep)) - 2.0]))
     first, second = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, rounds + 1):
@@ -102,13 +115,14 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         p = -np.expm1(-softplus(z))
         clean = np.exp(-np.bincount(owner, softplus(z), len(keep)))
         pull = np.where(y > 0, clean / np.maximum(1 - clean, 1e-9), -1.0)
-        slope = p * pull[owner] / len(keep)
+        slope = p * (pull * np.where(y > 0, POSITIVE, 1.0))[owner] / len(keep)
         grad = np.append(np.bincount(word, slope[sentence], len(vocabulary)), slope.sum())
-        grad[:-1] -= DECAY * x[:-1] / 10
+        grad[:-1] -= DECAY * x[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         x = x + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model(vocabulary, x[:-1], float(x[-1]))
+    used = np.abs(x[:-1]) > 0.01
+    return Model(vocabulary[used], x[:-1][used], float(x[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> Model:
@@ -117,30 +131,56 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_by
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = B.flat(batch.column("text"))
-            hashes_out, sentence_out = [], []
-            for i, j in B.slices(offsets):
-                part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, _, rows, hashes, sentence = sentences(part, offs)
-                first = np.searchsorted(rows, np.arange(j - i))
-                owner = rows[sentence] if len(sentence) else sentence
-                cuts = np.searchsorted(owner, np.arange(j - i + 1))
-                for r in range(j - i):
-                    hashes_out.append(hashes[cuts[r] : cuts[r + 1]].tobytes())
-                    sentence_out.append((sentence[cuts[r] : cuts[r + 1]] - first[r]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(hashes_out, pa.binary()), pa.array(sentence_out, pa.binary())], ["toxic", "hashes", "sentence"])
-
     # the chosen ids are at most most rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.dropDuplicates(["doc_id"])
     ahead = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     room = rows.select("doc_id", F.octet_length("text").alias("n")).select("doc_id", F.sum("n").over(ahead).alias("upto")).where(F.col("upto") <= most_bytes).select("doc_id")
-    rows = rows.join(F.broadcast(room), "doc_id").orderBy("doc_id").select("toxic", "text")
-    got = rows.mapInArrow(run, "toxic int, hashes binary, sentence binary").collect()
-    bags = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["sentence"], np.int32).astype(np.int64)) for r in got]
-    return fit(bags, np.array([int(r["toxic"] > 0) for r in got]))
+    rows = cut_table(rows.join(F.broadcast(room), "doc_id").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "text"), "labelled")
+    n, n_toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
+    if not n_toxic or n_toxic == n:
+        return fit(np.zeros(0, np.uint64), [], np.zeros(0, int))
+    seen = rows.select("toxic", "text").mapInArrow(count_features, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    share = F.col("n") / n
+    apart = F.abs(F.col("toxic") / n_toxic - (F.col("n") - F.col("toxic")) / (n - n_toxic)) / F.sqrt(share * (1 - share) + 1e-9)
+    best = seen.where(F.col("n") >= min(LEAST_DOCUMENTS, max(1, n // 50))).orderBy(apart.desc(), "feature").limit(FEATURES)
+    vocabulary = np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64))
+    state = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = B.flat(batch.column("text"))
+            out: list[tuple[bytes, bytes, int]] = []
+            for i, j in B.slices(offsets):
+                starts, _, rows, hashes, sentence = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at, where = known(state.value, hashes, sentence)
+                first = np.searchsorted(rows, np.arange(j - i + 1))
+                cuts = np.searchsorted(where, first)
+                for r in range(j - i):
+                    own = slice(cuts[r], cuts[r + 1])
+                    out.append((at[own].astype(np.int32).tobytes(), (where[own] - first[r]).astype(np.int32).tobytes(), int(first[r + 1] - first[r])))
+            columns = [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *columns], ["doc_id", "toxic", "place", "sentence", "n"])
+
+    got = sorted(rows.mapInArrow(bag, "doc_id long, toxic int, place binary, sentence binary, n long").collect(), key=lambda r: r["doc_id"])
+    number = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
+    return fit(vocabulary, [(number(r["place"]), number(r["sentence"]), r["n"]) for r in got], np.array([r["toxic"] for r in got]))
+
+
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and toxic documents of each feature, summed within slices."""
+    for batch in batches:
+        data, offsets = B.flat(batch.column("text"))
+        toxic = batch.column("toxic").to_numpy()
+        for i, j in B.slices(offsets):
+            _, _, rows, hashes, sentence = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            order = np.lexsort((hashes, rows[sentence]))
+            h, r = hashes[order], rows[sentence][order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+            feature, place, n = np.unique(h[once], return_inverse=True, return_counts=True)
+            bad = np.bincount(place, toxic[i:j][r[once]], len(feature)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(bad), pa.array(n.astype(np.int64))], ["feature", "toxic", "n"])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
