@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,11 @@ def query_terms(queries: DataFrame, stopwords: list[str] | None = None) -> DataF
 class BM25Index:
     """BM25 (k1 1.5, b 0.75, ln(1 + (N - df + 0.5) / (df + 0.5))) over chunks (chunk_id, doc_id, text).
 
-    Lengths come from the token arrays before anything is exploded; only tokens of query terms
-    reach the shuffle. Terms with an empty match give no hit, so zero scores never pad a result.
+    Lengths come from the token arrays before anything is exploded. Up to TERMS_BOUND pairs of query
+    and term, which is counted, every task scores its own chunks for all queries and keeps the best
+    of each batch, so k rows for each query and batch are shuffled; beyond it, the postings of
+    query terms are joined by shuffle. Terms without a match give no hit: zero scores never pad a
+    result.
     """
 
     def __init__(self, chunks: DataFrame, stopwords: list[str] | None = None):
@@ -75,18 +79,75 @@ class BM25Index:
         df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
         return tf.join(df, "term")
 
-    def search(self, queries: DataFrame, k: int = 10, run: str = "bm25", where: Column | None = None) -> DataFrame:
-        """hits of queries (query_id, text, ...), the best k of each; where may relate query and chunk columns."""
+    def search(self, queries: DataFrame, k: int = 10, run: str = "bm25") -> DataFrame:
+        """hits of queries (query_id, text, ...), the best k of each."""
         wanted = query_terms(queries, self.stopwords)
+        pairs = wanted.limit(TERMS_BOUND + 1).collect()
+        scored = self.scored_here(queries, pairs, k) if len(pairs) <= TERMS_BOUND else self.scored_by_join(wanted)
+        hits = top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+        return hits.select("query_id", F.lit(run).alias("run"), "rank", "chunk_id", "doc_id", "score")
+
+    def scored_by_join(self, wanted: DataFrame) -> DataFrame:
         posted = self.postings(wanted.select("term").distinct())
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         scored = posted.crossJoin(F.broadcast(self.statistics())).select("term", "chunk_id", "doc_id", part.alias("part"))
-        hits = scored.join(wanted, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-        if where is not None:
-            hits = hits.where(where)
-        hits = top_k(hits, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
-        return hits.select("query_id", F.lit(run).alias("run"), "rank", "chunk_id", "doc_id", "score")
+        return scored.join(wanted, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+    def scored_here(self, queries: DataFrame, pairs: list, k: int) -> DataFrame:
+        """The best k and their ties of each batch of chunks, for each query."""
+        spark, kind = self.chunks.sparkSession, queries.schema["query_id"].dataType
+        terms = sorted({p["term"] for p in pairs})
+        ids = list(dict.fromkeys(p["query_id"] for p in pairs))
+        # one pass for all counts; the empty term stands for the documents themselves
+        names = spark.createDataFrame([(t,) for t in [*terms, ""]], "term string")
+        own = self.chunks.where("dl > 0").select("dl", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"))
+        counted = {r["term"]: r for r in own.join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()}
+        n = counted[""]["df"] if counted else 0
+        mean = counted[""]["dl"] / n if n else 1.0
+        df = np.array([counted[t]["df"] if t in counted else 0 for t in terms], float)
+        number = {t: i for i, t in enumerate(terms)}
+        place = {q: i for i, q in enumerate(ids)}
+        by_term = sorted((number[p["term"]], place[p["query_id"]]) for p in pairs)
+        starts = np.searchsorted(np.array([t for t, _ in by_term], np.int64), np.arange(len(terms) + 1))
+        state = spark.sparkContext.broadcast((terms, ids, np.log(1 + (n - df + 0.5) / (df + 0.5)), starts, np.array([q for _, q in by_term], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, ids, idf, starts, asked = state.value
+            known, wide, fan = pa.array(terms, pa.string()), len(ids), np.diff(starts)
+            names = pa.array(ids)
+            for batch in batches:
+                lists = batch.column("tokens")
+                at = pc.index_in(lists.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                dl = batch.column("dl").to_numpy()
+                step = max(1, min(1000, 2_000_000 // max(wide, 1)))
+                for lo in range(0, batch.num_rows, step):
+                    hi = min(lo + step, batch.num_rows)
+                    own = at[offsets[lo] : offsets[hi]]
+                    row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+                    good = ~np.isnan(own) if own.dtype.kind == "f" else own >= 0
+                    key, tf = np.unique(row[good] * len(terms) + own[good].astype(np.int64), return_counts=True)
+                    row, term = key // len(terms), key % len(terms)
+                    part = idf[term] * tf / (tf + K1 * (1 - B + B * dl[lo:hi][row] / mean))
+                    n = fan[term]
+                    ends = np.cumsum(n)
+                    query = asked[np.repeat(starts[term] - (ends - n), n) + np.arange(int(n.sum()))]
+                    score = np.bincount(np.repeat(row, n) * wide + query, np.repeat(part, n), (hi - lo) * wide).reshape(hi - lo, wide)
+                    if hi - lo > k:
+                        # ties after rounding stay
+                        least = np.partition(score, hi - lo - k, axis=0)[hi - lo - k] - 1e-6
+                        found, query = np.nonzero((score > 0) & (score >= least))
+                    else:
+                        found, query = np.nonzero(score > 0)
+                    rows = pa.array(found + lo)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column("chunk_id").take(rows), batch.column("doc_id").take(rows), pa.array(score[found, query])], ["query_id", "chunk_id", "doc_id", "score"])
+
+        if not pairs:
+            run = lambda batches: iter(())
+        types = {c: self.chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")}
+        out = self.chunks.mapInArrow(run, f"query_id {kind.simpleString()}, chunk_id {types['chunk_id']}, doc_id {types['doc_id']}, score double")
+        return out.withColumn("score", F.round("score", 6))
 
 
 def fielded_search(rows: DataFrame, key: str, fields: list[str], queries: DataFrame, k: int = 10) -> DataFrame:

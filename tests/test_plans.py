@@ -190,3 +190,18 @@ def test_unknown_chunk_type_is_refused(spark):
         chunking.filter_types(df, ["tables"])
     with pytest.raises(ValueError):
         ranking.doc_scores(df, "mean")
+
+
+def test_both_ways_of_bm25_agree(spark, monkeypatch):
+    from quillstone.operators import retrieval
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    chunks = spark.createDataFrame([(i, i % 7, " ".join(r.choice(words) for _ in range(r.randint(0, 30)))) for i in range(120)] + [(999, 1, None)], "chunk_id long, doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(4))) for i in range(9)] + [(50, ""), (51, "absent")], "query_id long, text string")
+    index = retrieval.BM25Index.build(chunks, ["w3"])
+    here = sorted(map(tuple, index.search(queries, 5).collect()))
+    monkeypatch.setattr(retrieval, "TERMS_BOUND", 3)
+    assert here == sorted(map(tuple, index.search(queries, 5).collect())) and len(here) > 30
+    monkeypatch.undo()
+    assert index.search(queries.where("query_id = 50"), 5).count() == 0
