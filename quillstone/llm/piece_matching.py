@@ -31,8 +31,8 @@ from . import bytesops as B
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
-SLICE_CHARS = 2 << 20
-CACHE_FRAGMENTS, CACHE_TOKENS = 1_500_000, 12_000_000
+SLICE_CHARS = 1 << 20
+CACHE_FRAGMENTS, CACHE_TOKENS = 400_000, 2_500_000
 
 
 def load_pieces(model: str = MODEL) -> list[tuple[str, float, int]]:
