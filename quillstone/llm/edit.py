@@ -70,9 +70,37 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return banded_distance(a, b, limit) <= limit
 
 
-HISTOGRAM = 128
+FINE, COARSE = 1024, 128
 
 
 def histogram(words: np.ndarray) -> np.ndarray:
     """Word counts by the low bits of the word; half the L1 distance of two bounds their edit distance from below."""
-    return np.bincount(words & np.uint32(HISTOGRAM - 1), minlength=HISTOGRAM).astype(np.int32)
+    return np.bincount(words & np.uint32(FINE - 1), minlength=FINE).astype(np.int32)
+
+
+def coarser(fine: np.ndarray) -> np.ndarray:
+    """Histograms of fewer bins, for a first and cheaper bound."""
+    return fine.reshape(*fine.shape[:-1], FINE // COARSE, COARSE).sum(axis=-2)
+
+
+def cut_points(longest: int) -> list[int]:
+    """16, 24, 32, 48, 64, ... below the longest length."""
+    out, n = [], 16
+    while n < longest:
+        out += [n, n * 3 // 2]
+        n *= 2
+    return [c for c in out if c < longest]
+
+
+def split_histograms(words: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """Coarse histograms of the words before and after each cut: (cut, side, bin).
+
+    For two sequences, an alignment of distance d meets a cut of one within d of the same cut of
+    the other, at a distance of d1 before and d2 after it, d1 + d2 = d; each side's L1 distance is
+    at most 3 d1 or 3 d2. A third of both sides' L1 thus bounds the distance from below, and tells
+    texts whose parts have changed places.
+    """
+    low = words & np.uint32(COARSE - 1)
+    whole = np.bincount(low, minlength=COARSE)
+    ahead = np.stack([np.bincount(low[:c], minlength=COARSE) for c in cuts]) if cuts else np.zeros((0, COARSE), np.int64)
+    return np.stack((ahead, whole[None, :] - ahead), axis=1).astype(np.int32)

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .edit import histogram, similar
+from .edit import coarser, cut_points, histogram, similar, split_histograms
 from .graph import components
 from .grouping import map_groups
 from .runtime import cut, cut_table
 
 SHINGLE, SKETCHES, ORDER, SIMILARITY = 5, 32, 2, 0.8
 #: Rows of one bucket that one task compares with each other.
-CHUNK = 1000
+CHUNK = 2000
 
 
 def labelled(shingle: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -147,9 +147,10 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 
 def compare_bucket(group: pa.Table, least: float) -> pa.RecordBatch | None:
-    """Links between classes that a chunk pair of one bucket still lacks: every pair of different classes is
-    compared until the classes meet. Pairs with the bucket's hub have been compared before."""
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    """Links (between classes) that a chunk pair of one bucket still lacks: documents of different classes are
+    compared until their classes meet. Pairs with the bucket's hub have been compared before, and a pair of several
+    buckets is compared in that of its first common sketch only."""
+    i, j, turn = (group.column(c)[0].as_py() for c in ("i", "j", "turn"))
     ids = group.column("doc_id").to_numpy()
     cls = group.column("class").to_numpy().copy()
     hub = group.column("hub").to_numpy()
@@ -158,7 +159,11 @@ def compare_bucket(group: pa.Table, least: float) -> pa.RecordBatch | None:
         return None
     words = [np.frombuffer(x.as_buffer(), np.uint32) for chunk in group.column("words").chunks for x in chunk]
     sizes = np.array([len(w) for w in words])
-    bags = np.stack([histogram(w) for w in words])
+    fine = np.stack([histogram(w) for w in words])
+    coarse = coarser(fine)
+    keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :turn]
+    cuts = cut_points(int(sizes.max()))
+    split = np.stack([split_histograms(w, cuts) for w in words])
     found_a, found_b = [], []
     for x in range(len(ids)):
         if i != j and part[x] != i or ids[x] == hub[x]:
@@ -166,12 +171,22 @@ def compare_bucket(group: pa.Table, least: float) -> pa.RecordBatch | None:
         at = np.arange(x + 1, len(ids)) if i == j else np.flatnonzero(part == j)
         room = (1 - least) * np.maximum(sizes[at], sizes[x]) + 1e-9
         near = (cls[at] != cls[x]) & (np.abs(sizes[at] - sizes[x]) <= room) & (ids[at] != hub[x])
+        near &= ~(keys[at] == keys[x]).any(axis=1)
         at, room = at[near], room[near]
-        at = at[np.abs(bags[at] - bags[x]).sum(axis=1) <= 2 * room]
+        near = np.abs(coarse[at] - coarse[x]).sum(axis=1) <= 2 * room
+        at, room = at[near], room[near]
+        apart = np.abs(fine[at] - fine[x]).sum(axis=1)
+        # the likeliest first: once classes meet, the rest of both is settled
+        near = apart <= 2 * room
+        at, room, apart = at[near], room[near], apart[near]
+        for c in range(len(cuts)):
+            near = np.abs(split[at, c] - split[x, c]).sum(axis=(1, 2)) <= 3 * room
+            at, room, apart = at[near], room[near], apart[near]
+        at = at[np.argsort(apart, kind="stable")]
         for y in at.tolist():
             if cls[y] != cls[x] and similar(words[x], words[y], least):
-                found_a.append(ids[x])
-                found_b.append(ids[y])
+                found_a.append(cls[x])
+                found_b.append(cls[y])
                 cls[cls == cls[y]] = cls[x]
     return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
@@ -185,32 +200,31 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, count: int = SKE
     candidate or partner is capped.
     """
     sk = cut_table(sketch_table(docs, count, order, k), "sketches")
-    texts = sk.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.col("keys")).alias("keys"))
-    texts = cut(texts)
-    copies = sk.join(texts.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    keys = texts.select("rep", F.explode("keys").alias("key"))
+    texts = cut_table(sk.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")), "texts")
+    keys = texts.select("rep", F.posexplode("keys").alias("turn", "key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    member = cut(keys.join(buckets, "key").select("key", "rep", "hub", "n"))
-    pairs = cut(member.where("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared")))
+    member = cut(keys.join(buckets, "key").select("key", "turn", "rep", "hub", "n"))
+    pairs = cut(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     words = cut_table(word_table(docs, ids), "words")
-    nearest = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.negative("b"))).alias("b"))
-    edges = cut(verified(nearest, words, least))
-    label = cut(components(edges))
-    named = lambda df, column, name: df.join(label.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-    open_pairs = named(named(pairs.join(nearest, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    edges = cut(edges.union(verified(open_pairs, words, least)))
-    label = cut(components(edges))
-    classed = named(member.where("n > 2"), "rep", "class")
-    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.min("rep").alias("least")).where("lo <> hi")
-    mixed = mixed.groupBy("size", "sum", "least", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
+    label = cut(components(verified(pairs, words, least)))
+    named = label.select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    classed = cut(member.where("n > 2").join(named, "rep", "left").select("key", "turn", "rep", "hub", F.coalesce("class", "rep").alias("class")))
+    # buckets that hold several classes; of equal buckets that of the first sketch
+    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.min("rep").alias("least"), F.min("turn").alias("turn")).where("lo <> hi")
+    mixed = mixed.groupBy("size", "sum", "least", "lo", "hi").agg(F.min_by("key", F.struct("turn", "key")).alias("key")).select("key", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     rows = classed.join(mixed, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").cast("long").alias("i"), F.greatest("part", "other").cast("long").alias("j"), F.col("rep").alias("doc_id"), "hub", "class", "part")
-    rows = rows.join(words, "doc_id").select("key", "i", "j", "doc_id", "hub", "class", "part", "words")
+    rows = rows.select("key", F.least("part", "other").cast("long").alias("i"), F.greatest("part", "other").cast("long").alias("j"), F.col("rep").alias("doc_id"), "hub", "class", "part", "turn")
+    rows = rows.join(words, "doc_id").join(texts.select(F.col("rep").alias("doc_id"), "keys"), "doc_id").select("key", "i", "j", "turn", "doc_id", "hub", "class", "part", "words", "keys")
     rest = map_groups(rows, ["key", "i", "j"], lambda group: compare_bucket(group, least), "a long, b long")
-    label = cut(components(copies.union(edges).union(rest)))
-    return label.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"), (F.col("node") == F.col("component")).alias("kept"))
+    joined = components(rest).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    # a class of one document has no label yet
+    final = label.join(joined, "component", "full")
+    final = final.select(F.coalesce("node", "component").alias("rep"), F.coalesce("joined", "component").alias("class_id"))
+    known = texts.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
+    out = sk.select("doc_id", "digest").join(known, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
