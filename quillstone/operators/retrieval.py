@@ -36,6 +36,12 @@ def query_terms(queries: DataFrame, stopwords: list[str] | None = None) -> DataF
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their scan has fewer partitions, as of one small file; large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class BM25Index:
     """BM25 (k1 1.5, b 0.75, ln(1 + (N - df + 0.5) / (df + 0.5))) over chunks (chunk_id, doc_id, text).
 
@@ -51,7 +57,7 @@ class BM25Index:
         own = tokens(F.col("text"))
         if stopwords:
             own = F.filter(own, lambda t: ~t.isin(*stopwords))
-        self.chunks = chunks.select("chunk_id", "doc_id", own.alias("tokens")).withColumn("dl", F.size("tokens"))
+        self.chunks = spread(chunks.select("chunk_id", "doc_id", "text")).select("chunk_id", "doc_id", own.alias("tokens")).withColumn("dl", F.size("tokens"))
 
     @classmethod
     def build(cls, chunks: DataFrame, stopwords: list[str] | None = None) -> BM25Index:
