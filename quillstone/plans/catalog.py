@@ -55,14 +55,36 @@ def shared_terms(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return hits.select("query_id", F.lit("terms").alias("run"), "rank", F.col("doc_id").alias("chunk_id"), "doc_id", "score")
 
 
-def gold_of(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, doc_id) of documents that hold a benchmark text verbatim, found among its BM25 hits."""
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    named = questions(spark, d).select("query_id", F.col("text").alias("q"))
-    pairs = bm25(spark, d, 50).select("query_id", "doc_id").join(named, "query_id").join(texts, "doc_id")
+#: Words of the window by which a document is found to hold a benchmark text.
+GOLD_WORDS = 4
+
+
+def holders(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of documents (doc_id, text) that hold the text of a question (query_id, text) verbatim.
+
+    The words of a text but its first and last stand whole in every document that holds it, so a window of them is
+    joined with all windows of all documents, and what meets is confirmed. Texts too short for a window are
+    looked for in every document.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    named = questions.select("query_id", F.col("text").alias("q"), words("text").alias("w"))
+    long = F.size("w") >= GOLD_WORDS + 2
+    middle = F.xxhash64(F.slice("w", F.floor((F.size("w") - GOLD_WORDS) / 2).cast("int") + 1, GOLD_WORDS))
+    wanted = named.where(long).select("query_id", middle.alias("window")).distinct()
+    own = documents.select("doc_id", words("text").alias("w")).where(F.size("w") >= GOLD_WORDS)
+    spots = F.transform(F.sequence(F.lit(1), F.size("w") - GOLD_WORDS + 1), lambda i: F.xxhash64(F.slice("w", i, GOLD_WORDS)))
+    met = own.select("doc_id", F.explode(F.array_distinct(spots)).alias("window")).join(wanted, "window").select("query_id", "doc_id")
+    short = named.where(~long).join(documents, F.contains("text", "q")).select("query_id", "doc_id")
+    pairs = met.union(short).distinct().select(F.col("query_id").alias("q2"), F.col("doc_id").alias("d2"))
+    pairs = pairs.join(named, F.col("q2").eqNullSafe(F.col("query_id"))).join(documents, F.col("d2").eqNullSafe(F.col("doc_id")))
     return pairs.where(F.contains("text", "q")).select("query_id", "doc_id")
 
 
+def gold_of(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, doc_id) of all documents that hold a benchmark text verbatim."""
+    return holders(questions(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+
+
 def families_of(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("query_id", F.when(F.col("query_id") % 3 == 0, T.SINGLE).when(F.col("query_id") % 3 == 1, T.MULTI).otherwise("other").alias("task_family"))
 
