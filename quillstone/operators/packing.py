@@ -115,13 +115,42 @@ def overflow_order(rows: DataFrame, by: list[str], order: list[Column], budget:
     return out.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("fits"), "__pos"))).drop("__pos")
 
 
-def merge_overlapping(texts: Column, least: int = 40, most: int = 2000) -> Column:
-    """Texts joined in order; a suffix of at least least characters that the next text begins with is not repeated, else a newline parts them."""
-
-    def join(left: Column, right: Column) -> Column:
-        top = F.least(F.length(left), F.length(right), F.lit(most))
-        sizes = F.when(top >= least, F.reverse(F.sequence(F.lit(least), top))).otherwise(F.array().cast("array<int>"))
-        fit = F.get(F.filter(sizes, lambda n: F.substring(left, -n, n) == F.substring(right, F.lit(1), n)), F.lit(0))
-        return F.when(left == "", right).when(fit.isNotNull(), F.concat(left, F.substring(right, fit + 1, F.length(right)))).otherwise(F.concat(left, F.lit("\n"), right))
-
-    return F.aggregate(texts, F.lit(""), join)
+def overlap_size(left: str, right: str, least: int) -> int:
+    """Length of the longest suffix of left, of at least least characters, that right begins with, else 0; in linear time."""
+    top = min(len(left), len(right))
+    if top < max(least, 1) or right[: max(least, 1)] not in left[-top:]:
+        return 0
+    right, left = right[:top], left[-top:]
+    fail, k = [0] * top, 0
+    for i in range(1, top):
+        while k and right[i] != right[k]:
+            k = fail[k - 1]
+        k += right[i] == right[k]
+        fail[i] = k
+    k = 0
+    for c in left:
+        while k and (k == top or c != right[k]):
+            k = fail[k - 1]
+        k += c == right[k]
+    return k if k >= least else 0
+
+
+def merge_overlapping(texts: Column, least: int = 40) -> Column:
+    """Texts joined in order; the longest suffix of at least least characters that the next text begins with is not
+    repeated, else a newline parts them. A null text counts as empty."""
+
+    @F.pandas_udf("string")
+    def run(lists: pd.Series) -> pd.Series:
+        def merged(parts) -> str | None:
+            if parts is None:
+                return None
+            out = ""
+            for text in parts:
+                text = text or ""
+                size = overlap_size(out, text, least) if out else 0
+                out = out + ("" if size or not out else "\n") + text[size:]
+            return out
+
+        return lists.map(merged)
+
+    return run(texts)
