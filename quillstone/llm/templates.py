@@ -1,11 +1,13 @@
 """Benchmark decontamination by canonical templates.
 
 Words become template tokens: numbers <NUM>, units after a number <UNIT>, capitalised words within a
-sentence <NAME>, the rest lower-cased. Windows of five tokens are hashed on both sides and joined on
+sentence <NAME>, the rest lower-cased. A capitalised word that opens a sentence may be a name or a plain
+word, so its windows stand in both forms on both sides. Windows of five tokens are hashed on both sides and joined on
 the hash; windows with fewer than three literal words say nothing and are left out of both sides. A
 document that holds at least 0.8 of a benchmark item's windows is a candidate; it is contaminated if
 its slots are consistent, i.e. if along the aligned windows each value of the item's slots stands
-for one value of its kind in the document. Thus verbatim copies are found (each value stands for
+for one value of its kind in the document. A word that opens a sentence counts as a name first; if that
+is inconsistent, as a plain word, and windows in which it differs are lost. Thus verbatim copies are found (each value stands for
 itself) and so are questions asked again with other numbers, names or units.
 
 Documents are scanned once for each block of at most BLOCK_WINDOWS benchmark windows, which go to
@@ -50,8 +52,8 @@ _units = np.sort(np.array([B.hash_text(u) for u in UNITS], np.uint64))
 _weights = B.mix(np.arange(64, dtype=np.uint64) + np.uint64(0x77_0000)) | np.uint64(1)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, rows, kinds and literal hashes of the template tokens.
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends, rows, kinds and literal hashes of the template tokens, and which capitalised literals open a sentence.
 
     A number takes points and commas between digits; letters after digits are a token of their own.
     """
@@ -68,7 +70,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     hashes = B.span_hash(B.prefix_hash(B.LOWER[data]), starts, ends)
     kind = np.zeros(len(starts), np.int8)
     if not len(starts):
-        return starts, ends, rows, kind, hashes
+        return starts, ends, rows, kind, hashes, np.zeros(0, bool)
     kind[numeric[starts]] = NUM
     first = np.concatenate(([True], rows[1:] != rows[:-1]))
     after_number = np.concatenate(([False], kind[:-1] == NUM)) & ~first
@@ -79,13 +81,20 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     stops = np.concatenate(([0], np.cumsum(IS_END[data])))
     sentence_start = first | np.concatenate(([True], stops[starts[1:]] > stops[ends[:-1]]))
-    kind[capital & ~sentence_start & (kind == LITERAL)] = NAME
-    return starts, ends, rows, kind, hashes
+    capital &= kind == LITERAL
+    kind[capital & ~sentence_start] = NAME
+    return starts, ends, rows, kind, hashes, capital & sentence_start
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, rows, kinds and literal hashes of the template tokens."""
+    return templates(data, offsets)[:5]
 
 
-def windows(rows: np.ndarray, kind: np.ndarray, hashes: np.ndarray, n_rows: int, width: int, variants: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, rows and positions of the telling windows; with variants also each window whose first token is a
-    name, with the plain word in its place: where a passage begins, the capital may be a sentence's."""
+def windows(rows: np.ndarray, kind: np.ndarray, hashes: np.ndarray, opens: np.ndarray, n_rows: int, width: int, document: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, rows and positions of the telling windows, in every reading of the words that open a sentence (name or
+    plain word; beyond WINDOW tokens all read alike). In a document a window's first name may be a plain word too:
+    where a passage begins, the capital may be a sentence's; and names count as literals, for the item's word may be one."""
     token = np.where(kind > 0, SLOT_HASH[kind], hashes)
     bounds = B.row_bounds(rows, n_rows)
     n = len(token)
@@ -94,16 +103,25 @@ def windows(rows: np.ndarray, kind: np.ndarray, hashes: np.ndarray, n_rows: int,
     m = n - width + 1
     total = np.zeros(m, np.uint64)
     literal = np.zeros(m, np.int32)
+    solid = (kind == LITERAL) | (kind == NAME) if document else kind == LITERAL
     for j in range(width):
         total += token[j : j + m] * _weights[j]
-        literal += kind[j : j + m] == LITERAL
-    whole = rows[:m] == rows[width - 1 :]
-    keep = np.flatnonzero(whole & (literal >= LITERALS))
-    out, at = B.mix(total[keep] + np.uint64(width)), keep
-    if variants:
-        named = np.flatnonzero(whole & (kind[:m] == NAME) & (literal + 1 >= LITERALS))
-        swapped = total[named] + (hashes[named] - token[named]) * _weights[0]
-        out, at = np.concatenate((out, B.mix(swapped + np.uint64(width)))), np.concatenate((at, named))
+        literal += solid[j : j + m]
+    keep = np.flatnonzero((rows[:m] == rows[width - 1 :]) & (literal >= LITERALS))
+    sums, at = [total[keep]], [keep]
+    turned = np.where(opens, SLOT_HASH[NAME], hashes) - token
+    code = np.zeros(len(keep), np.uint64)
+    for j in range(width):
+        open_to = opens[keep + j] | ((kind[keep] == NAME) if document and j == 0 else False)
+        code |= open_to.astype(np.uint64) << np.uint64(j)
+    for c in np.unique(code[code > 0]).tolist():
+        own = keep[code == c]
+        part = c
+        while part:
+            sums.append(total[own] + sum(turned[own + j] * _weights[j] for j in range(width) if part >> j & 1))
+            at.append(own)
+            part = (part - 1) & c if width <= WINDOW else 0
+    out, at = B.mix(np.concatenate(sums) + np.uint64(width)), np.concatenate(at)
     return out, rows[at], at - bounds[rows[at]]
 
 
@@ -113,22 +131,22 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.flat(batch.column("text"))
-            _, _, rows, kind, hashes = tokens(data, offsets)
+            _, _, rows, kind, hashes, opens = templates(data, offsets)
             bounds = B.row_bounds(rows, batch.num_rows)
             out: dict[str, list] = defaultdict(list)
             for r in range(batch.num_rows):
-                k, h = kind[bounds[r] : bounds[r + 1]], hashes[bounds[r] : bounds[r + 1]]
+                k, h, o = (x[bounds[r] : bounds[r + 1]] for x in (kind, hashes, opens))
                 zero = np.zeros(len(k), np.int64)
                 width = WINDOW
-                got, _, pos = windows(zero, k, h, 1, width, False)
+                got, _, pos = windows(zero, k, h, o, 1, width, False)
                 if not len(got) and 0 < len(k) < len(_weights):
                     width = len(k)
-                    got, _, pos = windows(zero, k, h, 1, width, False)
+                    got, _, pos = windows(zero, k, h, o, 1, width, False)
                 out["row"] += [r] * len(got)
                 out["width"] += [width] * len(got)
                 out["hash"] += got.view(np.int64).tolist()
                 out["pos"] += pos.tolist()
-                out["n"] += [len(got)] * len(got)
+                out["n"] += [len(np.unique(pos))] * len(got)
             at = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("item_id").take(at), batch.column("text").take(at), *(pa.array(out[c], pa.int64()) for c in ("width", "hash", "pos", "n"))], ["item_id", "text", "width", "hash", "pos", "n"])
 
@@ -150,10 +168,10 @@ def document_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
             data, offsets = B.flat(batch.column("text"))
             for i, j in B.slices(offsets):
                 part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, _, rows, kind, hashes = tokens(part, offs)
+                _, _, rows, kind, hashes, opens = templates(part, offs)
                 found: dict[int, set[int]] = defaultdict(set)
                 for width, keys in state.value.items():
-                    got, own, _ = windows(rows, kind, hashes, j - i, width, True)
+                    got, own, _ = windows(rows, kind, hashes, opens, j - i, width, True)
                     maybe = np.flatnonzero(sieves[width][got & low])
                     got, own = got[maybe], own[maybe]
                     at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
@@ -174,47 +192,64 @@ def aligned(item: str, text: str, width: int, least: float) -> dict | None:
     Windows are chained greedily in item order, each to the place nearest to where the last one puts it.
     """
     sides = []
-    for s, variants in ((item, False), (text, True)):
+    for s, document in ((item, False), (text, True)):
         raw = np.frombuffer(s.encode(), np.uint8)
-        starts, ends, rows, kind, hashes = tokens(raw, np.array([0, len(raw)]))
-        got, _, pos = windows(rows, kind, hashes, 1, width, variants)
-        sides.append((raw, starts, ends, kind, got, pos))
-    (raw_a, sa, ea, ka, ga, pa_), (raw_b, sb, eb, kb, gb, pb) = sides
+        starts, ends, rows, kind, hashes, opens = templates(raw, np.array([0, len(raw)]))
+        got, _, pos = windows(rows, kind, hashes, opens, 1, width, document)
+        sides.append((raw, starts, ends, kind, opens, got, pos))
+    (raw_a, sa, ea, ka, oa, ga, pa_), (raw_b, sb, eb, _, _, gb, pb) = sides
     order = np.argsort(gb, kind="stable")
+    lows, highs = np.searchsorted(gb[order], ga, "left"), np.searchsorted(gb[order], ga, "right")
     places: dict[int, np.ndarray] = {}
-    for h in set(ga.tolist()):
-        lo, hi = np.searchsorted(gb[order], np.array([h], np.uint64), "left")[0], np.searchsorted(gb[order], np.array([h], np.uint64), "right")[0]
+    for p, lo, hi in zip(pa_.tolist(), lows.tolist(), highs.tolist()):
         if hi > lo:
-            places[h] = np.sort(pb[order[lo:hi]])
+            places[p] = np.union1d(places.get(p, np.zeros(0, np.int64)), pb[order[lo:hi]])
+    n_windows = len(np.unique(pa_))
     word = lambda raw, s, e, i: B.LOWER[raw[s[i] : e[i]]].tobytes()
+    own = [word(raw_a, sa, ea, i) for i in range(len(sa))]
+
+    def judged(chain: list[tuple[int, int]], names: bool) -> dict | None:
+        values, changed, matched, sound = {}, {}, [], True
+        for p, q in chain:
+            whole = True
+            for t in range(width):
+                i, value = p + t, word(raw_b, sb, eb, q + t)
+                if ka[i] != LITERAL or names and oa[i]:
+                    if values.setdefault((NAME if oa[i] else int(ka[i]), own[i]), value) != value:
+                        sound = False
+                    elif own[i] != value:
+                        changed[own[i].decode("utf-8", "replace")] = value.decode("utf-8", "replace")
+                elif own[i] != value:
+                    whole = False
+            if whole:
+                matched.append(q)
+        share = len(matched) / n_windows
+        if not sound or not matched or share + 1e-12 < least:
+            return None
+        return {"n_windows": n_windows, "n_matched": len(matched), "similarity": share, "first_word": min(matched), "last_word": max(matched) + width, "changed": changed}
+
     best = None
     shifts: dict[int, int] = defaultdict(int)
-    for h, p in zip(ga.tolist(), pa_.tolist()):
-        for q in places.get(h, ()):
-            shifts[int(q - p)] += 1
+    for p, spots in places.items():
+        for q in spots.tolist():
+            shifts[q - p] += 1
+    seen = set()
     for shift in sorted(shifts, key=lambda d: (-shifts[d], d)):
-        matched, at, values, sound = 0, shift, {}, True
-        first, last, changed = None, None, {}
-        for h, p in zip(ga.tolist(), pa_.tolist()):
-            spots = places.get(h)
-            if spots is None:
-                continue
+        at, chain = shift, []
+        for p in sorted(places):
+            spots = places[p]
             q = int(spots[np.argmin(np.abs(spots - (p + at)))])
-            if abs(q - p - shift) > max(16, len(ga)):
-                continue
-            matched, at = matched + 1, q - p
-            first, last = q if first is None else min(first, q), q + width if last is None else max(last, q + width)
-            for t in range(width):
-                if ka[p + t] != LITERAL:
-                    key = (int(ka[p + t]), word(raw_a, sa, ea, p + t))
-                    value = word(raw_b, sb, eb, q + t)
-                    if values.setdefault(key, value) != value:
-                        sound = False
-                    elif key[1] != value:
-                        changed[key[1].decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-        share = matched / len(ga)
-        if sound and share + 1e-12 >= least and (best is None or share > best["similarity"]):
-            best = {"n_windows": len(ga), "n_matched": matched, "similarity": share, "first_word": first, "last_word": last, "changed": changed}
+            if abs(q - p - shift) <= max(16, n_windows):
+                chain.append((p, q))
+                at = q - p
+        if tuple(chain) in seen:
+            continue
+        seen.add(tuple(chain))
+        got = judged(chain, True) or oa.any() and judged(chain, False) or None
+        if got and (best is None or got["similarity"] > best["similarity"]):
+            best = got
+        if best and best["similarity"] >= 1:
+            break
     return best
 
 
@@ -234,8 +269,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     row = F.struct(F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").alias("id"))
     hits = cut(hits.select("doc_id", "text", "hits", row.alias("row")))
     windows_of = hits.select("row", F.explode("hits").alias("hash")).distinct()
-    texts = items.distinct().groupBy("item_id", F.xxhash64("text").alias("version"), "width", "hash").agg(F.count("*").alias("times"), F.max("n").alias("n"))
-    met = windows_of.join(texts, "hash").groupBy("row", "item_id", "version", "width").agg(F.sum("times").alias("met"), F.max("n").alias("n"))
+    texts = items.distinct().groupBy("item_id", F.xxhash64("text").alias("version"), "width", "hash", "pos").agg(F.max("n").alias("n"))
+    met = windows_of.join(texts, "hash").groupBy("row", "item_id", "version", "width").agg(F.count_distinct("pos").alias("met"), F.max("n").alias("n"))
     enough = met.where(F.col("met") >= F.col("n") * least - 1e-9)
     named = benchmark.select(F.col("item_id").cast("long").alias("i2"), F.col("text").alias("item"), F.xxhash64("text").alias("v2")).distinct()
     pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2"))).select("row", "item_id", "item", "width")

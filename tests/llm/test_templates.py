@@ -61,3 +61,21 @@ def test_verbatim_passages_equal_containment(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     want = {(d["doc_id"], b["item_id"]) for d in docs.collect() for b in items.collect() if b["text"] in d["text"]}
     assert {(r["doc_id"], r["item_id"]) for r in T.contaminated(docs, items).collect()} == want
+
+
+def found(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in T.contaminated(d, b).collect()}
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 3 red apples in a basket. Tom buys 4 more of them at the shop. Then he gives half of all to Anna."
+    other = item.replace("Tom", "Ann").replace("3", "9").replace("4", "2").replace("Anna", "Ruth")
+    mixed = "we know that " + other.replace("basket. Ann", "basket; Ann")
+    clash = item.replace("Tom", "Ann", 1).replace("Tom", "Bob").replace(" buys", " sold").replace(" gives", " eats")
+    short = "Tom has 3 apples. Tom buys 4 more."
+    got = found(spark, [FILLER + other + " " + FILLER, FILLER + mixed, clash, "Ann has 9 apples. Ann buys 2 more.", item, "He said so. " + item], [item, short])
+    assert {k for k in got if k[1] == 0} == {(0, 0), (1, 0), (4, 0), (5, 0)}
+    assert {k for k in got if k[1] == 1} == {(3, 1)}
+    assert got[0, 0]["changed"] == {"tom": "ann", "3": "9", "4": "2", "anna": "ruth"} and got[1, 0]["similarity"] == 1.0
