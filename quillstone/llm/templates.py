@@ -14,9 +14,10 @@ Documents are scanned once for each block of at most BLOCK_WINDOWS benchmark win
 every task; only hits are shuffled, to the hash join that brings item and document together. Texts
 are scanned whole, and every benchmark item counts, whatever the table's size.
 
-Defined cases: null and empty texts hold no window; an item of fewer than five words, or without a
-telling window, is one window of all its words, which has to be met with three literal words at
-least, and else matches nothing; repeated rows of either table count once; null ids give
+Defined cases: null and empty texts hold no window; an item of fewer than five words, or one of fewer
+than 64 without a telling window, is one window of all its words if three of them are literal. Every
+other item without a telling window, of whatever length, is met by its own words in a row, numbers,
+units and names as they are; an item without words matches nothing; repeated rows of either table count once; null ids give
 rows with null ids; empty tables give an empty table.
 """
 
@@ -125,8 +126,19 @@ def windows(rows: np.ndarray, kind: np.ndarray, hashes: np.ndarray, opens: np.nd
     return out, rows[at], at - bounds[rows[at]]
 
 
+def plain_windows(rows: np.ndarray, hashes: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, rows and positions of all windows of words as they are."""
+    m = max(0, len(hashes) - width + 1)
+    total = np.zeros(m, np.uint64)
+    for j in range(width):
+        total += hashes[j : j + m] * _weights[j]
+    keep = np.flatnonzero(rows[:m] == rows[width - 1 : width - 1 + m])
+    return B.mix(total[keep] + np.uint64(len(_weights) + width)), rows[keep], keep - B.row_bounds(rows, n_rows)[rows[keep]]
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, text, width, hash, pos, n) of every item's windows, n being their number."""
+    """(item_id, text, width, hash, pos, n) of every item's windows, n being their number; the width of windows of
+    words as they are is negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +154,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 if not len(got) and 0 < len(k) < len(_weights):
                     width = len(k)
                     got, _, pos = windows(zero, k, h, o, 1, width, False)
+                if not len(got) and len(k):
+                    width = -min(len(k), WINDOW)
+                    got, _, pos = plain_windows(zero, h, 1, -width)
                 out["row"] += [r] * len(got)
                 out["width"] += [width] * len(got)
                 out["hash"] += got.view(np.int64).tolist()
@@ -171,7 +186,7 @@ def document_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
                 _, _, rows, kind, hashes, opens = templates(part, offs)
                 found: dict[int, set[int]] = defaultdict(set)
                 for width, keys in state.value.items():
-                    got, own, _ = windows(rows, kind, hashes, opens, j - i, width, True)
+                    got, own, _ = windows(rows, kind, hashes, opens, j - i, width, True) if width > 0 else plain_windows(rows, hashes, j - i, -width)
                     maybe = np.flatnonzero(sieves[width][got & low])
                     got, own = got[maybe], own[maybe]
                     at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
@@ -186,11 +201,29 @@ def document_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, hits array<long>")
 
 
+def verbatim(item: str, text: str, width: int) -> dict | None:
+    """The item's words in a row in the text, as they are but for case and what stands between them."""
+    sides = []
+    for s in (item, text):
+        raw = np.frombuffer(s.encode(), np.uint8)
+        starts, ends, *_ = tokens(raw, np.array([0, len(raw)]))
+        low = B.LOWER[raw].tobytes()
+        sides.append(b"\0" + b"".join(low[a:b] + b"\0" for a, b in zip(starts.tolist(), ends.tolist())))
+    at = sides[1].find(sides[0])
+    if at < 0:
+        return None
+    first, size = sides[1].count(b"\0", 0, at), sides[0].count(b"\0") - 1
+    n = size - width + 1
+    return {"n_windows": n, "n_matched": n, "similarity": 1.0, "first_word": first, "last_word": first + size, "changed": {}}
+
+
 def aligned(item: str, text: str, width: int, least: float) -> dict | None:
     """The item's windows in the text, if enough of them stand there with consistent slots.
 
     Windows are chained greedily in item order, each to the place nearest to where the last one puts it.
     """
+    if width < 0:
+        return verbatim(item, text, -width)
     sides = []
     for s, document in ((item, False), (text, True)):
         raw = np.frombuffer(s.encode(), np.uint8)
@@ -271,7 +304,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     windows_of = hits.select("row", F.explode("hits").alias("hash")).distinct()
     texts = items.distinct().groupBy("item_id", F.xxhash64("text").alias("version"), "width", "hash", "pos").agg(F.max("n").alias("n"))
     met = windows_of.join(texts, "hash").groupBy("row", "item_id", "version", "width").agg(F.count_distinct("pos").alias("met"), F.max("n").alias("n"))
-    enough = met.where(F.col("met") >= F.col("n") * least - 1e-9)
+    enough = met.where(F.col("met") >= F.col("n") * F.when(F.col("width") > 0, least).otherwise(1.0) - 1e-9)
     named = benchmark.select(F.col("item_id").cast("long").alias("i2"), F.col("text").alias("item"), F.xxhash64("text").alias("v2")).distinct()
     pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2"))).select("row", "item_id", "item", "width")
     pairs = pairs.join(hits.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").select("doc_id", "item_id", "width", "item", "text")

@@ -79,3 +79,14 @@ def test_names_that_open_sentences(spark):
     assert {k for k in got if k[1] == 0} == {(0, 0), (1, 0), (4, 0), (5, 0)}
     assert {k for k in got if k[1] == 1} == {(3, 1)}
     assert got[0, 0]["changed"] == {"tom": "ann", "3": "9", "4": "2", "anna": "ruth"} and got[1, 0]["similarity"] == 1.0
+
+
+def test_items_without_telling_windows_match_verbatim(spark):
+    sums = "What is 48 + 27 - 5 * 3?"
+    table = " ".join(f"{i * 7} {'km' if i % 2 else 'kg'}" for i in range(60))
+    mean = "5 km 5 km 5 km 5 km"
+    items = [sums, table, mean, "12 Oslo", "...", "", None]
+    docs = [FILLER + sums + " " + FILLER, FILLER + table + " " + FILLER, sums.replace("27", "28"), table[:-7], "it was 5 km 5 km 5 km 5 km.", "only 5 km 5 km 5 km 6 km", "see 12 Oslo, 4", "see 112 Oslo", "", None]
+    got = found(spark, docs, items)
+    assert set(got) == {(0, 0), (1, 1), (4, 2), (6, 3)}
+    assert got[0, 0]["first_word"] == 19 and got[0, 0]["last_word"] == 25 and got[0, 0]["n_changed"] == 0
