@@ -4,10 +4,12 @@ Words become template tokens: numbers <NUM>, units after a number <UNIT>, capita
 sentence <NAME>, the rest lower-cased. A capitalised word that opens a sentence may be a name or a plain
 word, so its windows stand in both forms on both sides. Windows of five tokens are hashed on both sides and joined on
 the hash; windows with fewer than three literal words say nothing and are left out of both sides. A
-document that holds at least 0.8 of a benchmark item's windows is a candidate; it is contaminated if
-its slots are consistent, i.e. if along the aligned windows each value of the item's slots stands
-for one value of its kind in the document. A word that opens a sentence counts as a name first; if that
-is inconsistent, as a plain word, and windows in which it differs are lost. Thus verbatim copies are found (each value stands for
+document whose windows cover at least 0.4 of the words that a benchmark item's windows cover, or 16 of
+them, is a candidate. It is contaminated if the alignment keeps 0.8 of the item's windows or of its
+words (single words beside the aligned windows count too) with consistent slots, i.e. if each value of
+the item's slots stands for one value of its kind in the document, or if it keeps 32 words of the item
+in a row with consistent slots. A word that opens a sentence counts as a name first; if that
+is inconsistent, as a plain word that is lost where it differs. Thus verbatim copies are found (each value stands for
 itself) and so are questions asked again with other numbers, names or units.
 
 Documents are scanned once for each block of at most BLOCK_WINDOWS benchmark windows, which go to
@@ -36,6 +38,8 @@ from .runtime import cut
 
 WINDOW, LITERALS, SIMILARITY = 5, 3, 0.8
 BLOCK_WINDOWS = 2_000_000
+#: Share of an item's covered words, or their number, that makes a candidate; words in a row that suffice.
+FLOOR, FLOOR_WORDS, RUN = 0.4, 16, 32
 #: Units that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards "
@@ -137,8 +141,8 @@ def plain_windows(rows: np.ndarray, hashes: np.ndarray, n_rows: int, width: int)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, text, width, hash, pos, n) of every item's windows, n being their number; the width of windows of
-    words as they are is negative."""
+    """(item_id, text, width, hash, pos, n) of every item's windows, n being the number of words
+    that they cover; the width of windows of words as they are is negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +165,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 out["width"] += [width] * len(got)
                 out["hash"] += got.view(np.int64).tolist()
                 out["pos"] += pos.tolist()
-                out["n"] += [len(np.unique(pos))] * len(got)
+                out["n"] += [len(np.unique(pos[:, None] + np.arange(abs(width))))] * len(got)
             at = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("item_id").take(at), batch.column("text").take(at), *(pa.array(out[c], pa.int64()) for c in ("width", "hash", "pos", "n"))], ["item_id", "text", "width", "hash", "pos", "n"])
 
@@ -218,7 +222,7 @@ def verbatim(item: str, text: str, width: int) -> dict | None:
 
 
 def aligned(item: str, text: str, width: int, least: float) -> dict | None:
-    """The item's windows in the text, if enough of them stand there with consistent slots.
+    """The item's windows and words in the text, if enough of them stand there with consistent slots.
 
     Windows are chained greedily in item order, each to the place nearest to where the last one puts it.
     """
@@ -230,7 +234,7 @@ def aligned(item: str, text: str, width: int, least: float) -> dict | None:
         starts, ends, rows, kind, hashes, opens = templates(raw, np.array([0, len(raw)]))
         got, _, pos = windows(rows, kind, hashes, opens, 1, width, document)
         sides.append((raw, starts, ends, kind, opens, got, pos))
-    (raw_a, sa, ea, ka, oa, ga, pa_), (raw_b, sb, eb, _, _, gb, pb) = sides
+    (raw_a, sa, ea, ka, oa, ga, pa_), (raw_b, sb, eb, kb, ob, gb, pb) = sides
     order = np.argsort(gb, kind="stable")
     lows, highs = np.searchsorted(gb[order], ga, "left"), np.searchsorted(gb[order], ga, "right")
     places: dict[int, np.ndarray] = {}
@@ -241,25 +245,73 @@ def aligned(item: str, text: str, width: int, least: float) -> dict | None:
     word = lambda raw, s, e, i: B.LOWER[raw[s[i] : e[i]]].tobytes()
     own = [word(raw_a, sa, ea, i) for i in range(len(sa))]
 
+    def slot(i: int, names: bool) -> tuple[int, bytes] | None:
+        return (NAME if oa[i] else int(ka[i]), own[i]) if ka[i] != LITERAL or names and oa[i] else None
+
+    def same(i: int, j: int, value: bytes, names: bool) -> bool:
+        """Whether word i of the item and word j of the text can stand for each other."""
+        if key := slot(i, names):
+            return kb[j] == key[0] or key[0] == NAME and bool(ob[j])
+        return own[i] == value
+
     def judged(chain: list[tuple[int, int]], names: bool) -> dict | None:
-        values, changed, matched, sound = {}, {}, [], True
+        values, matched, sound, to = {}, 0, True, {}
         for p, q in chain:
             whole = True
             for t in range(width):
                 i, value = p + t, word(raw_b, sb, eb, q + t)
-                if ka[i] != LITERAL or names and oa[i]:
-                    if values.setdefault((NAME if oa[i] else int(ka[i]), own[i]), value) != value:
-                        sound = False
-                    elif own[i] != value:
-                        changed[own[i].decode("utf-8", "replace")] = value.decode("utf-8", "replace")
+                if key := slot(i, names):
+                    sound &= values.setdefault(key, value) == value
                 elif own[i] != value:
                     whole = False
-            if whole:
-                matched.append(q)
-        share = len(matched) / n_windows
-        if not sound or not matched or share + 1e-12 < least:
-            return None
-        return {"n_windows": n_windows, "n_matched": len(matched), "similarity": share, "first_word": min(matched), "last_word": max(matched) + width, "changed": changed}
+                    continue
+                to.setdefault(i, q + t)
+            matched += whole
+        # words beside the windows, along the diagonal of the last kept word before or after them
+        taken = set(to.values())
+        for turn in (1, -1):
+            last = None
+            for i in range(len(own))[::turn]:
+                if i in to:
+                    last = i
+                    continue
+                j = -1 if last is None or abs(i - last) > 2 * WINDOW else to[last] + i - last
+                if not 0 <= j < len(sb) or j in taken:
+                    continue
+                value, key = word(raw_b, sb, eb, j), slot(i, names)
+                if same(i, j, value, names) and (key is None or values.setdefault(key, value) == value):
+                    to[i] = j
+                    taken.add(j)
+                    last = i
+        kept, share = sorted(to), max(matched / n_windows, len(to) / len(own))
+        if not sound or share + 1e-12 < least:
+            kept = longest(to, names)
+            if len(kept) < RUN:
+                return None
+        pairs = [(own[i], word(raw_b, sb, eb, to[i])) for i in kept if slot(i, names)]
+        changed = {a.decode("utf-8", "replace"): b.decode("utf-8", "replace") for a, b in pairs if a != b}
+        spots = [to[i] for i in kept]
+        return {"n_windows": n_windows, "n_matched": matched, "similarity": share if sound else len(kept) / len(own), "first_word": min(spots), "last_word": max(spots) + 1, "changed": changed}
+
+    def longest(to: dict[int, int], names: bool) -> list[int]:
+        """The most words of the item that stand in a row in the text with consistent slots."""
+        best, start, values = [], 0, {}
+        for i in range(len(own)):
+            if i not in to:
+                start, values = i + 1, {}
+                continue
+            if i > start and to[i] != to[i - 1] + 1:
+                start, values = i, {}
+            key = slot(i, names)
+            if key and values.get(key, (to[i], word(raw_b, sb, eb, to[i])))[1] != word(raw_b, sb, eb, to[i]):
+                # the row goes on behind the last place of the other value
+                start = values[key][0] + 1
+                values = {k: v for k, v in values.items() if v[0] >= start}
+            if key:
+                values[key] = (i, word(raw_b, sb, eb, to[i]))
+            if i + 1 - start > len(best):
+                best = list(range(start, i + 1))
+        return best
 
     best = None
     shifts: dict[int, int] = defaultdict(int)
@@ -303,8 +355,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     hits = cut(hits.select("doc_id", "text", "hits", row.alias("row")))
     windows_of = hits.select("row", F.explode("hits").alias("hash")).distinct()
     texts = items.distinct().groupBy("item_id", F.xxhash64("text").alias("version"), "width", "hash", "pos").agg(F.max("n").alias("n"))
-    met = windows_of.join(texts, "hash").groupBy("row", "item_id", "version", "width").agg(F.count_distinct("pos").alias("met"), F.max("n").alias("n"))
-    enough = met.where(F.col("met") >= F.col("n") * F.when(F.col("width") > 0, least).otherwise(1.0) - 1e-9)
+    met = windows_of.join(texts, "hash").groupBy("row", "item_id", "version", "width").agg(F.collect_set("pos").alias("at"), F.max("n").alias("n"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.abs("width") - 1)))))
+    floor = F.least(F.col("n") * min(FLOOR, least), F.lit(FLOOR_WORDS))
+    enough = met.where(covered >= F.when(F.col("width") > 0, floor).otherwise(F.col("n")) - 1e-9)
     named = benchmark.select(F.col("item_id").cast("long").alias("i2"), F.col("text").alias("item"), F.xxhash64("text").alias("v2")).distinct()
     pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2"))).select("row", "item_id", "item", "width")
     pairs = pairs.join(hits.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").select("doc_id", "item_id", "width", "item", "text")

@@ -73,7 +73,7 @@ def test_names_that_open_sentences(spark):
     item = "Tom has 3 red apples in a basket. Tom buys 4 more of them at the shop. Then he gives half of all to Anna."
     other = item.replace("Tom", "Ann").replace("3", "9").replace("4", "2").replace("Anna", "Ruth")
     mixed = "we know that " + other.replace("basket. Ann", "basket; Ann")
-    clash = item.replace("Tom", "Ann", 1).replace("Tom", "Bob").replace(" buys", " sold").replace(" gives", " eats")
+    clash = "Ann has 9 apples. Bob buys 2 more."
     short = "Tom has 3 apples. Tom buys 4 more."
     got = found(spark, [FILLER + other + " " + FILLER, FILLER + mixed, clash, "Ann has 9 apples. Ann buys 2 more.", item, "He said so. " + item], [item, short])
     assert {k for k in got if k[1] == 0} == {(0, 0), (1, 0), (4, 0), (5, 0)}
@@ -90,3 +90,15 @@ def test_items_without_telling_windows_match_verbatim(spark):
     got = found(spark, docs, items)
     assert set(got) == {(0, 0), (1, 1), (4, 2), (6, 3)}
     assert got[0, 0]["first_word"] == 19 and got[0, 0]["last_word"] == 25 and got[0, 0]["n_changed"] == 0
+
+
+def test_edited_and_partly_leaked_items_are_found(spark):
+    rest = "Every clerk then writes each name into a green book, folds the map along its old lines and sends a boy to fetch more ink from the shop behind the church before the bell rings."
+    long = ITEM + " " + rest
+    edited = ITEM.replace("station", "depot").replace("whole", "entire").replace("stays", "holds")
+    cut_out = ITEM.replace("old ", "").replace("will the", "will then the")
+    part = FILLER + rest + " " + FILLER
+    half = " ".join(ITEM.split()[: len(ITEM.split()) // 2])
+    got = found(spark, [FILLER + edited + " " + FILLER, cut_out, part, half + ". " + FILLER, FILLER * 4], [ITEM, long])
+    assert {k for k in got if k[1] == 0} == {(0, 0), (1, 0)} and (2, 1) in got and (3, 1) not in got
+    assert got[0, 0]["similarity"] > 0.85
