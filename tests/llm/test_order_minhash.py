@@ -117,3 +117,38 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 500: 500}
     assert components(df.limit(0)).count() == 0
+
+
+def edited(r, base, share):
+    """base with exactly that share of its words substituted, dropped or preceded by another, rounded down."""
+    out = list(base)
+    for n, at in enumerate(sorted(r.sample(range(len(base)), int(len(base) * share + 1e-9)), reverse=True)):
+        kind = r.choice("sssdi")
+        out[at : at + 1] = [] if kind == "d" else [f"e{r.getrandbits(60)}"] if kind == "s" else [f"e{r.getrandbits(60)}", out[at]]
+    return " ".join(out)
+
+
+def test_recall_at_the_threshold(spark):
+    """Isolated pairs with 10, 15 and 20 % of their words edited, against the alignment of every pair."""
+    r = random.Random(8)
+    rows, pairs = [], []
+    for size in (5, 8, 10, 13, 16, 20, 31, 40, 100, 300):
+        for share in (0.1, 0.15, 0.2):
+            for _ in range(40):
+                base = [f"b{r.getrandbits(60)}" for _ in range(size)]
+                a, b = len(rows), len(rows) + 1
+                rows += [(a, " ".join(base)), (b, edited(r, base, share))]
+                if rows[a][1] == rows[b][1] or similar(word_ids(rows[a][1]), word_ids(rows[b][1]), 0.8):
+                    pairs.append((size, share, a, b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in O.near_duplicates(docs).collect()}
+    missed = [(size, share) for size, share, a, b in pairs if got[b] != a]
+    print(f"{len(pairs) - len(missed)} of {len(pairs)} found; missed {missed}")
+    assert len(pairs) > 1000 and len(missed) <= 0.01 * len(pairs)
+    assert all(got[a] == a for _, _, a, _ in pairs)
+
+
+def test_short_text_with_a_middle_word_changed(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    docs = spark.createDataFrame([(i, " ".join(words[:i] + ["other"] + words[i + 1 :])) for i in range(10)] + [(10, " ".join(words))], "doc_id long, text string")
+    assert {x["class_id"] for x in O.near_duplicates(docs).collect()} == {0}
