@@ -5,13 +5,18 @@ digests. The exact table (key, refs) counts the documents that hold a key; it is
 map-side sums, so a line of a third of all documents is no hot key. Keys at or over the threshold
 are common: all their lines go. Each shard of the common keys has a cuckoo filter of 16-bit
 fingerprints, from which keys can be taken out again, so that documents can be inserted and
-deleted at any time. Lines are probed in the filters, and hits are confirmed in the exact table.
-
-While filters and common keys are under BROADCAST_BYTES, which is measured first, they go to every
-task; beyond it, lines are joined with the table by key. Both ways give the same result.
-
-Defined cases: null and empty texts are one empty line; empty keys are never common; a row is a
-document, so repeated rows count each; an empty table gives empty tables; other columns are kept.
+deleted at any time.
+
+There is one way at every size. The digests of every document's lines go to their shard, where the
+shard's filter is probed and its hits are confirmed among the shard's exact keys; what is confirmed
+comes back to its document by a hash of the row. A shard's digests are dealt to as many parts as
+its reference counts call for, so neither a hot line nor a hot shard is one task, and every part
+holds one filter and the keys of one shard, which SHARD_KEYS bounds.
+
+Defined cases: null and empty texts are one empty line; empty keys are never common; rows of one
+doc_id are one document, whose lines count once, and rows of a null doc_id count each; every row is
+returned; an empty table gives empty tables; columns named n_lines, n_dropped or kept are replaced by
+apply() and kept by drop_common_lines(). Documents that are inserted are taken to be new ones.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ from .grouping import map_groups
 from .runtime import cut_table
 
 THRESHOLD, SHARD_KEYS = 10, 50_000
-BROADCAST_BYTES = 64 << 20
+#: Digests of one probing task, about.
+PROBE_ROWS = 300_000
 HELD_KEYS = 200_000
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -116,10 +122,10 @@ def halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def line_counts(docs: DataFrame) -> DataFrame:
     """(key, refs): the documents that hold each key; rows are summed before they are shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -128,7 +134,7 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return out
 
         for batch in batches:
-            for value in batch.column(0):
+            for value in batch.column("raw"):
                 raw = value.as_buffer()
                 if raw is None:
                     continue
@@ -138,7 +144,22 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.encode(F.col(text), "UTF-8").alias("raw")).mapInArrow(run, "key binary, refs long").groupBy("key").agg(F.sum("refs").alias("refs"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, value in zip(batch.column("doc_id"), batch.column("raw")):
+                if (raw := value.as_buffer()) is not None:
+                    keys = list({d for line in raw.to_pybytes().split(b"\n") if (d := digest_of(line))})
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(keys), pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text"), "UTF-8").alias("raw"))
+    again = cut_table(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        counts = rows.mapInArrow(sums, "key binary, refs long")
+    else:
+        alone = rows.join(again, "doc_id", "left_anti").mapInArrow(sums, "key binary, refs long")
+        pairs = rows.join(again, "doc_id", "left_semi").mapInArrow(each, "doc_id long, key binary").distinct()
+        counts = alone.union(pairs.select("key", F.lit(1).cast("long").alias("refs")))
+    return counts.groupBy("key").agg(F.sum("refs").alias("refs"))
 
 
 def merge_counts(*signed: tuple[DataFrame, int]) -> DataFrame:
@@ -154,6 +175,11 @@ def shard_of(shards: int) -> Column:
     return F.pmod(F.conv(F.substring(F.hex("key"), 1, 8), 16, 10).cast("long"), F.lit(shards))
 
 
+def shards_of(digests: np.ndarray, shards: int) -> np.ndarray:
+    """The same of digest halves."""
+    return (digests[:, 0] >> np.uint64(32)).astype(np.int64) % shards
+
+
 class LineIndex:
     """Reference counts of one collection, with insert and delete, the common keys and their filters."""
 
@@ -211,68 +237,102 @@ class LineIndex:
     def delete(self, docs: DataFrame) -> LineIndex:
         return self.changed(docs, -1)
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with columns n_lines, n_dropped and kept (the text without its common lines)."""
-        size = self.n_common * 16 + (self.filters.agg(F.sum(F.octet_length("bits"))).first()[0] or 0)
-        if size > BROADCAST_BYTES:
-            return self.apply_joined(docs)
-        context = docs.sparkSession.sparkContext
-        state = context.broadcast(({r["shard"]: bytes(r["bits"]) for r in self.filters.collect()}, frozenset(bytes(r["key"]) for r in self.common.collect())))
-        shards = self.shards
+    def common_lines(self, docs: DataFrame) -> DataFrame:
+        """(row, gone): the digests of the common lines of each row, by row_key(); rows without any have none."""
+        shards, parts = self.shards, self.parts()
+        state = docs.sparkSession.sparkContext.broadcast(parts)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n_parts = state.value
+            for batch in batches:
+                rows, digests = [], []
+                for row, value in zip(batch.column("row").to_pylist(), batch.column("raw")):
+                    if (raw := value.as_buffer()) is not None:
+                        own = {d for line in raw.to_pybytes().split(b"\n") if (d := digest_of(line))}
+                        digests += own
+                        rows += [row] * len(own)
+                row = np.array(rows, np.int64)
+                shard = shards_of(halves(digests), shards)
+                part = (row.view(np.uint64) % n_parts[shard].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(part), pa.array(np.ones(len(row), np.int64)), pa.array(row), pa.array(digests, pa.binary())], ["shard", "part", "kind", "row", "data"])
+
+        def probe(group: pa.Table) -> pa.RecordBatch | None:
+            kind, data = group.column("kind").to_numpy(), group.column("data")
+            bits, own = (np.flatnonzero(kind == k) for k in (-1, 1))
+            if not len(bits) or not len(own):
+                return None
+            filter_ = CuckooFilter(table=np.frombuffer(data[int(bits[0])].as_buffer(), np.uint16).reshape(-1, SLOTS))
+            exact = set()
+            for k in np.flatnonzero(kind == 0).tolist():
+                raw = data[k].as_py()
+                exact.update(raw[i : i + 16] for i in range(0, len(raw), 16))
+            asked = data.take(pa.array(own)).to_pylist()
+            maybe = np.flatnonzero(filter_.contains(halves(asked)))
+            sure = [i for i in maybe.tolist() if asked[i] in exact]
+            return pa.RecordBatch.from_arrays([group.column("row").take(pa.array(own[sure])).combine_chunks(), pa.array([asked[i] for i in sure], pa.binary())], ["row", "key"])
+
+        rows = docs.select(row_key().alias("row"), F.encode("text", "UTF-8").alias("raw")).where("raw is not null")
+        asked = rows.mapInArrow(deal, "shard long, part long, kind long, row long, data binary")
+        # every part of a shard gets the shard's filter and its exact keys
+        spread = docs.sparkSession.createDataFrame([(s, int(n)) for s, n in enumerate(parts)], "shard long, n int")
+        every = lambda own, kind: own.join(F.broadcast(spread), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("part"), F.lit(kind).cast("long").alias("kind"), F.lit(0).cast("long").alias("row"), "data")
+        exact = self.common.select(shard_of(shards).alias("shard"), "key").groupBy("shard").agg(F.unhex(F.array_join(F.transform(F.collect_list("key"), F.hex), "")).alias("data"))
+        state_rows = every(self.filters.select("shard", F.col("bits").alias("data")), -1).union(every(exact, 0))
+        found = map_groups(state_rows.union(asked), ["shard", "part"], probe, "row long, key binary")
+        return found.groupBy("row").agg(F.collect_set("key").alias("gone"))
+
+    def parts(self) -> np.ndarray:
+        """Parts of each shard, by the digests that the counted documents hold there; one number for each shard."""
+        out = np.ones(self.shards, np.int64)
+        for r in self.counts.groupBy(shard_of(self.shards).alias("shard")).agg(F.sum("refs").alias("n")).collect():
+            out[r["shard"]] = -(-r["n"] // PROBE_ROWS)
+        return out
+
+    def cleaned(self, docs: DataFrame, carry: DataFrame) -> DataFrame:
+        """The columns of carry (docs with the columns __row and text) but text, and n_lines, n_dropped and kept."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter(table=np.frombuffer(bits, np.uint16).reshape(-1, SLOTS)) for s, bits in state.value[0].items()}
-            common = state.value[1]
             for batch in batches:
-                texts = [b"" if (v := x.as_buffer()) is None else v.to_pybytes() for x in batch.column("__raw")]
-                lines = [t.split(b"\n") for t in texts]
-                digests = [digest_of(line) or b"" for own in lines for line in own]
-                solid = np.array([bool(d) for d in digests], bool)
-                maybe = np.zeros(len(digests), bool)
-                parts = halves([d for d in digests if d])
-                home = (parts[:, 0] >> np.uint64(32)).astype(np.int64) % shards
-                hit = np.zeros(len(parts), bool)
-                for s, f in filters.items():
-                    own = np.flatnonzero(home == s)
-                    hit[own] = f.contains(parts[own])
-                maybe[solid] = hit
-                drop = [m and d in common for m, d in zip(maybe.tolist(), digests)]
-                at, kept, dropped = 0, [], []
-                for own in lines:
-                    flags = drop[at : at + len(own)]
-                    at += len(own)
-                    dropped.append(sum(flags))
-                    kept.append(b"\n".join(line for line, f in zip(own, flags) if not f) if any(flags) else b"\n".join(own))
-                rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__raw"]
-                names = [n for n in batch.schema.names if n != "__raw"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([len(x) for x in lines], pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_lines", "n_dropped", "__kept"])
-
-        source = docs.withColumn("__raw", F.encode("text", "UTF-8")).drop("text", "n_lines", "n_dropped", "kept")
-        schema = source.drop("__raw").withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "__kept": F.lit(b"")}).schema
+                n_lines, n_dropped, kept = [], [], []
+                for value, gone in zip(batch.column("__raw"), batch.column("__gone").to_pylist()):
+                    raw = b"" if (v := value.as_buffer()) is None else v.to_pybytes()
+                    n_lines.append(raw.count(b"\n") + 1)
+                    if gone:
+                        gone = frozenset(gone)
+                        rest = [line for line in raw.split(b"\n") if digest_of(line) not in gone]
+                        n_dropped.append(n_lines[-1] - len(rest))
+                        raw = b"\n".join(rest)
+                    else:
+                        n_dropped.append(0)
+                    kept.append(raw)
+                names = [n for n in batch.schema.names if n not in ("__raw", "__gone")]
+                columns = [batch.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_lines", "n_dropped", "__kept"])
+
+        # as a table its size is known: texts are not shuffled where common lines are few
+        gone = cut_table(self.common_lines(docs), "common-lines")
+        source = carry.join(gone, carry["__row"] == gone["row"], "left").drop("row", "__row").withColumnRenamed("gone", "__gone")
+        source = source.withColumn("__raw", F.encode("text", "UTF-8")).drop("text")
+        schema = source.drop("__raw", "__gone").withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "__kept": F.lit(b"")}).schema
         for field in schema:
             field.nullable = True
         return source.mapInArrow(run, schema).withColumn("kept", F.decode("__kept", "UTF-8")).drop("__kept")
 
-    def apply_joined(self, docs: DataFrame) -> DataFrame:
-        """The same where common keys are too many for every task: lines join the exact table by key."""
-        lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-        key = lambda x: F.translate(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        marked = lambda: F.transform(lines, lambda x: F.unhex(F.md5(key(x))))
-        source = docs.withColumns({"__keys": marked(), "__lines": lines}).drop("n_lines", "n_dropped", "kept")
-        id_ = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))
-        source = source.withColumns({"__a": id_, "__b": F.md5(F.coalesce("text", F.lit("")))})
-        held = source.select("__a", "__b", F.explode(F.array_distinct("__keys")).alias("key")).distinct()
-        hits = held.join(self.common, "key").groupBy("__a", "__b").agg(F.collect_list("key").alias("__hits"))
-        joined = source.join(hits, ["__a", "__b"], "left")
-        gone = F.coalesce("__hits", F.array().cast("array<binary>"))
-        kept = F.filter("__lines", lambda x: ~F.array_contains(gone, F.unhex(F.md5(key(x)))))
-        out = joined.withColumns({"n_lines": F.size("__lines").cast("long"), "kept": F.array_join(kept, "\n"), "n_dropped": (F.size("__lines") - F.size(kept)).cast("long")})
-        return out.drop("__keys", "__lines", "__a", "__b", "__hits", "text")
+    def apply(self, docs: DataFrame) -> DataFrame:
+        """docs with columns n_lines, n_dropped and kept (the text without its common lines) in place of text."""
+        return self.cleaned(docs, docs.drop("n_lines", "n_dropped", "kept").withColumn("__row", row_key()))
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text. Rows that share one only look for each other's common lines too, which is no harm."""
+    return F.xxhash64("doc_id", "text")
 
 
 def drop_common_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with their columns, texts rid of lines that at least threshold documents hold; n_chars follows the text."""
-    out = LineIndex.build(docs, threshold).apply(docs)
-    changed = F.col("kept").alias("text")
-    columns = [changed if c == "text" else F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    rest = [c for c in docs.columns if c != "text"]
+    carry = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__doc"), "text", row_key().alias("__row"))
+    out = LineIndex.build(docs, threshold).cleaned(docs, carry)
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("__doc.n_chars")) if "n_chars" in rest else None
+    columns = [F.col("kept").alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
     return out.select(*columns)

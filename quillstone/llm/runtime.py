@@ -55,3 +55,30 @@ def cut_table(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own that goes when the run's result is written.
+
+    with Scratch(spark, "op") as s: ... return cut_table(result, "result")
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.count = spark, scratch_path(spark, label), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table of this folder that nothing reads any more."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove_path(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove_path(self.spark, self.root)
