@@ -1,18 +1,21 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's chance is the logistic of a bias plus the weights of
-the words it holds and of their beginnings (three to six bytes, which join inflected forms); of
-these the FEATURES that tell the labels apart best are kept. A document's score is their noisy-or, 1 - prod(1 - p), so one offending sentence is
-enough and the sentences with high chances are the ones to show. Weights are fitted by Adam on the
-likelihood of document labels alone.
+the words it holds and of their beginnings (three to six bytes, which join inflected forms; of a shorter
+word the whole); of these the FEATURES that tell the labels apart best are kept. A document's score is
+their noisy-or, 1 - prod(1 - p), so one offending sentence is enough and the sentences with high chances
+are the ones to show. Weights are fitted by Adam on the likelihood of document labels alone, where a
+share NOISE of documents is taken to be labelled toxic without an offending sentence. Weights are not
+negative: harmless words beside an offending one don't excuse it.
 
 The fit is held to FIT_DOCUMENTS labelled rows (least hash of doc_id first) and FIT_BYTES of their
-text; every document is scored, whole. Inputs of a score are the words of the text only. Rows whose
-crc32(doc_id as text) mod 5 is 0 are held out of the fit.
+text, of rows of at most FIT_ROW_BYTES; every document is scored, whole. Inputs of a score are the
+words of the text only. Rows whose crc32(doc_id as text) mod 5 is 0 are held out of the fit.
 
 Defined cases: null and empty texts have no sentence and score 0; with no usable labels all score 0;
 null labels are left out, of several labels of a document the largest counts; repeated rows each
-get a row; a null doc_id is not held out and takes no part in the fit.
+get a row; a null doc_id is not held out and takes no part in the fit; a labelled text longer than
+FIT_ROW_BYTES takes no part in it either, and those after it do.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .runtime import cut_table
+from .runtime import Scratch
 
-FIT_DOCUMENTS, FIT_BYTES = 8000, 48 << 20
+FIT_DOCUMENTS, FIT_BYTES, FIT_ROW_BYTES = 8000, 48 << 20, 1 << 20
 PREFIXES = (3, 4, 5, 6)
 FEATURES, LEAST_DOCUMENTS = 4000, 8
-#: Steps of the fit, their rate, weight decay, and what a toxic document counts.
-ROUNDS, RATE, DECAY, POSITIVE = 200, 0.1, 3e-4, 2.0
+#: Steps of the fit, their rate, weight decay, what a toxic document counts, and the share of labels without a cause.
+ROUNDS, RATE, DECAY, POSITIVE, NOISE = 200, 0.1, 2e-4, 6.0, 0.03
 
 IS_INNER = np.ones(256, bool)
 IS_INNER[list(b".!?\n\r|")] = False
@@ -50,9 +53,8 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     place = np.searchsorted(starts, first, "right") - 1
     hashes, where = [B.span_hash(prefix, first, last)], [place]
     for n in PREFIXES:
-        longer = last - first > n
-        hashes.append(B.mix(B.span_hash(prefix, first[longer], first[longer] + n) ^ np.uint64(n)))
-        where.append(place[longer])
+        hashes.append(B.mix(B.span_hash(prefix, first, np.minimum(first + n, last)) ^ np.uint64(n)))
+        where.append(place)
     return starts, ends, rows, np.concatenate(hashes), np.concatenate(where)
 
 
@@ -114,57 +116,59 @@ def fit(vocabulary: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]],
         z = x[-1] + np.bincount(sentence, x[:-1][word], n)
         p = -np.expm1(-softplus(z))
         clean = np.exp(-np.bincount(owner, softplus(z), len(keep)))
-        pull = np.where(y > 0, clean / np.maximum(1 - clean, 1e-9), -1.0)
+        pull = np.where(y > 0, (1 - NOISE) * clean / np.maximum(1 - (1 - NOISE) * clean, 1e-9), -1.0)
         slope = p * (pull * np.where(y > 0, POSITIVE, 1.0))[owner] / len(keep)
         grad = np.append(np.bincount(word, slope[sentence], len(vocabulary)), slope.sum())
         grad[:-1] -= DECAY * x[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         x = x + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        x[:-1] = np.maximum(x[:-1], 0)
     used = np.abs(x[:-1]) > 0.01
     return Model(vocabulary[used], x[:-1][used], float(x[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> Model:
-    """Fits on at most most labelled documents and most_bytes of text; which ones, doc_id's hash decides."""
-    usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-    # the chosen ids are at most most rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"])
-    ahead = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    room = rows.select("doc_id", F.octet_length("text").alias("n")).select("doc_id", F.sum("n").over(ahead).alias("upto")).where(F.col("upto") <= most_bytes).select("doc_id")
-    rows = cut_table(rows.join(F.broadcast(room), "doc_id").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "text"), "labelled")
-    n, n_toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
-    if not n_toxic or n_toxic == n:
-        return fit(np.zeros(0, np.uint64), [], np.zeros(0, int))
-    seen = rows.select("toxic", "text").mapInArrow(count_features, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    share = F.col("n") / n
-    apart = F.abs(F.col("toxic") / n_toxic - (F.col("n") - F.col("toxic")) / (n - n_toxic)) / F.sqrt(share * (1 - share) + 1e-9)
-    best = seen.where(F.col("n") >= min(LEAST_DOCUMENTS, max(1, n // 50))).orderBy(apart.desc(), "feature").limit(FEATURES)
-    vocabulary = np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64))
-    state = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = B.flat(batch.column("text"))
-            out: list[tuple[bytes, bytes, int]] = []
-            for i, j in B.slices(offsets):
-                starts, _, rows, hashes, sentence = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at, where = known(state.value, hashes, sentence)
-                first = np.searchsorted(rows, np.arange(j - i + 1))
-                cuts = np.searchsorted(where, first)
-                for r in range(j - i):
-                    own = slice(cuts[r], cuts[r + 1])
-                    out.append((at[own].astype(np.int32).tobytes(), (where[own] - first[r]).astype(np.int32).tobytes(), int(first[r + 1] - first[r])))
-            columns = [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *columns], ["doc_id", "toxic", "place", "sentence", "n"])
-
-    got = sorted(rows.mapInArrow(bag, "doc_id long, toxic int, place binary, sentence binary, n long").collect(), key=lambda r: r["doc_id"])
-    number = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
-    return fit(vocabulary, [(number(r["place"]), number(r["sentence"]), r["n"]) for r in got], np.array([r["toxic"] for r in got]))
+def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES, row_bytes: int = FIT_ROW_BYTES) -> Model:
+    """Fits on at most most labelled documents and most_bytes of text in rows of at most row_bytes; which ones, doc_id's hash decides."""
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+        usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+        chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+        # the chosen ids are at most most rows of two numbers
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+        rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= row_bytes).groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.text", "x.toxic")
+        ahead = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        room = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).select("doc_id", F.sum("n").over(ahead).alias("upto")).where(F.col("upto") <= most_bytes).select("doc_id")
+        rows = scratch.table(rows.join(F.broadcast(room), "doc_id").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "text"))
+        n, n_toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
+        if not n_toxic or n_toxic == n:
+            return fit(np.zeros(0, np.uint64), [], np.zeros(0, int))
+        seen = rows.select("toxic", "text").mapInArrow(count_features, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+        share = F.col("n") / n
+        apart = F.abs(F.col("toxic") / n_toxic - (F.col("n") - F.col("toxic")) / (n - n_toxic)) / F.sqrt(share * (1 - share) + 1e-9)
+        best = seen.where(F.col("n") >= min(LEAST_DOCUMENTS, max(1, n // 50))).orderBy(apart.desc(), "feature").limit(FEATURES)
+        vocabulary = np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64))
+        state = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+        def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = B.flat(batch.column("text"))
+                out: list[tuple[bytes, bytes, int]] = []
+                for i, j in B.slices(offsets):
+                    starts, _, rows, hashes, sentence = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    at, where = known(state.value, hashes, sentence)
+                    first = np.searchsorted(rows, np.arange(j - i + 1))
+                    cuts = np.searchsorted(where, first)
+                    for r in range(j - i):
+                        own = slice(cuts[r], cuts[r + 1])
+                        out.append((at[own].astype(np.int32).tobytes(), (where[own] - first[r]).astype(np.int32).tobytes(), int(first[r + 1] - first[r])))
+                columns = [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *columns], ["doc_id", "toxic", "place", "sentence", "n"])
+
+        got = sorted(rows.mapInArrow(bag, "doc_id long, toxic int, place binary, sentence binary, n long").collect(), key=lambda r: r["doc_id"])
+        number = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
+        return fit(vocabulary, [(number(r["place"]), number(r["sentence"]), r["n"]) for r in got], np.array([r["toxic"] for r in got]))
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

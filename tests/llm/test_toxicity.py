@@ -1,6 +1,9 @@
+import os
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import bytesops as B
 from quillstone.llm import toxicity as X
@@ -59,3 +62,58 @@ def test_defined_cases(spark):
     odd = spark.createDataFrame([(1, 1, None), (None, 1, 1), (3, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
     assert X.judge(docs, odd).count() == 5
     assert X.judge(docs.limit(0), odd).count() == 0
+
+
+def test_overlong_labelled_text_is_skipped_and_the_rest_fitted(spark):
+    docs, labels = toy(200)
+    first = min((i for i, _ in docs), key=lambda i: spark.sql(f"SELECT xxhash64({i}L)").first()[0])
+    docs = [(i, "x " * 300_000 if i == first else t) for i, t in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    l = spark.createDataFrame([(i, q, 1 if i == first else t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    model = X.train(d, l, most_bytes=400_000, row_bytes=100_000)
+    without = X.train(d.where(F.col("doc_id") != first), l)
+    assert len(model.vocabulary) and (model.vocabulary == without.vocabulary).all() and np.allclose(model.weights, without.weights)
+    assert not len(X.train(d, l, most_bytes=10).vocabulary)
+
+
+def test_fit_equals_a_plain_loop_and_gradients_of_the_likelihood():
+    r = np.random.default_rng(5)
+    bags, labels = [], r.integers(0, 2, 30)
+    for y in labels:
+        n = int(r.integers(1, 4))
+        k = int(r.integers(1, 6))
+        pair = np.unique(r.integers(0, n, k) * 5 + np.where(y and r.random(k) < 0.5, 0, r.integers(0, 5, k)))
+        bags.append((pair % 5, pair // 5, n))
+
+    def loss(x):
+        total = 0.0
+        for (word, sentence, n), y in zip(bags, labels):
+            clean = 1.0
+            for s in range(n):
+                clean *= 1 - 1 / (1 + np.exp(-(x[-1] + sum(x[w] for w, t in zip(word, sentence) if t == s))))
+            total += X.POSITIVE * np.log(1 - (1 - X.NOISE) * clean) if y else np.log(clean)
+        return total / len(labels) - X.DECAY / 2 * (x[:-1] ** 2).sum()
+
+    x = np.append(np.zeros(5), -np.log(sum(b[2] for b in bags) / 30) - 2.0)
+    first = second = np.zeros(6)
+    for step in range(1, 41):
+        # slopes by differences of the likelihood itself
+        grad = np.array([(loss(x + e) - loss(x - e)) / 2e-5 for e in np.eye(6) * 1e-5])
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        x = x + X.RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        x[:-1] = np.maximum(x[:-1], 0)
+    model = X.fit(np.arange(5).astype(np.uint64), bags, labels, 40)
+    got = np.append(np.zeros(5), model.bias)
+    got[model.vocabulary.astype(int)] = model.weights
+    assert np.allclose(got, np.where(np.append(x[:-1], 1) > 0.01, x, 0), atol=1e-3)
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_documents_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = X.judge(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r["toxic"]: r["p"] for r in rows}
+    assert share[1] >= 0.9 and share[0] <= 0.015
