@@ -20,7 +20,9 @@ Defined cases: null and empty texts hold no window; an item of fewer than five w
 than 64 without a telling window, is one window of all its words if three of them are literal. Every
 other item without a telling window, of whatever length, is met by its own words in a row, numbers,
 units and names as they are; an item without words matches nothing; repeated rows of either table count once; null ids give
-rows with null ids; empty tables give an empty table.
+rows with null ids; rows of one doc_id with different texts are judged each by its own text; empty tables
+give an empty table. Two values of an item may become one value in a document (3 and 4 both turned to 5),
+but one value never two.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .runtime import cut
+from .runtime import Scratch, cut_table
 
 WINDOW, LITERALS, SIMILARITY = 5, 3, 0.8
 BLOCK_WINDOWS = 2_000_000
@@ -47,7 +49,10 @@ UNITS = (
     "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "ml l liter liters litre litres gallon gallons cup cups "
     "hz khz mhz ghz w kw v a j kj n pa kpa mph kmh percent degrees degree "
-    "usd eur gbp dollar dollars cent cents euro euros"
+    "usd eur gbp dollar dollars cent cents euro euros "
+    "meile meilen zoll pfund tonne tonnen gramm kilogramm sekunde sekunden minuten stunde stunden tag tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "metre mille milles pouce pouces gramme grammes kilogramme kilogrammes seconde secondes heure heures jour jours semaine semaines mois an ans litre pourcent degr\u00e9 degr\u00e9s "
+    "metro metros kil\u00f3metro kil\u00f3metros milla millas gramo gramos kilo kilos segundo segundos minuto minutos hora horas d\u00eda d\u00edas semana semanas mes meses a\u00f1o a\u00f1os litro litros grado grados d\u00f3lar d\u00f3lares"
 ).split()
 NUM, UNIT, NAME, LITERAL = 1, 2, 3, 0
 SLOT_HASH = B.mix(np.arange(4, dtype=np.uint64) + np.uint64(0x51_0000))
@@ -338,49 +343,62 @@ def aligned(item: str, text: str, width: int, least: float) -> dict | None:
     return best
 
 
+def row_of(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells a row of docs from others: the digest of its text and its doc_id."""
+    return F.md5(docs["text"]), docs["doc_id"].cast("long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per contaminated document and benchmark item: doc_id, item_id, n_windows, n_matched, similarity,
     first_word and last_word (token positions in the document), n_changed and changed (slot values that differ)."""
-    items = cut(item_windows(benchmark))
-    distinct = items.select("width", "hash").distinct()
-    widths = {r["width"]: r["n"] for r in distinct.groupBy("width").agg(F.count("*").alias("n")).collect()}
-    blocks = max(1, -(-sum(widths.values()) // block))
-    hits = None
-    for b in range(blocks):
-        got = distinct.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b).collect()
-        wanted = {w: np.unique(np.array([r["hash"] for r in got if r["width"] == w], np.int64).view(np.uint64)) for w in {r["width"] for r in got}}
-        part = document_hits(docs, wanted)
-        hits = part if hits is None else hits.union(part)
-    row = F.struct(F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").alias("id"))
-    hits = cut(hits.select("doc_id", "text", "hits", row.alias("row")))
-    windows_of = hits.select("row", F.explode("hits").alias("hash")).distinct()
-    texts = items.distinct().groupBy("item_id", F.xxhash64("text").alias("version"), "width", "hash", "pos").agg(F.max("n").alias("n"))
-    met = windows_of.join(texts, "hash").groupBy("row", "item_id", "version", "width").agg(F.collect_set("pos").alias("at"), F.max("n").alias("n"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.abs("width") - 1)))))
-    floor = F.least(F.col("n") * min(FLOOR, least), F.lit(FLOOR_WORDS))
-    enough = met.where(covered >= F.when(F.col("width") > 0, floor).otherwise(F.col("n")) - 1e-9)
-    named = benchmark.select(F.col("item_id").cast("long").alias("i2"), F.col("text").alias("item"), F.xxhash64("text").alias("v2")).distinct()
-    pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2"))).select("row", "item_id", "item", "width")
-    pairs = pairs.join(hits.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").select("doc_id", "item_id", "width", "item", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_windows", "n_matched", "similarity", "first_word", "last_word"]
-        for batch in batches:
-            at, found = [], []
-            for r, (width, item, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "item", "text")))):
-                if got := aligned(item, text, width, least):
-                    at.append(r)
-                    found.append(got)
-            at = pa.array(at, pa.int64())
-            columns = [pa.array([f[n] for f in found], pa.float64() if n == "similarity" else pa.int64()) for n in names]
-            changed = pa.array([list(f["changed"].items()) for f in found], pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("item_id").take(at), *columns, changed], ["doc_id", "item_id", *names, "changed"])
-
-    out = pairs.mapInArrow(run, "doc_id long, item_id long, n_windows long, n_matched long, similarity double, first_word long, last_word long, changed map<string,string>")
-    return out.withColumn("n_changed", F.size("changed").cast("long"))
+    return met_items(docs, benchmark, least, block).drop("digest")
+
+
+def met_items(docs: DataFrame, benchmark: DataFrame, least: float, block: int) -> DataFrame:
+    """The rows of contaminated() with the digest of the document's text; a table in the shared folder."""
+    with Scratch(docs.sparkSession, "templates") as scratch:
+        items = scratch.table(item_windows(benchmark))
+        distinct = scratch.table(items.select("width", "hash").distinct())
+        blocks = max(1, -(-distinct.count() // block))
+        hits = None
+        for b in range(blocks):
+            # two numbers for each window of a block
+            got = distinct.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b).toArrow()
+            width, hashes = got.column("width").to_numpy(), got.column("hash").to_numpy().view(np.uint64)
+            part = document_hits(docs, {int(w): np.unique(hashes[width == w]) for w in np.unique(width)})
+            hits = part if hits is None else hits.union(part)
+        hits = scratch.table(hits.select(F.struct(F.md5("text").alias("digest"), F.col("doc_id").alias("id")).alias("row"), "text", "hits"))
+        windows_of = hits.select("row", F.explode("hits").alias("hash")).distinct()
+        texts = items.distinct().groupBy("item_id", F.xxhash64("text").alias("version"), "width", "hash", "pos").agg(F.max("n").alias("n"))
+        met = windows_of.join(texts, "hash").groupBy("row", "item_id", "version", "width").agg(F.collect_set("pos").alias("at"), F.max("n").alias("n"))
+        covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.abs("width") - 1)))))
+        floor = F.least(F.col("n") * min(FLOOR, least), F.lit(FLOOR_WORDS))
+        enough = met.where(covered >= F.when(F.col("width") > 0, floor).otherwise(F.col("n")) - 1e-9)
+        named = benchmark.select(F.col("item_id").cast("long").alias("i2"), F.col("text").alias("item"), F.xxhash64("text").alias("v2")).distinct()
+        pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2"))).select("row", "item_id", "item", "width")
+        pairs = pairs.join(hits.select("row", "text").dropDuplicates(["row"]), "row").select("row", "item_id", "width", "item", "text")
+        verdicts = "n_windows long, n_matched long, similarity double, first_word long, last_word long, changed map<string,string>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["n_windows", "n_matched", "similarity", "first_word", "last_word"]
+            for batch in batches:
+                at, found = [], []
+                for r, (width, item, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "item", "text")))):
+                    if got := aligned(item, text, width, least):
+                        at.append(r)
+                        found.append(got)
+                at = pa.array(at, pa.int64())
+                columns = [pa.array([f[n] for f in found], pa.float64() if n == "similarity" else pa.int64()) for n in names]
+                changed = pa.array([list(f["changed"].items()) for f in found], pa.map_(pa.string(), pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("item_id").take(at), *columns, changed], ["row", "item_id", *names, "changed"])
+
+        out = pairs.mapInArrow(run, f"row struct<digest:string,id:long>, item_id long, {verdicts}")
+        out = out.select(F.col("row.id").alias("doc_id"), "item_id", *(c.split()[0] for c in verdicts.split(", ")), F.size("changed").cast("long").alias("n_changed"), "row.digest")
+        return cut_table(out, "contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs with their columns, without the contaminated documents; documents of a null doc_id stay."""
-    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("__bad"), "left_anti")
+    """docs with their columns, without the contaminated rows, those of a null doc_id included."""
+    bad = met_items(docs, benchmark, least, BLOCK_WINDOWS).select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id")).distinct()
+    digest, own = row_of(docs)
+    return docs.join(bad, (digest == F.col("__digest")) & own.eqNullSafe(F.col("__id")), "left_anti")
