@@ -75,7 +75,7 @@ FINE, COARSE = 1024, 128
 
 def histogram(words: np.ndarray) -> np.ndarray:
     """Word counts by the low bits of the word; half the L1 distance of two bounds their edit distance from below."""
-    return np.bincount(words & np.uint32(FINE - 1), minlength=FINE).astype(np.int32)
+    return np.bincount((words & words.dtype.type(FINE - 1)).astype(np.int64), minlength=FINE).astype(np.int32)
 
 
 def coarser(fine: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ def split_histograms(words: np.ndarray, cuts: list[int]) -> np.ndarray:
     at most 3 d1 or 3 d2. A third of both sides' L1 thus bounds the distance from below, and tells
     texts whose parts have changed places.
     """
-    low = words & np.uint32(COARSE - 1)
+    low = (words & words.dtype.type(COARSE - 1)).astype(np.int64)
     whole = np.bincount(low, minlength=COARSE)
     ahead = np.stack([np.bincount(low[:c], minlength=COARSE) for c in cuts]) if cuts else np.zeros((0, COARSE), np.int64)
     return np.stack((ahead, whole[None, :] - ahead), axis=1).astype(np.int32)

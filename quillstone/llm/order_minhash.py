@@ -13,8 +13,9 @@ Scattered substitutions at similarity 0.8 give J = 0.34 for k = 3 and 0.47 for k
 of 48 sketches of order 2; tests measure it against all pairs.
 
 Defined cases: a null text counts as empty; equal texts form one class whatever their length; a
-text without words links with equal texts only; one word is one k-mer. Rows of one
-doc_id are one document. Rows with a null doc_id belong to no class.
+text without words links with equal texts only; one word is one k-mer. Rows of one doc_id are one
+document: each of its texts is compared, its class is the least of theirs. Rows with a null doc_id
+belong to no class. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from . import bytesops as B
 from .edit import coarser, cut_points, histogram, similar, split_histograms
 from .graph import components
 from .grouping import map_groups
-from .runtime import cut, cut_table
+from .runtime import Scratch, cut_table
 
 SHINGLE, SKETCHES, ORDER, SIMILARITY = 3, 48, 2, 0.8
 #: Most words of the texts of the first two levels: single k-mers of two words, ordered k-mers of two words.
@@ -131,8 +132,8 @@ def sketch_table(docs: DataFrame, count: int = SKETCHES, order: int = ORDER, k:
     return source.mapInArrow(run, "doc_id long, digest binary, level int, keys array<long>")
 
 
-def word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, words) of the documents of ids: 32-bit word hashes in text order."""
+def word_table(docs: DataFrame, ids: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(node, words) of the texts of ids (node, rep, digest): 64-bit word hashes in text order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +141,22 @@ def word_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for i, j in B.slices(offsets):
                 lo, hi = offsets[i], offsets[j]
                 _, _, rows, hashes = B.words(data[lo:hi], offsets[i : j + 1] - lo)
-                at = B.row_bounds(rows, j - i).astype(np.int64) * 4
-                raw = (hashes >> np.uint64(32)).astype(np.uint32)
+                at = B.row_bounds(rows, j - i).astype(np.int64) * 8
+                raw = np.ascontiguousarray(hashes, np.uint64)
                 words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), words.cast(pa.binary())], ["doc_id", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), words.cast(pa.binary())], ["node", "words"])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    rows = one_each(rows.join(ids, ["rep", "digest"]), repeated.withColumnRenamed("doc_id", "rep"), ["rep", "digest"])
+    return rows.select("node", "text").mapInArrow(run, "node long, words binary")
 
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return source.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, words binary")
+
+def one_each(rows: DataFrame, repeated: DataFrame, key: list[str]) -> DataFrame:
+    """rows with one row of each of the repeated keys, a table; only their rows are shuffled."""
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates(key))
 
 
 def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -156,15 +166,15 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("wa"), batch.column("wb")):
-                u, v = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 longer = max(len(u), len(v))
                 room = (1 - least) * longer + 1e-9
                 close = abs(len(u) - len(v)) <= room and np.abs(histogram(u) - histogram(v)).sum() <= 2 * room
                 keep.append(bool(close and similar(u, v, least)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = words.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"))
-    right = words.select(F.col("doc_id").alias("b"), F.col("words").alias("wb"))
+    left = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
+    right = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
@@ -173,13 +183,13 @@ def compare_bucket(group: pa.Table, least: float) -> pa.RecordBatch | None:
     compared until their classes meet. Pairs with the bucket's hub have been compared before, and a pair of several
     buckets is compared in that of its first common sketch only."""
     i, j, turn = (group.column(c)[0].as_py() for c in ("i", "j", "turn"))
-    ids = group.column("doc_id").to_numpy()
+    ids = group.column("node").to_numpy()
     cls = group.column("class").to_numpy().copy()
     hub = group.column("hub").to_numpy()
     part = group.column("part").to_numpy()
     if (cls == cls[0]).all():
         return None
-    words = [np.frombuffer(x.as_buffer(), np.uint32) for chunk in group.column("words").chunks for x in chunk]
+    words = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("words").chunks for x in chunk]
     sizes = np.array([len(w) for w in words])
     fine = np.stack([histogram(w) for w in words])
     coarse = coarser(fine)
@@ -213,51 +223,79 @@ def compare_bucket(group: pa.Table, least: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES, order: int = ORDER, k: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, class_id (its class's smallest doc_id), kept (doc_id = class_id).
+def classes(docs: DataFrame, least: float, count: int, order: int, k: int, chunk: int) -> DataFrame:
+    """(doc_id, digest, copies, group, class_id) of every document's text, a table in the shared folder: the rows of that
+    doc_id and text, its class, and the smallest doc_id of this class.
 
     Copies of a text are sketched but compared once. Within a bucket every member is first held
     against one hub; what the hub leaves in different classes is compared exhaustively, in chunk
     pairs, so neither the rows of a bucket nor its pairs ever gather in one task. No bucket,
     candidate or partner is capped.
     """
-    sk = cut_table(sketch_table(docs, count, order, k, least), "sketches")
-    texts = cut_table(sk.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("level").alias("level"), F.min("keys").alias("keys")), "texts")
-    keys = texts.select("rep", "level", F.posexplode("keys").alias("turn", "key")).withColumn("turn", F.col("turn") + F.col("level") * count)
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    member = cut(keys.join(buckets, "key").select("key", "turn", "rep", "hub", "n"))
-    pairs = cut(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    words = cut_table(word_table(docs, ids), "words")
-    label = cut(components(verified(pairs, words, least)))
-    named = label.select(F.col("node").alias("rep"), F.col("component").alias("class"))
-    classed = cut(member.where("n > 2").join(named, "rep", "left").select("key", "turn", "rep", "hub", F.coalesce("class", "rep").alias("class")))
-    # buckets that hold several classes; of equal buckets that of the first sketch
-    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.min("rep").alias("least"), F.min("turn").alias("turn")).where("lo <> hi")
-    mixed = mixed.groupBy("size", "sum", "least", "lo", "hi").agg(F.min_by("key", F.struct("turn", "key")).alias("key")).select("key", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    rows = classed.join(mixed, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").cast("long").alias("i"), F.greatest("part", "other").cast("long").alias("j"), F.col("rep").alias("doc_id"), "hub", "class", "part", "turn")
-    rows = rows.join(words, "doc_id").join(texts.select(F.col("rep").alias("doc_id"), "level", "keys"), "doc_id")
-    # the keys of the bucket's level
-    own = F.slice("keys", ((F.floor(F.col("turn") / count) - F.col("level")) * count + 1).cast("int"), count)
-    rows = rows.select("key", "i", "j", (F.col("turn") % count).alias("turn"), "doc_id", "hub", "class", "part", "words", own.alias("keys"))
-    rest = map_groups(rows, ["key", "i", "j"], lambda group: compare_bucket(group, least), "a long, b long")
-    joined = components(rest).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    # a class of one document has no label yet
-    final = label.join(joined, "component", "full")
-    final = final.select(F.coalesce("node", "component").alias("rep"), F.coalesce("joined", "component").alias("class_id"))
-    known = texts.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
-    out = sk.select("doc_id", "digest").join(known, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    with Scratch(docs.sparkSession, "order-minhash") as scratch:
+        table = scratch.table
+        sk = table(sketch_table(docs, count, order, k, least))
+        texts = table(sk.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("level").alias("level"), F.min("keys").alias("keys")))
+        own = table(sk.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")))
+        scratch.drop(sk)
+        # a text is told by its smallest doc_id; only where this has several texts, by a hash
+        several = table(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("hashed")))
+        repeated = table(own.where("copies > 1").select("doc_id", "digest"))
+        node = F.when(F.col("hashed"), -1 - F.abs(F.xxhash64("digest") % (1 << 62))).otherwise(F.col("rep"))
+        texts = texts.join(several, "rep", "left").select(node.alias("node"), "rep", "digest", "level", "keys")
+        keys = texts.select("node", "level", F.posexplode("keys").alias("turn", "key")).withColumn("turn", F.col("turn") + F.col("level") * count)
+        keys = keys.select("key", "turn", "node")
+        buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+        member = table(keys.join(buckets, "key").select("key", "turn", "node", "hub", "n"))
+        pairs = table(member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        words = table(word_table(docs, texts.join(ids, "node", "left_semi").select("node", "rep", "digest"), repeated))
+        label = components(verified(pairs, words, least), scratch)
+        named = label.select("node", F.col("component").alias("class"))
+        classed = table(member.where("n > 2").join(named, "node", "left").select("key", "turn", "node", "hub", F.coalesce("class", "node").alias("class")))
+        # buckets that hold several classes; of equal buckets that of the first sketch
+        mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.min("node").alias("least"), F.min("turn").alias("turn")).where("lo <> hi")
+        mixed = mixed.groupBy("size", "sum", "least", "lo", "hi").agg(F.min_by("key", F.struct("turn", "key")).alias("key")).select("key", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        rows = classed.join(mixed, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("key", F.least("part", "other").cast("long").alias("i"), F.greatest("part", "other").cast("long").alias("j"), "node", "hub", "class", "part", "turn")
+        rows = rows.join(words, "node").join(texts.select("node", "level", "keys"), "node")
+        # the keys of the bucket's level
+        level = F.slice("keys", ((F.floor(F.col("turn") / count) - F.col("level")) * count + 1).cast("int"), count)
+        rows = rows.select("key", "i", "j", (F.col("turn") % count).alias("turn"), "node", "hub", "class", "part", "words", level.alias("keys"))
+        rest = map_groups(rows, ["key", "i", "j"], lambda group: compare_bucket(group, least), "a long, b long")
+        joined = components(rest, scratch).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        # a class of one text has no label yet; as a table joined's size is known, and beyond that of a broadcast
+        # the labels of one giant class can be split
+        merged = label.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("group"))
+        alone = joined.join(label.select("node"), joined["component"] == label["node"], "left_anti")
+        merged = merged.union(alone.select(F.col("component"), F.col("joined")))
+        known = texts.select("node", "digest", "rep").join(merged, "node", "left").select("digest", "rep", F.coalesce("group", "node").alias("group"))
+        named = known.withColumn("class_id", F.col("group"))
+        if not several.isEmpty():
+            # hashes are no doc_ids: a class is named by the smallest of its texts'
+            known = table(known)
+            names = table(known.groupBy("group").agg(F.min("rep").alias("class_id")))
+            named = known.join(names, "group")
+        return cut_table(own.join(named, "digest").select("doc_id", "digest", "copies", "group", "class_id"), "near-duplicates")
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES, order: int = ORDER, k: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, class_id (its class's smallest doc_id), kept (doc_id = class_id)."""
+    out = classes(docs, least, count, order, k, chunk).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but the first (smallest doc_id) document of each class; rows without a doc_id stay.
+def deduplicate(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES, order: int = ORDER, k: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """docs with one row of each class, that of the smallest doc_id (of several texts of this doc_id that of the
+    smallest digest); rows without a doc_id stay. Columns, extra ones included, are kept as they are.
 
-    Columns, extra ones included, are kept as they are.
+    Rows of one doc_id with texts that are no near-duplicates all stay; of rows of one doc_id and text one stays.
     """
-    keep = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    numbered = docs.where("doc_id is not null")
-    kept = numbered.join(keep, numbered["doc_id"].cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    found = classes(docs, least, count, order, k, chunk)
+    winner = found.groupBy("group").agg(F.min(F.struct("doc_id", "digest", "copies")).alias("x")).select("x.*")
+    winner = cut_table(winner.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "copies"), "kept")
+    numbered = docs.where("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__digest": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+    key = ["__id", "__digest"]
+    kept = one_each(numbered.join(winner, key, "left_semi"), winner.where("copies > 1"), key).drop(*key)
     return kept.unionByName(docs.where("doc_id is null"))
