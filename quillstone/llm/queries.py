@@ -71,12 +71,17 @@ _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
 
 OP1_SQL = """
 WITH p AS (
-  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
-), best AS (SELECT d, n, max(page_id) AS r FROM p WHERE n >= 1000 GROUP BY d, n)
-SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN r IS NOT NULL AND p.page_id < r THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN p.page_id < r THEN r END AS refers_to
-FROM p LEFT JOIN best ON p.d = best.d AND p.n = best.n
+  SELECT page_id, url, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), best AS (SELECT d, n, max(page_id) AS r FROM p WHERE n >= 1000 GROUP BY d, n),
+u AS (SELECT p.*, best.r, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS uri FROM p LEFT JOIN best ON p.d = best.d AND p.n = best.n)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id < r THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < r THEN r END AS refers_to,
+       'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' AS response_head,
+       CASE WHEN page_id < r THEN '' ELSE html END AS payload,
+       to_json([{'uri': uri, 'date': '2024-01-01T00:00:00Z', 'head': 'GET ' || coalesce(uri, '/') || ' HTTP/1.1', 'block': ''}])::VARCHAR AS requests,
+       to_json([{'uri': uri, 'date': '2024-01-01T00:00:00Z', 'head': '', 'block': 'page_id: ' || page_id || chr(13) || chr(10)}])::VARCHAR AS metadata
+FROM u
 """
 
 OP2_SQL = """

@@ -5,12 +5,17 @@ its request and its metadata record; request and metadata name the capture by WA
 Reading parses records by their Content-Length, plain or gzip members, and assembly joins the
 records of a capture through those identifiers, chains included, into one nested row.
 
-Archives are written and read by Spark's own file sources, in the shared folder, in files of
-bounded size; a lost executor repeats its files only.
+Archives are written and read by Spark's own file sources, in the shared folder. Captures are packed
+by running bytes, so a file holds FILE_BYTES and one capture at most; a lost executor repeats its
+files only.
 
 Defined cases: a null payload is empty; a null URL has no target header; line breaks in a URL are
-percent-encoded; records of equal identifiers are one record; concurrent-to identifiers that name
-no record, or only each other, belong to no capture; an empty table writes and reads no records.
+percent-encoded; repeated rows are captures of their own; records of equal identifiers are one
+record; concurrent-to identifiers that name no record, or only each other, belong to no capture; an
+empty table writes and reads no records. What can't be read gives one row with a status and no
+identifier, and the rest of the archive or the other archives are read on: bad_gzip (the members
+before it count), bad_length (Content-Length is no number; the archive ends there), truncated (the
+block ends before its length). Zero bytes after a gzip member are padding.
 """
 
 from __future__ import annotations
@@ -23,18 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, cut_table, remove_path, scratch_path
+from .runtime import Scratch, cut_table
 
 REVISIT_LEAST = 1000
 FILE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
+OK = "ok"
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Record types that stand for a capture; others join one.
 ROOTS = ("response", "revisit", "resource")
 
-RECORD = "record_id string, type string, uri string, date string, concurrent_to array<string>, refers_to string, head string, payload binary, payload_bytes long, payload_digest string"
+RECORD = "record_id string, type string, uri string, date string, concurrent_to array<string>, refers_to string, head string, payload binary, payload_bytes long, payload_digest string, status string"
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -49,25 +55,50 @@ def record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(F.lit(f"{VERSION}\r\n"), *lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
 
 
-def captures_of(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
+def captures_of(pages: DataFrame, scratch: Scratch, least: int = REVISIT_LEAST) -> DataFrame:
     """page_id, url, payload, digest, id, refers_to (the id of the response whose payload a revisit repeats, else null).
 
-    Of equal payloads of at least least bytes that of the largest page_id is the response.
+    Of equal payloads of at least least bytes that of the largest page_id is the response. Rows that are
+    repeated are few or one hot row: they are counted, and numbered apart, without being gathered.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
-    base = base.withColumn("id", record_id("response", F.col("page_id"), F.col("url"), F.col("digest")))
+    base = base.withColumn("row", record_id("response", F.col("page_id"), F.col("url"), F.col("digest")))
+    again = scratch.table(base.groupBy("row").agg(F.count("*").alias("times")).where("times > 1"))
+    if again.isEmpty():
+        base = base.withColumn("copy", F.lit(0))
+    else:
+        own = ["row", "page_id", "url", "payload", "digest", "n"]
+        counted = base.join(again, "row", "left_semi").groupBy(*own).agg(F.count("*").cast("int").alias("times"))
+        numbered = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+        base = base.join(again, "row", "left_anti").select(*own, F.lit(0).alias("copy")).union(numbered)
+    base = base.withColumn("id", F.when(F.col("copy") == 0, F.col("row")).otherwise(record_id("response", F.col("row"), F.col("copy"))))
     best = base.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max(F.struct("page_id", "id")).alias("best"), F.count("*").alias("copies"))
     # as a table its size is known, and payloads need not be shuffled where repeated ones are few
-    best = cut_table(best.where("copies > 1").select("digest", "n", "best"), "repeated")
+    best = scratch.table(best.where("copies > 1").select("digest", "n", "best"))
     joined = base.join(best, ["digest", "n"], "left")
     refers = F.when(F.col("page_id") < F.col("best.page_id"), F.col("best.id"))
     refers = F.when(F.col("page_id").isNull() & (F.col("id") != F.col("best.id")), F.col("best.id")).otherwise(refers)
     return joined.select("page_id", "url", "payload", "digest", "id", refers.alias("refers_to"))
 
 
-def write_archive(captures: DataFrame, path: str, mean_bytes: int, file_bytes: int = FILE_BYTES) -> None:
-    """Writes the three records of each capture, gzipped; files hold about file_bytes for captures of mean_bytes."""
+def write_archive(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the three records of each capture, gzipped; a file holds file_bytes at most, or one capture."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column("value"):
+                one = value.as_buffer()
+                if held and size + one.size > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, size = [], 0
+                held.append(one.to_pybytes())
+                size += one.size
+        if held:
+            # the sink ends each row with \n, the last byte of the last record
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     response = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(""))
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
@@ -78,26 +109,39 @@ def write_archive(captures: DataFrame, path: str, mean_bytes: int, file_bytes: i
     request = record([("WARC-Type", "request"), ("WARC-Record-ID", request_id), *own, ("WARC-Concurrent-To", F.col("id")), ("Content-Type", "application/http;msgtype=request")], F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
     fields = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", F.col("id"))), *own, ("WARC-Concurrent-To", request_id), ("Content-Type", "application/warc-fields")], fields)
-    # the sink ends each row with \n, the last byte of the last record
-    text = F.concat(first, request, metadata)
-    rows = captures.select(F.substring(text, F.lit(1), F.length(text) - 1).alias("value"))
-    rows.write.option("maxRecordsPerFile", max(1, file_bytes // max(1, mean_bytes))).text(path, compression="gzip", lineSep="\n")
+    text = F.encode(F.concat(first, request, metadata), "UTF-8")
+    rows = captures.select(text.alias("value")).mapInArrow(pack, "value binary")
+    value = F.expr("substring(value, 1, octet_length(value) - 1)").cast("string")
+    rows.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path, compression="gzip", lineSep="\n")
+
 
+def unzipped(raw: bytes) -> tuple[bytes, bool]:
+    """Content of the gzip members, and whether all of them could be read; zeros after a member are padding."""
+    plain, rest = [], raw
+    while rest.strip(b"\0"):
+        unzip = zlib.decompressobj(31)
+        try:
+            member = unzip.decompress(rest) + unzip.flush()
+        except zlib.error:
+            return b"".join(plain), False
+        if not unzip.eof:
+            return b"".join(plain), False
+        plain.append(member)
+        rest = unzip.unused_data.lstrip(b"\0")
+    return b"".join(plain), True
 
-def parse_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and blocks of an archive's records; stops at bytes that begin no record."""
+
+def parse_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, str]]:
+    """Headers, block and status of an archive's records; stops at bytes that begin no record."""
+    whole = True
     if raw[:2] == b"\x1f\x8b":
-        plain, rest = [], raw
-        while rest:
-            unzip = zlib.decompressobj(31)
-            plain.append(unzip.decompress(rest) + unzip.flush())
-            rest = unzip.unused_data
-        raw = b"".join(plain)
+        raw, whole = unzipped(raw)
     at = 0
     while raw.startswith(b"WARC/", at):
         end = raw.find(b"\r\n\r\n", at)
         if end < 0:
-            return
+            yield [], b"", "truncated"
+            break
         headers = []
         for line in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             if line[:1] in (" ", "\t") and headers:
@@ -105,17 +149,26 @@ def parse_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             else:
                 name, _, value = line.partition(":")
                 headers.append((name.strip().lower(), value.strip()))
-        size = int(dict(headers).get("content-length") or 0)
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        length = dict(headers).get("content-length", "0")
+        if not (length.isascii() and length.isdigit()):
+            yield [], b"", "bad_length"
+            break
+        block = raw[end + 4 : end + 4 + int(length)]
+        if len(block) < int(length):
+            yield [], b"", "truncated"
+            break
+        yield headers, block, OK
+        at = end + 4 + int(length) + 4
+    if not whole:
+        yield [], b"", "bad_gzip"
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below path, one row each."""
+    """The records of all archives below path, one row each; what can't be read has a status other than ok."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
         rows: list[tuple] = []
         held = 0
 
@@ -124,15 +177,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for content in batch.column("content"):
-                for headers, block in parse_records(content.as_py()):
+                for headers, block, status in parse_records(content.as_py()):
                     h = dict(headers)
-                    head, gap, body = block.partition(b"\r\n\r\n") if "application/http" in h.get("content-type", "") else (b"", b"", block)
+                    head, _, body = block.partition(b"\r\n\r\n") if "application/http" in h.get("content-type", "") else (b"", b"", block)
                     kind = h.get("warc-type")
                     size = digest = None
-                    if kind != "revisit":
+                    if kind != "revisit" and status == OK:
                         size, digest = len(body), hashlib.sha1(body).hexdigest()
-                    rows.append((h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), [v for k, v in headers if k == "warc-concurrent-to"], h.get("warc-refers-to"), head.decode("utf-8", "replace"), body, size, digest))
-                    held += len(block)
+                    rows.append((h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), [v for k, v in headers if k == "warc-concurrent-to"], h.get("warc-refers-to"), head.decode("utf-8", "replace"), body if status == OK else None, size, digest, status))
+                    held += len(block) + 500
                     if held >= BATCH_BYTES:
                         yield flush()
                         rows, held = [], 0
@@ -142,12 +195,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: its own columns, requests and metadata as arrays of structs.
+def assemble(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per capture: its own columns, payload included, and requests and metadata as arrays of structs.
 
     records is read more than once; hand in a table. Followers find their capture through
     concurrent-to identifiers; pointers are doubled until none leads to another follower.
     """
+    cut = scratch.table
+    records = records.where(F.col("status") == OK).drop("status")
     roots = records.where(F.col("type").isin(*ROOTS)).dropDuplicates(["record_id"])
     follows = records.where(~F.col("type").isin(*ROOTS)).select("record_id", F.explode("concurrent_to").alias("to")).where("record_id <> to").distinct()
     root_ids = roots.select(F.col("record_id").alias("to"), F.lit(True).alias("ends"))
@@ -171,20 +226,36 @@ def assemble(records: DataFrame) -> DataFrame:
     return roots.drop("concurrent_to").join(grouped, "record_id", "left")
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives and reads them back: a row per capture with page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def captures(pages: DataFrame) -> DataFrame:
+    """Writes pages as archives and reads them back: assemble()'s nested row of each capture, payload included, with
+    page_id from its metadata; a table in the shared folder."""
     spark = pages.sparkSession
-    captures = captures_of(pages)
-    mean = int(pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 1000)).first()[0] or 1)
-    path = scratch_path(spark, "warc")
-    write_archive(captures, path, mean)
-    # lengths and digests are the payloads' own; of the payloads only the metadata's are looked into again
-    small = F.when(F.col("type") == "metadata", F.col("payload")).alias("payload")
-    read = read_archive(spark, path)
-    records = cut_table(read.select(*(small if c == "payload" else F.col(c) for c in read.columns)), "records")
-    remove_path(spark, path)
-    page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "UTF-8"), "(?m)^page_id: (-?[0-9]+)", 1)
-    rows = cut(assemble(records).select("record_id", F.when(page != "", page).cast("long").alias("page_id"), "type", "refers_to", "payload_bytes", "payload_digest"))
+    with Scratch(spark, "warc") as scratch:
+        archive = f"{scratch.root}/archive"
+        write_archive(captures_of(pages, scratch), archive)
+        records = scratch.table(read_archive(spark, archive))
+        page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "UTF-8"), "(?m)^page_id: (-?[0-9]+)", 1)
+        return cut_table(assemble(records, scratch).withColumn("page_id", F.when(page != "", page).cast("long")), "captures")
+
+
+def round_trip(pages: DataFrame) -> DataFrame:
+    """One row per page out of its assembled capture: page_id, payload_bytes, payload_digest (of a revisit those of the
+    response that it refers to), record_type, refers_to (that response's page_id), and the capture's parts:
+    response_head, payload (a revisit's own is empty), requests and metadata as JSON arrays of (uri, date, head, block)."""
+    rows = captures(pages)
     full = rows.where("type <> 'revisit'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("p"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    joined = rows.join(full, "refers_to", "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("payload_digest", "d").alias("payload_digest"), F.col("type").alias("record_type"), F.col("p").alias("refers_to"))
+    # only revisits look for a response
+    revisit = rows.where("type = 'revisit'").select("record_id", "refers_to").join(full, "refers_to").drop("refers_to")
+    joined = rows.drop("refers_to").join(revisit, "record_id", "left")
+    parts = lambda c: F.to_json(F.transform(c, lambda x: F.struct(x["uri"].alias("uri"), x["date"].alias("date"), x["head"].alias("head"), F.decode(x["payload"], "UTF-8").alias("block"))), {"ignoreNullFields": "false"})
+    return joined.select(
+        "page_id",
+        F.coalesce("payload_bytes", "b").alias("payload_bytes"),
+        F.coalesce("payload_digest", "d").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("p").alias("refers_to"),
+        F.col("head").alias("response_head"),
+        F.decode("payload", "UTF-8").alias("payload"),
+        parts("requests").alias("requests"),
+        parts("metadata").alias("metadata"),
+    )
