@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillstone.plans import catalog, inline
@@ -23,7 +24,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return "-"
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))
