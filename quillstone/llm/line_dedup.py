@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grouping import map_groups
-from .runtime import cut_table
+from .runtime import cut_table, drop_table
 
 THRESHOLD, SHARD_KEYS = 10, 50_000
 #: Digests of one probing task, about.
@@ -154,6 +154,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text"), "UTF-8").alias("raw"))
     again = cut_table(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if again.isEmpty():
+        drop_table(again)
         counts = rows.mapInArrow(sums, "key binary, refs long")
     else:
         alone = rows.join(again, "doc_id", "left_anti").mapInArrow(sums, "key binary, refs long")
@@ -194,6 +195,12 @@ class LineIndex:
     def build(cls, docs: DataFrame, threshold: int = THRESHOLD) -> LineIndex:
         return cls(cut_table(line_counts(docs), "lines"), threshold)
 
+    def remove(self) -> None:
+        """Deletes the tables of the index; what apply() gave stays readable."""
+        drop_table(self.counts)
+        if self._filters is not None:
+            drop_table(self._filters)
+
     @property
     def filters(self) -> DataFrame:
         """(shard, bits): one cuckoo filter for each shard that has common keys."""
@@ -332,7 +339,9 @@ def drop_common_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with their columns, texts rid of lines that at least threshold documents hold; n_chars follows the text."""
     rest = [c for c in docs.columns if c != "text"]
     carry = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__doc"), "text", row_key().alias("__row"))
-    out = LineIndex.build(docs, threshold).cleaned(docs, carry)
+    index = LineIndex.build(docs, threshold)
+    out = index.cleaned(docs, carry)
+    index.remove()
     n_chars = F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("__doc.n_chars")) if "n_chars" in rest else None
     columns = [F.col("kept").alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
     return out.select(*columns)

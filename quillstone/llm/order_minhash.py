@@ -31,7 +31,7 @@ from . import bytesops as B
 from .edit import coarser, cut_points, histogram, similar, split_histograms
 from .graph import components
 from .grouping import map_groups
-from .runtime import Scratch, cut_table
+from .runtime import Scratch, cut_table, drop_table
 
 SHINGLE, SKETCHES, ORDER, SIMILARITY = 3, 48, 2, 0.8
 #: Most words of the texts of the first two levels: single k-mers of two words, ordered k-mers of two words.
@@ -237,7 +237,7 @@ def classes(docs: DataFrame, least: float, count: int, order: int, k: int, chunk
         sk = table(sketch_table(docs, count, order, k, least))
         texts = table(sk.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("level").alias("level"), F.min("keys").alias("keys")))
         own = table(sk.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")))
-        scratch.drop(sk)
+        drop_table(sk)
         # a text is told by its smallest doc_id; only where this has several texts, by a hash
         several = table(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("hashed")))
         repeated = table(own.where("copies > 1").select("doc_id", "digest"))

@@ -43,7 +43,9 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.LineIndex.build(docs).apply(docs)
+    index = line_dedup.LineIndex.build(docs)
+    out = index.apply(docs)
+    index.remove()
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -31,15 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and forget its lineage; survives lost executors."""
-    folder = shared_dir(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
 
@@ -50,8 +41,25 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes the table that cut_table() wrote, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove_path(df.sparkSession, path)
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in a file system of the cluster."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 def cut_table(df: DataFrame, label: str) -> DataFrame:
-    """As cut(), but as a Parquet table, which keeps columns prunable and sizes known to the planner."""
+    """df as a Parquet table in the shared folder: its lineage is forgotten, columns stay prunable and its size is known to the planner."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -72,11 +80,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes a table of this folder that nothing reads any more."""
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            remove_path(self.spark, path)
-
     def __enter__(self) -> Scratch:
         return self
 

@@ -2,7 +2,7 @@
 
 Rules are strings host/path; a rule fits its host and every subdomain if the URL's path starts with
 the rule's path, and the longest fitting rule decides. The index is one file: 64-bit xxhash digests
-in order, offsets, verdicts and the rule strings. It goes to each executor once as a Spark file and
+in order, offsets, verdicts and the rule strings. It is written to the shared folder, goes to each executor once as a Spark file and
 is memory-mapped there; each batch is probed by one vectorised binary search, and every hit is
 confirmed against the stored string.
 
@@ -13,8 +13,6 @@ fit none are allowed; repeated rows each get a row; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import shared_dir, write_bytes
+
 ALLOW, BLOCK = 0, 1
 VERDICTS = ("allow", "block")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,13 +80,11 @@ def probes_of(host: str, path: str, lengths: list[int]) -> list[bytes]:
 
 
 def publish(spark: SparkSession, content: bytes) -> str:
-    """Ships the index to all executors, present and later ones; gives its name there."""
+    """Ships the index to all executors, present and later ones, from the shared folder; gives its name there."""
     name = f"urlrules-{hashlib.sha256(content).hexdigest()[:16]}.bin"
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, name)
-    with open(path, "wb") as f:
-        f.write(content)
     if not any(str(x).endswith(name) for x in spark.sparkContext.listFiles):
+        path = f"{shared_dir(spark)}/quillstone/{name}"
+        write_bytes(spark, path, content)
         spark.sparkContext.addFile(path)
     return name
 
