@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the
 columns of documents. run() hands each stage its predecessor's rows through a table in the shared
-folder, so a lost executor repeats one stage at most.
+folder, so a lost executor repeats one stage at most, and deletes it when the next one is written.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import line_dedup, order_minhash, piece_matching, templates, toxicity
-from quillstone.llm.runtime import cut_table, table
+from quillstone.llm.runtime import cut_table, drop_table, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut_table(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            drop_table(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
