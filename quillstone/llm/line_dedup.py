@@ -151,7 +151,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
                     keys = list({d for line in raw.to_pybytes().split(b"\n") if (d := digest_of(line))})
                     yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(keys), pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text"), "UTF-8").alias("raw"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     again = cut_table(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if again.isEmpty():
         drop_table(again)
@@ -278,7 +278,7 @@ class LineIndex:
             sure = [i for i in maybe.tolist() if asked[i] in exact]
             return pa.RecordBatch.from_arrays([group.column("row").take(pa.array(own[sure])).combine_chunks(), pa.array([asked[i] for i in sure], pa.binary())], ["row", "key"])
 
-        rows = docs.select(row_key().alias("row"), F.encode("text", "UTF-8").alias("raw")).where("raw is not null")
+        rows = docs.select(row_key().alias("row"), F.col("text").cast("binary").alias("raw")).where("raw is not null")
         asked = rows.mapInArrow(deal, "shard long, part long, kind long, row long, data binary")
         # every part of a shard gets the shard's filter and its exact keys
         spread = docs.sparkSession.createDataFrame([(s, int(n)) for s, n in enumerate(parts)], "shard long, n int")
@@ -316,14 +316,14 @@ class LineIndex:
                 columns = [batch.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_lines", "n_dropped", "__kept"])
 
-        # as a table its size is known: texts are not shuffled where common lines are few
         gone = cut_table(self.common_lines(docs), "common-lines")
-        source = carry.join(gone, carry["__row"] == gone["row"], "left").drop("row", "__row").withColumnRenamed("gone", "__gone")
-        source = source.withColumn("__raw", F.encode("text", "UTF-8")).drop("text")
+        # one kind of join at every size; a hot row key is many equal rows, which adaptive execution splits
+        source = carry.join(gone.hint("merge"), carry["__row"] == gone["row"], "left").drop("row", "__row").withColumnRenamed("gone", "__gone")
+        source = source.withColumn("__raw", F.col("text").cast("binary")).drop("text")
         schema = source.drop("__raw", "__gone").withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "__kept": F.lit(b"")}).schema
         for field in schema:
             field.nullable = True
-        return source.mapInArrow(run, schema).withColumn("kept", F.decode("__kept", "UTF-8")).drop("__kept")
+        return source.mapInArrow(run, schema).withColumn("kept", F.col("__kept").cast("string")).drop("__kept")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with columns n_lines, n_dropped and kept (the text without its common lines) in place of text."""

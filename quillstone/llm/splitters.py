@@ -36,7 +36,7 @@ def keyed(docs: DataFrame, *carry: str) -> DataFrame:
     return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.struct(F.md5(text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k2")).alias("key"),
         *carry,
     )
