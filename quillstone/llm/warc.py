@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, cut_table
+from .runtime import Scratch, cut_table, scratch_path
 
 REVISIT_LEAST = 1000
 FILE_BYTES = 8 << 20
@@ -64,7 +64,8 @@ def captures_of(pages: DataFrame, scratch: Scratch, least: int = REVISIT_LEAST)
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     base = base.withColumn("row", record_id("response", F.col("page_id"), F.col("url"), F.col("digest")))
-    again = scratch.table(base.groupBy("row").agg(F.count("*").alias("times")).where("times > 1"))
+    narrow = scratch.table(base.select("row", "digest", "n"))
+    again = scratch.table(narrow.groupBy("row").agg(F.count("*").alias("times")).where("times > 1"))
     if again.isEmpty():
         base = base.withColumn("copy", F.lit(0))
     else:
@@ -73,10 +74,10 @@ def captures_of(pages: DataFrame, scratch: Scratch, least: int = REVISIT_LEAST)
         numbered = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
         base = base.join(again, "row", "left_anti").select(*own, F.lit(0).alias("copy")).union(numbered)
     base = base.withColumn("id", F.when(F.col("copy") == 0, F.col("row")).otherwise(record_id("response", F.col("row"), F.col("copy"))))
-    best = base.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max(F.struct("page_id", "id")).alias("best"), F.count("*").alias("copies"))
-    # as a table its size is known, and payloads need not be shuffled where repeated ones are few
-    best = scratch.table(best.where("copies > 1").select("digest", "n", "best"))
-    joined = base.join(best, ["digest", "n"], "left")
+    # as tables their sizes are known, and payloads need not be shuffled where repeated ones are few
+    repeated = scratch.table(narrow.where(F.col("n") >= least).groupBy("digest", "n").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    best = base.join(repeated, ["digest", "n"], "left_semi").groupBy("digest", "n").agg(F.max(F.struct("page_id", "id")).alias("best"))
+    joined = base.join(scratch.table(best), ["digest", "n"], "left")
     refers = F.when(F.col("page_id") < F.col("best.page_id"), F.col("best.id"))
     refers = F.when(F.col("page_id").isNull() & (F.col("id") != F.col("best.id")), F.col("best.id")).otherwise(refers)
     return joined.select("page_id", "url", "payload", "digest", "id", refers.alias("refers_to"))
@@ -109,7 +110,7 @@ def write_archive(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES)
     request = record([("WARC-Type", "request"), ("WARC-Record-ID", request_id), *own, ("WARC-Concurrent-To", F.col("id")), ("Content-Type", "application/http;msgtype=request")], F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
     fields = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", F.col("id"))), *own, ("WARC-Concurrent-To", request_id), ("Content-Type", "application/warc-fields")], fields)
-    text = F.encode(F.concat(first, request, metadata), "UTF-8")
+    text = F.concat(first, request, metadata).cast("binary")
     rows = captures.select(text.alias("value")).mapInArrow(pack, "value binary")
     value = F.expr("substring(value, 1, octet_length(value) - 1)").cast("string")
     rows.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path, compression="gzip", lineSep="\n")
@@ -195,16 +196,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per capture: its own columns, payload included, and requests and metadata as arrays of structs.
+def parts(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per capture without its payload: record_id, type, refers_to, payload_bytes, payload_digest, n_records (how
+    often its record is there), and requests and metadata as arrays of structs.
 
-    records is read more than once; hand in a table. Followers find their capture through
-    concurrent-to identifiers; pointers are doubled until none leads to another follower.
+    Followers find their capture through concurrent-to identifiers; pointers are doubled until none
+    leads to another follower.
     """
     cut = scratch.table
-    records = records.where(F.col("status") == OK).drop("status")
-    roots = records.where(F.col("type").isin(*ROOTS)).dropDuplicates(["record_id"])
-    follows = records.where(~F.col("type").isin(*ROOTS)).select("record_id", F.explode("concurrent_to").alias("to")).where("record_id <> to").distinct()
+    root = F.col("type").isin(*ROOTS)
+    records = records.where(F.col("status") == OK)
+    slim = cut(records.select(*(F.when(~root, F.col(c)).alias(c) if c in ("payload", "head") else F.col(c) for c in records.columns if c != "status")))
+    own = F.struct("type", "refers_to", "payload_bytes", "payload_digest")
+    roots = slim.where(root).groupBy("record_id").agg(F.min(own).alias("own"), F.count("*").alias("n_records")).select("record_id", "own.*", "n_records")
+    follows = slim.where(~root).select("record_id", F.explode("concurrent_to").alias("to")).where("record_id <> to").distinct()
     root_ids = roots.select(F.col("record_id").alias("to"), F.lit(True).alias("ends"))
     state = cut(follows.join(root_ids, "to", "left").select("record_id", "to", F.coalesce("ends", F.lit(False)).alias("ends")))
     links = state.where("ends").select("record_id", "to")
@@ -217,45 +222,62 @@ def assemble(records: DataFrame, scratch: Scratch) -> DataFrame:
         if found.isEmpty():
             break
         links = grown
-    members = records.where(~F.col("type").isin(*ROOTS)).dropDuplicates(["record_id"]).join(links, "record_id")
+    members = slim.where(~root).dropDuplicates(["record_id"]).join(links, "record_id")
     item = F.struct("record_id", "type", "uri", "date", "head", "payload")
     grouped = members.groupBy(F.col("to").alias("record_id")).agg(
         F.sort_array(F.collect_list(F.when(F.col("type") == "request", item))).alias("requests"),
         F.sort_array(F.collect_list(F.when(F.col("type") == "metadata", item))).alias("metadata"),
     )
-    return roots.drop("concurrent_to").join(grouped, "record_id", "left")
+    return roots.join(grouped, "record_id", "left")
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives and reads them back: assemble()'s nested row of each capture, payload included, with
-    page_id from its metadata; a table in the shared folder."""
-    spark = pages.sparkSession
-    with Scratch(spark, "warc") as scratch:
-        archive = f"{scratch.root}/archive"
-        write_archive(captures_of(pages, scratch), archive)
-        records = scratch.table(read_archive(spark, archive))
-        page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "UTF-8"), "(?m)^page_id: (-?[0-9]+)", 1)
-        return cut_table(assemble(records, scratch).withColumn("page_id", F.when(page != "", page).cast("long")), "captures")
+def with_payload(captures: DataFrame, records: DataFrame) -> DataFrame:
+    """captures, a table of one row per record_id, with uri, date, head and payload of their records: the one step that moves payloads."""
+    roots = records.where((F.col("status") == OK) & F.col("type").isin(*ROOTS)).select("record_id", "uri", "date", "head", "payload")
+    if not captures.where("n_records > 1").isEmpty():
+        roots = roots.dropDuplicates(["record_id"])
+    return roots.join(captures.drop("n_records"), "record_id")
+
+
+def assemble(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """The nested row of each capture: its own columns, payload included, requests and metadata.
+
+    records is read twice; an archive may be handed in as it is read.
+    """
+    return with_payload(scratch.table(parts(records, scratch)), records)
+
+
+def write_pages(pages: DataFrame) -> str:
+    """Writes pages as an archive in the shared folder; gives its path."""
+    path = scratch_path(pages.sparkSession, "archive")
+    with Scratch(pages.sparkSession, "warc") as scratch:
+        write_archive(captures_of(pages, scratch), path)
+    return path
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """One row per page out of its assembled capture: page_id, payload_bytes, payload_digest (of a revisit those of the
     response that it refers to), record_type, refers_to (that response's page_id), and the capture's parts:
-    response_head, payload (a revisit's own is empty), requests and metadata as JSON arrays of (uri, date, head, block)."""
-    rows = captures(pages)
-    full = rows.where("type <> 'revisit'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("p"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    # only revisits look for a response
-    revisit = rows.where("type = 'revisit'").select("record_id", "refers_to").join(full, "refers_to").drop("refers_to")
-    joined = rows.drop("refers_to").join(revisit, "record_id", "left")
-    parts = lambda c: F.to_json(F.transform(c, lambda x: F.struct(x["uri"].alias("uri"), x["date"].alias("date"), x["head"].alias("head"), F.decode(x["payload"], "UTF-8").alias("block"))), {"ignoreNullFields": "false"})
-    return joined.select(
+    response_head, payload (a revisit's own is empty), requests and metadata as JSON arrays of (uri, date, head, block).
+
+    The archive stays in the shared folder, and payloads are read from it.
+    """
+    spark = pages.sparkSession
+    records = read_archive(spark, write_pages(pages))
+    page = F.regexp_extract(F.col("metadata")[0]["payload"].cast("string"), "(?m)^page_id: (-?[0-9]+)", 1)
+    shown = lambda c: F.to_json(F.transform(c, lambda x: F.struct(x["uri"].alias("uri"), x["date"].alias("date"), x["head"].alias("head"), x["payload"].cast("string").alias("block"))), {"ignoreNullFields": "false"})
+    with Scratch(spark, "warc") as scratch:
+        rows = scratch.table(parts(records, scratch).withColumns({"page_id": F.when(page != "", page).cast("long"), "requests": shown("requests"), "metadata": shown("metadata")}))
+        full = rows.where("type <> 'revisit'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("p"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
+        rows = cut_table(rows.join(full, "refers_to", "left"), "captures")
+    return with_payload(rows, records).select(
         "page_id",
         F.coalesce("payload_bytes", "b").alias("payload_bytes"),
         F.coalesce("payload_digest", "d").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("p").alias("refers_to"),
         F.col("head").alias("response_head"),
-        F.decode("payload", "UTF-8").alias("payload"),
-        parts("requests").alias("requests"),
-        parts("metadata").alias("metadata"),
+        F.col("payload").cast("string").alias("payload"),
+        "requests",
+        "metadata",
     )
