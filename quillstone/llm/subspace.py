@@ -43,7 +43,7 @@ COSINE, BLOCK, MOST_GRID = 0.95, 16, 4
 #: Vectors that the rotation and the grid are fitted to, at most.
 SAMPLE = 2000
 #: Seconds of a row placed in a cell and of a pair compared, about; they weigh the grids against each other.
-PLACE_COST, PAIR_COST = 6e-6, 3e-9
+PLACE_COST, PAIR_COST = 1e-5, 3e-9
 CHUNK = 20_000
 SLACK = 1e-7
 
@@ -65,7 +65,7 @@ def fitted_rotation(sample: np.ndarray, width: int) -> np.ndarray:
     return axes[:, ::-1][:, ranks]
 
 
-def plan(sample: dict[int, np.ndarray], n: int, cosine: float, width: int, grid: int | None) -> dict[int, tuple[np.ndarray, int]]:
+def plan(sample: dict[int, np.ndarray], n: int, cosine: float, width: int, grid: int | None, chunk: int = CHUNK) -> dict[int, tuple[np.ndarray, int]]:
     """Rotation and grid coordinates of each length of vectors that the sample holds; n is the number of all vectors."""
     out, whole = {}, sum(map(len, sample.values()))
     for dims, rows in sample.items():
@@ -79,9 +79,11 @@ def plan(sample: dict[int, np.ndarray], n: int, cosine: float, width: int, grid:
                 number, home = np.concatenate([x[2] for x in got]), np.concatenate([x[3] for x in got])
                 _, at = np.unique(number, return_inverse=True)
                 own, other = np.bincount(at, home), np.bincount(at, ~home)
-                placed += len(number)
+                # rows of a cell go to every chunk pair of it
+                size = (own + other) * (share / len(rows))
+                placed += float((size * np.ceil(size / chunk)).sum())
                 pairs += float((own * (own - 1) / 2 + own * other).sum())
-            costs.append((PLACE_COST * placed * share / len(rows) + PAIR_COST * pairs * (share / len(rows)) ** 2, g))
+            costs.append((PLACE_COST * placed + PAIR_COST * pairs * (share / len(rows)) ** 2, g))
         out[dims] = (turn, grid or min(costs)[1])
     return out
 
@@ -231,7 +233,7 @@ def links(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, width: i
     for r in vectors.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vector", "dims").collect():
         sample.setdefault(r["dims"], []).append(bytes(r["vector"]))
     held = {d: unpack(pa.array(rows, pa.binary()), d) for d, rows in sample.items()}
-    turns = spark.sparkContext.broadcast(plan(held, vectors.count(), cosine, width, grid))
+    turns = spark.sparkContext.broadcast(plan(held, vectors.count(), cosine, width, grid, chunk))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
