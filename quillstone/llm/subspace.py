@@ -39,7 +39,7 @@ from .graph import components
 from .grouping import map_groups
 from .runtime import Scratch, cut_table
 
-COSINE, BLOCK, MOST_GRID = 0.95, 16, 4
+COSINE, BLOCK, LEAST_GRID, MOST_GRID = 0.95, 16, 2, 4
 #: Vectors that the rotation and the grid are fitted to, at most.
 SAMPLE = 2000
 #: Seconds of a row placed in a cell and of a pair compared, about; they weigh the grids against each other.
@@ -72,7 +72,8 @@ def plan(sample: dict[int, np.ndarray], n: int, cosine: float, width: int, grid:
         rows = unit(rows)
         turn = fitted_rotation(rows, width) if len(rows) >= 2 * dims else random_rotation(dims)
         share, turned, costs = n * len(rows) / whole, rows @ turn, []
-        for g in range(1, min(MOST_GRID, width, dims) + 1):
+        most = min(MOST_GRID, width, dims)
+        for g in range(min(LEAST_GRID, most), most + 1):
             placed = pairs = 0
             for b, (lo, hi) in enumerate(blocks_of(dims, width)):
                 got = list(cells(turned, [(lo, hi)], (2 - 2 * cosine) * (hi - lo) / dims, g, dims_of_blocks=hi - lo))
