@@ -83,10 +83,16 @@ def normalize_title(text: Column) -> Column:
 
 
 def titles_equivalent(a: Column, b: Column, least: int = 15) -> Column:
-    """Equal when normalized, or one a prefix of the other and both of at least least characters."""
+    """Equal when normalized or one a prefix of the other, both of at least least characters."""
     x, y = normalize_title(a), normalize_title(b)
-    long_enough = (F.length(x) >= least) & (F.length(y) >= least)
-    return (x != "") & ((x == y) | (long_enough & (x.startswith(y) | y.startswith(x))))
+    return (F.length(x) >= least) & (F.length(y) >= least) & ((x == y) | x.startswith(y) | y.startswith(x))
+
+
+def looks_like_title(text: Column) -> Column:
+    """40 characters and four words at least, 45 % of the words with a capital."""
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z][\p{L}\p{N}_-]*)"), 1)
+    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
+    return F.coalesce((F.length(strip(text)) >= 40) & (F.size(words) >= 4) & (capital / F.greatest(F.size(words), F.lit(1)) >= 0.45), F.lit(False))
 
 
 def strip_thousands(text: Column) -> Column:
@@ -135,13 +141,53 @@ def token_pattern(token: str) -> str:
     return rf"(?<![A-Za-z0-9])\Q{token}\E(?![A-Za-z0-9])"
 
 
+def match_text(text: Column) -> Column:
+    """Lower case, one blank for white space, spaced plus-minus signs: the form in which values are looked for."""
+    return table_cell(F.lower(blank_if_null(text)))
+
+
+#: What a numeric value is made of.
+NUMERIC_VALUE = r"^[0-9.,%±\s+-]+$"
+
+
 def contains_value(text: Column, value: Column) -> Column:
-    """Containment; a numeric value must not be part of a longer number."""
-    numeric = value.rlike(r"^[+-]?[0-9][0-9.,]*$")
-    at = F.instr(text, value)
-    before, after = F.substring(text, at - 1, F.lit(1)), F.substring(text, at + F.length(value), F.lit(1))
-    clear = ~F.when(at > 1, before).otherwise("").rlike("[0-9.]") & ~after.rlike("[0-9]")
-    return F.when(numeric, (at > 0) & clear).otherwise(at > 0)
+    """Containment in the form of match_text, with or without thousands separators; no digit or point may touch a numeric value."""
+    content, needle = match_text(text), match_text(value)
+    bare = strip_thousands(content)
+
+    def found(variant: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?<![0-9.])\Q"), variant, F.lit(r"\E(?![0-9.])"))
+        inside = F.regexp(content, pattern) | F.regexp(bare, pattern)
+        return F.when(variant.rlike(NUMERIC_VALUE), inside).otherwise((F.instr(content, variant) > 0) | (F.instr(bare, variant) > 0))
+
+    return (needle != "") & (found(needle) | found(strip_thousands(needle)))
+
+
+def match_values(freeform: Column, letter: Column, options: Column) -> Column:
+    """Final answer strings worth finding: free text, then the chosen option's text; distinct, two characters of a number or three of a word at least."""
+    key = F.upper(strip(blank_if_null(letter)))
+    chosen = F.filter(F.map_entries(options), lambda e: F.upper(strip(e["key"])) == key)
+    option = F.when((key != "") & (F.size(chosen) > 0), strip(blank_if_null(F.element_at(chosen, -1)["value"])))
+    both = F.filter(F.array(strip(blank_if_null(freeform)), F.coalesce(option, F.lit(""))), lambda v: match_text(v) != "")
+    long = F.filter(both, lambda v: F.length(match_text(v)) >= F.when(match_text(v).rlike(NUMERIC_VALUE), 2).otherwise(3))
+    return F.when((F.size(long) == 2) & (match_text(F.get(long, F.lit(0))) == match_text(F.get(long, F.lit(1)))), F.slice(long, 1, 1)).otherwise(long)
+
+
+def numeric_cells(cells: Column) -> Column:
+    """Distinct numeric values of two characters or more of an array of table cells, as they are written, in order."""
+    kept = F.filter(cells, lambda c: match_text(c).rlike(NUMERIC_VALUE) & (F.length(match_text(c)) >= 2))
+    norm = F.transform(kept, match_text)
+    return F.filter(F.transform(kept, lambda c, i: F.when(F.array_position(norm, F.get(norm, i)) == i + 1, c)), lambda c: c.isNotNull())
+
+
+def substitute(template: Column, values: dict[str, Column]) -> Column:
+    """template with each {name} replaced by its value; a value's own braces are left alone."""
+    out = F.concat(F.lit("\x01"), template)
+    for i, name in enumerate(values):
+        out = F.replace(out, F.lit("{" + name + "}"), F.lit(f"\x01{i}\x01"))
+    for i, value in enumerate(values.values()):
+        out = F.replace(out, F.lit(f"\x01{i}\x01"), blank_if_null(value))
+    return F.substring(out, F.lit(2), F.length(out))
 
 
 def tokens(text: Column) -> Column:

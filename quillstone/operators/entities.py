@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import normalize_title, titles_equivalent
+from quillstone.functions.text import collapse, looks_like_title, normalize_title, strip, titles_equivalent
+from quillstone.operators.packing import overflow_order
 
-MOST_ENTITIES = 6
-#: Words that look like names but are not; kept short, callers add their own.
-COMMON = ("The", "What", "Which", "How", "In", "For", "And", "Table", "Figure", "Section", "AP", "MC")
+MOST_ENTITIES, MOST_DOCS, SCOPED_CHUNKS = 6, 4, 5
+#: Acronyms, data sets, venues and backbones that name no document, upper-cased.
+STOP = frozenset(
+    "AI API AUC ACC ADAM BERT BLEU CNN COCO CPU CIFAR CV DNN DPO ELBO EM FID FLOP FLOPS GAN GPT GPU GPUS GRU HTML ID III IOU JSON KL "
+    "LLM LLMS LORA LSTM MAE MAP MC MCQ ML MLP MLLM MNIST MSE NAS NLP NN OCR ODE OOD PDE PDF PSNR QA RAG RAM RELU RL RLHF RMSE RNN "
+    "ROUGE SDE SGD SOTA SSIM SVM TPU URL VAE VIT VLM VLMS VQA XML ACL AAAI CVPR ECCV EMNLP ICCV ICLR ICML IJCAI NAACL NEURIPS NIPS "
+    "IMAGENET WIKITEXT TRIVIAQA NATURALQ TRUTHFULQA WEBQA COMMONSENSEQA POPE LLAVA QWEN GEMMA LLAMA VICUNA".split()
+)
+#: Score floors of the rungs of resolution.
+FLOORS = {"token": 4.0, "title": 15.0, "abstract": 8.0, "content": 25.0}
 
 
 def nfkc(rows: DataFrame, column: str) -> DataFrame:
@@ -25,55 +34,118 @@ def nfkc(rows: DataFrame, column: str) -> DataFrame:
     return rows.mapInPandas(run, rows.schema)
 
 
-def candidates(question: Column, options: Column | None = None, stop: tuple[str, ...] = COMMON, most: int = MOST_ENTITIES) -> Column:
-    """Distinct candidates in order of kind: quoted, title-like options, CamelCase, ALLCAPS, hyphenated; sizes such as 7B are no part of a name."""
-    every = lambda pattern: F.regexp_extract_all(question, F.lit(pattern), 1)
-    quoted = every(r"[\"“”]([^\"“”]{2,80})[\"“”]")
-    titles = F.filter(options, lambda o: (F.size(F.split(F.trim(o), r"\s+")) >= 4) & o.rlike("^[A-Z]")) if options is not None else F.array().cast("array<string>")
-    camel = every(r"(?<![A-Za-z0-9])([A-Z][a-z0-9]*[A-Z][A-Za-z0-9]*|[a-z]+[A-Z][A-Za-z0-9]*)(?![A-Za-z0-9-])")
-    caps = every(r"(?<![A-Za-z0-9-])([A-Z]{2,}[0-9]*)(?![A-Za-z0-9-])")
-    hyphen = every(r"(?<![A-Za-z0-9])([A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+)(?![A-Za-z0-9])")
-    bare = F.transform(F.concat(quoted, titles, camel, caps, hyphen), lambda x: F.regexp_replace(F.trim(x), r"-[0-9.]+[BM]$", ""))
-    kept = F.filter(bare, lambda x: (F.length(x) >= 2) & ~x.isin(*stop) & ~x.rlike("^[0-9.]+[BMK]?$"))
-    low = F.transform(kept, F.lower)
-    first = F.filter(F.sequence(F.lit(0), F.size(kept) - 1), lambda i: F.array_position(low, F.get(low, i)) == i + 1)
-    return F.when(F.size(kept) > 0, F.slice(F.transform(first, lambda i: F.get(kept, i)), 1, most)).otherwise(F.array().cast("array<string>"))
-
-
-def resolve(entities: DataFrame, title_hits: DataFrame, content_hits: DataFrame, abstract_hits: DataFrame, floors: dict[str, float]) -> DataFrame:
-    """(query_id, entity, doc_id, rung): the first rung that accepts a document.
-
-    Hits are (query_id, entity, rank, doc_id, score, title, token_match). Title rung: a token match
-    and the token floor, or an equivalent title and the title floor. Content rung: the content floor
-    and a token match or two hits. Abstract rung: its floor. Within a rung the first hit wins, and
-    hits below a floor end it. Floors belong to an index: they are the caller's.
+def candidates(question: Column, options: Column | None = None, stop: frozenset[str] = STOP, most: int = MOST_ENTITIES) -> Column:
+    """Distinct candidates (text, is_title) in order of kind: quoted, options that look like titles, CamelCase, ALLCAPS, hyphenated.
+
+    question is in normalization form KC (see nfkc). Stop words, also as the first part of a hyphenated
+    name, and names of model sizes or chat variants are left out.
+    """
+    edge = lambda body: F.regexp_extract_all(question, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({body})(?![\p{{L}}\p{{N}}_])"), 1)
+    named = lambda texts, title: F.transform(texts, lambda t: F.struct(t.alias("text"), title(t).alias("is_title")))
+    no = lambda t: F.lit(False)
+    quoted = F.regexp_extract_all(question, F.lit("[\"“]([^\"”“]{2,90})[\"”]"), 1)
+    titles = F.filter(options, looks_like_title) if options is not None else F.array().cast("array<string>")
+    words = edge("[A-Za-z][A-Za-z0-9]{1,29}")
+    caps = lambda t: t.rlike("^[A-Z]{3,}[0-9]{0,2}$")
+    hyphen = F.filter(edge("[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+"), lambda t: t.rlike("[A-Z]") & (F.length(t) >= 4))
+    every = F.concat(
+        named(quoted, looks_like_title),
+        named(titles, lambda t: F.lit(True)),
+        named(F.filter(words, lambda t: ~caps(t) & t.rlike("[a-z0-9][A-Z]")), no),
+        named(F.filter(words, caps), no),
+        named(hyphen, no),
+    )
+    trimmed = F.transform(every, lambda e: F.struct(F.regexp_replace(strip(collapse(e["text"])), r"^[.,;:]+|[.,;:]+$", "").alias("text"), e["is_title"].alias("is_title")))
+    stopped = lambda t: F.upper(t).isin(*sorted(stop))
+    variant = lambda t: t.rlike(r"-[0-9]+(?:\.[0-9]+)?[BbMm](?![A-Za-z0-9])|-(?:Instruct|Chat)(?![A-Za-z0-9])")
+    good = lambda e: (e["text"] != "") & ~stopped(e["text"]) & ~((F.instr(e["text"], "-") > 0) & stopped(F.substring_index(e["text"], "-", 1))) & (e["is_title"] | ~variant(e["text"]))
+    kept = F.filter(trimmed, good)
+    low = F.transform(kept, lambda e: F.lower(e["text"]))
+    once = F.filter(F.transform(kept, lambda e, i: F.when(F.array_position(low, F.get(low, i)) == i + 1, e)), lambda e: e.isNotNull())
+    return F.slice(once, 1, most)
+
+
+def resolve(entities: DataFrame, title_hits: DataFrame, content_hits: DataFrame, abstract_hits: DataFrame, own: DataFrame, floors: dict[str, float] = FLOORS, most: int = 2) -> DataFrame:
+    """(query_id, entity, place, doc_id, via): the documents that a ladder of searches accepts for each entity (query_id, entity, is_title).
+
+    Hits are (query_id, entity, rank, doc_id, score, token_match), title hits also title; own
+    (query_id, entity, doc_id) are documents whose own title or abstract holds the name.
+    Title rung, of three hits: the name in the title and the token floor, or for a title an equivalent one
+    and the title floor; up to most documents. A name of at most four characters needs to be
+    confirmed: one of its documents also holds it in a content hit, and the strongest content evidence
+    is not another's, which then wins. Content rung, of twenty hits that hold the name: the document's first
+    hit reaches the content floor, and the name is its own or stands in two hits; one document. Abstract
+    rung for longer names, of five hits: the first that holds it before one falls below its floor.
+    A title that its rung misses has no document.
+    """
+    key = ["query_id", "entity"]
+    named = entities.select(*key, "is_title", ((F.length("entity") <= 4) & ~F.col("is_title")).alias("short")).distinct()
+    best = lambda rows, name="rank": rows.groupBy(*key, "doc_id").agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias(name), F.count("*").alias("n"))
+    placed = lambda rows: rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("rank", "doc_id")))
+    title_ok = (F.col("token_match") & (F.col("score") >= floors["token"])) | (F.col("is_title") & (F.col("score") >= floors["title"]) & titles_equivalent(F.col("entity"), F.col("title")))
+    titled = best(title_hits.where("rank <= 3").join(named, key).where(title_ok)).select(*key, "doc_id", "rank")
+    held = best(content_hits.where("rank <= 20 and token_match").join(named.where("not is_title").select(*key), key))
+    strong = held.where(F.col("score") >= floors["content"]).join(own.select(*key, "doc_id").distinct().withColumn("own", F.lit(True)), [*key, "doc_id"], "left")
+    strong = strong.where(F.coalesce("own", F.lit(False)) | (F.col("n") >= 2))
+    strong = placed(strong.select(*key, "doc_id", "rank", F.when(F.col("own"), "abstract").otherwise("content").alias("via"))).where("place = 1")
+    confirmed = titled.join(held.select(*key, "doc_id"), [*key, "doc_id"], "left_semi")
+    late = abstract_hits.where((F.col("rank") <= 5) & (F.col("score") < floors["abstract"])).groupBy(*key).agg(F.min("rank").alias("end"))
+    abstract = abstract_hits.where("rank <= 5 and token_match").join(late, key, "left").where("end is null or rank < end")
+    abstract = placed(abstract.select(*key, "doc_id", "rank", F.lit("abstract").alias("via"))).where("place = 1")
+    facts = named.join(titled.groupBy(*key).agg(F.count("*").alias("n_titled")), key, "left").join(confirmed.groupBy(*key).agg(F.collect_set("doc_id").alias("sure")), key, "left")
+    facts = facts.join(strong.select(*key, F.col("doc_id").alias("strong")), key, "left").withColumn("n_titled", F.coalesce("n_titled", F.lit(0)))
+    settled = F.col("is_title") | (~F.col("short") & (F.col("n_titled") > 0))
+    agreed = F.col("sure").isNotNull() & (F.col("strong").isNull() | F.array_contains("sure", F.col("strong")))
+    rung = F.when(settled, "title").when(agreed, "confirmed").when(F.col("strong").isNotNull(), "strong").when(~F.col("short"), "abstract")
+    chosen = facts.select(*key, rung.alias("rung"))
+    take = lambda rows, name: rows.join(chosen.where(F.col("rung") == name).select(*key), key, "left_semi")
+    by_title = lambda rows: placed(rows.withColumn("via", F.lit("title"))).where(F.col("place") <= most)
+    out = [by_title(take(titled, "title")), by_title(take(confirmed, "confirmed")), take(strong, "strong"), take(abstract, "abstract")]
+    return reduce(DataFrame.unionByName, (o.select(*key, "place", "doc_id", "via") for o in out))
+
+
+def boosted(resolved: DataFrame, most: int = MOST_DOCS, per_doc: int = SCOPED_CHUNKS) -> DataFrame:
+    """boost_plan of resolved documents (query_id, order, doc_id, via), order being that of entities and places; the first naming of a document counts."""
+    first = resolved.groupBy("query_id", "doc_id").agg(F.min(F.struct("order", "via")).alias("x")).select("query_id", "doc_id", F.col("x.order").alias("rank"), "x.via")
+    return boost_plan(first.where("via <> 'content'"), first.where("via = 'content'"), most, per_doc)
+
+
+def boost_hits(plan: DataFrame, scoped: DataFrame, context_chars: int) -> DataFrame:
+    """(query_id, side, place, doc_id, chunk_id): hits within the planned documents, to go before or after the organic ones.
+
+    scoped (query_id, doc_id, rank, chunk_id, text) is a search within each document. Documents take turns;
+    strong ones go before, content ones after. With three documents or more those before keep to a third
+    of the context, the first at least, and what overflows follows the ones after.
     """
-    title_ok = (F.col("token_match") & (F.col("score") >= floors["token"])) | (titles_equivalent(F.col("entity"), F.col("title")) & (F.col("score") >= floors["title"]))
-    a = title_hits.where(title_ok).withColumn("rung", F.lit(0))
-    counts = content_hits.where(F.col("score") >= floors["content"]).withColumn("n", F.count("*").over(Window.partitionBy("query_id", "entity", "doc_id")))
-    b = counts.where(F.col("token_match") | (F.col("n") >= 2)).drop("n").withColumn("rung", F.lit(1))
-    c = abstract_hits.where(F.col("score") >= floors["abstract"]).withColumn("rung", F.lit(2))
-    every = a.unionByName(b).unionByName(c)
-    best = every.groupBy("query_id", "entity").agg(F.min_by(F.struct("doc_id", "rung"), F.struct("rung", "rank")).alias("x"))
-    return entities.select("query_id", "entity").join(best, ["query_id", "entity"]).select("query_id", "entity", "x.doc_id", "x.rung")
+    rows = scoped.join(plan, ["query_id", "doc_id"]).where(F.col("rank") <= F.col("n_chunks"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank", "order")))
+    n = plan.groupBy("query_id").agg(F.count("*").alias("n_docs"))
+    before = rows.where("kind = 0").join(n, "query_id")
+    few = before.where("n_docs < 3").withColumn("fits", F.lit(True))
+    many = overflow_order(before.where("n_docs >= 3"), ["query_id"], [F.asc("turn")], context_chars // 3).drop("place")
+    columns = ["query_id", "doc_id", "chunk_id", "kind", "turn", "fits"]
+    every = few.select(*columns).unionByName(many.select(*columns)).unionByName(rows.where("kind = 1").withColumn("fits", F.lit(False)).select(*columns))
+    side = F.when(F.col("fits"), "before").otherwise("after")
+    place = F.row_number().over(Window.partitionBy("query_id", "side").orderBy(F.desc("kind"), "turn"))
+    return every.withColumn("side", side).withColumn("place", place).select("query_id", "side", "place", "doc_id", "chunk_id")
 
 
 def boost_plan(strong: DataFrame, content: DataFrame, most: int = 4, per_doc: int = 5) -> DataFrame:
-    """(query_id, doc_id, order, n_chunks): strong documents first; three or more drop the content ones; at most most documents; 5 chunks each, fewer for many."""
+    """(query_id, doc_id, order, kind, n_chunks): strong documents first; three or more drop the content ones; at most most documents; 5 chunks each, fewer for many."""
     n_strong = F.sum(1 - F.col("kind")).over(Window.partitionBy("query_id"))
     rows = strong.select("query_id", "doc_id", "rank", F.lit(0).alias("kind")).unionByName(content.select("query_id", "doc_id", "rank", F.lit(1).alias("kind")))
     rows = rows.groupBy("query_id", "doc_id").agg(F.min(F.struct("kind", "rank")).alias("k")).select("query_id", "doc_id", "k.kind", "k.rank")
     rows = rows.withColumn("n_strong", n_strong).where((F.col("n_strong") < 3) | (F.col("kind") == 0))
     rows = rows.withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy("kind", "rank", "doc_id"))).where(F.col("order") <= most)
     n = F.count("*").over(Window.partitionBy("query_id"))
-    return rows.select("query_id", "doc_id", "order", F.when(n <= 2, F.lit(per_doc)).otherwise(F.greatest(F.lit(2), F.floor(F.lit(10) / n)).cast("int")).alias("n_chunks"))
+    return rows.select("query_id", "doc_id", "order", "kind", F.when(n <= 2, F.lit(per_doc)).otherwise(F.greatest(F.lit(2), F.floor(F.lit(10) / n)).cast("int")).alias("n_chunks"))
 
 
-def alias_tokens(docs: DataFrame, stop: tuple[str, ...] = COMMON, least: int = 8, others: int = 2, shared: int = 3, most: int = 5) -> DataFrame:
+def alias_tokens(docs: DataFrame, stop: frozenset[str] = STOP, least: int = 8, others: int = 2, shared: int = 3, most: int = 5) -> DataFrame:
     """(group_id, doc_id, place, token, n): names a document uses for its own: 2 to 8 characters, a capital not only at
     the start, least times or more, and in fewer than others other documents of the group shared times or more."""
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z0-9-]{1,7})(?![A-Za-z0-9-])"), 1)
-    rows = docs.select("group_id", "doc_id", F.explode(words).alias("token")).where(F.col("token").rlike("[A-Z]") & ~F.col("token").rlike("^[A-Z][a-z]+$") & ~F.col("token").isin(*stop))
+    rows = docs.select("group_id", "doc_id", F.explode(words).alias("token")).where(F.col("token").rlike("[A-Z]") & ~F.col("token").rlike("^[A-Z][a-z]+$") & ~F.upper("token").isin(*sorted(stop)))
     counts = rows.groupBy("group_id", "doc_id", "token").agg(F.count("*").alias("n"))
     spread = counts.groupBy("group_id", "token").agg(F.count_if(F.col("n") >= shared).alias("n_docs"))
     own = counts.where(F.col("n") >= least).join(spread, ["group_id", "token"])

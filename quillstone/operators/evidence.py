@@ -103,6 +103,26 @@ def reference_entry(text: Column, number: Column) -> Column:
     return F.when(found, strip(F.regexp_extract(after, r"(?s)^(\[[0-9]+\].*?)(?=\n?\[[0-9]+\]|$)", 1)))
 
 
+#: What dense reference lists are made of.
+REFERENCE_MARK = r"(,\s*20[0-9][0-9][a-z]?\.|arXiv|\bIn Proceedings\b|\bIn International\b)"
+
+
+def extended_region(chunks: DataFrame, reach: int = 6, least: int = 8) -> DataFrame:
+    """Chunks (doc_id, pos, source_type, text, in_region) of the reference region and of the dense ones right after its last one.
+
+    Of the reach chunks that follow, tables, figures and metadata are passed over, and the first other one with fewer than least marks ends it.
+    """
+    doc = Window.partitionBy("doc_id")
+    place = F.row_number().over(doc.orderBy("pos"))
+    rows = chunks.withColumn("__n", place).withColumn("__last", F.max(F.when(F.col("in_region"), F.col("__n"))).over(doc))
+    other = F.col("source_type").isin("table", "figure", "metadata")
+    near = (F.col("__n") > F.col("__last")) & (F.col("__n") <= F.col("__last") + reach)
+    thin = near & ~other & (F.regexp_count("text", F.lit(REFERENCE_MARK)) < least)
+    ended = F.sum(thin.cast("int")).over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows.withColumn("__ended", ended).where(F.col("in_region") | (near & ~other & (F.col("__ended") == 0)))
+    return kept.drop("__n", "__last", "__ended")
+
+
 def last_reference(text: Column) -> Column:
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*\[([0-9]+)\]"), 1), lambda x: x.try_cast("int"))
     return F.array_max(numbers)

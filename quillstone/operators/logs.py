@@ -64,8 +64,37 @@ def archive_map(log: DataFrame) -> DataFrame:
 
 
 def shard_modulo(rows: DataFrame, order: Column, shard: int, shards: int) -> DataFrame:
-    """Rows whose place in the order is shard modulo shards. The order is global: for planning tables, not for corpora."""
-    return rows.withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1).where(F.pmod("__i", F.lit(shards)) == shard).drop("__i")
+    """Rows whose place in the order is shard modulo shards."""
+    return ordinals(rows, [order], "__i").where(F.pmod("__i", F.lit(shards)) == shard).drop("__i")
+
+
+#: Rows of one range of ordinals(), about, while there are fewer than MOST_RANGES, and sampled keys of a range.
+RANGE_ROWS, MOST_RANGES, RANGE_SAMPLE = 500_000, 4000, 20
+
+
+def ordinals(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows numbered from 0 in a global order, range by range.
+
+    Keys sampled by hash divide the order into ranges of about RANGE_ROWS rows; each range numbers
+    its own rows, and the counts of the ranges before it, a small table, are added.
+    """
+    keyed = rows.withColumn("__key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order))))
+    n = keyed.count()
+    parts = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    bounds = []
+    if parts > 1:
+        rare = F.pmod(F.xxhash64("__key"), F.lit(max(1, n // (parts * RANGE_SAMPLE)))) == 0
+        keys = [r["__key"] for r in keyed.where(rare).select("__key").distinct().orderBy("__key").collect()]
+        bounds = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+    types = keyed.schema["__key"].dataType
+    table = rows.sparkSession.createDataFrame([(bounds,)], f"bounds array<{types.simpleString()}>")
+    placed = keyed.join(F.broadcast(table)).withColumn("__part", F.size(F.filter("bounds", lambda b: b <= F.col("__key")))).drop("bounds") if bounds else keyed.withColumn("__part", F.lit(0))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("__key"))
+    out = placed.withColumn("__own", own).join(F.broadcast(offsets), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__own") - 1).drop("__key", "__part", "__own", "__before")
 
 
 def shard_ranges(n: int, shards: int) -> list[tuple[int, int]]:
@@ -76,11 +105,12 @@ def shard_ranges(n: int, shards: int) -> list[tuple[int, int]]:
 def take_groups(rows: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """The first limit rows with run_id of their contiguous group and whether the whole group was taken.
 
-    The order of rows is global, as the limit is.
+    Only the first limit + 1 rows of the order are numbered: the row after the last says whether its group goes on.
     """
+    first = rows.orderBy(order).limit(limit + 1)
     whole = Window.orderBy(order)
     starts = F.when(F.lag(group).over(whole).eqNullSafe(F.col(group)), 0).otherwise(1)
-    out = rows.withColumns({"__start": starts, "__n": F.row_number().over(whole)})
+    out = first.withColumns({"__start": starts, "__n": F.row_number().over(whole)})
     out = out.withColumn("run_id", F.sum("__start").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
     size = Window.partitionBy("run_id")
     out = out.withColumn("complete", F.max("__n").over(size) <= limit)
@@ -88,13 +118,14 @@ def take_groups(rows: DataFrame, group: str, order: str, limit: int) -> DataFram
 
 
 def varying_params(runs: DataFrame) -> DataFrame:
-    """Parameters that differ between runs (run_no, params map<string,string>); missing counts as null: (name, n_values, first_seen)."""
+    """Parameters that differ between runs (run_no, params map<string,string>); missing counts as null: (name, n_values, first_run, first_pos)."""
     entries = runs.select("run_no", F.posexplode("params").alias("pos", "name", "value"))
-    names = entries.groupBy("name").agg(F.min(F.struct("run_no", "pos")).alias("first_seen"))
-    grid = names.select("name").crossJoin(F.broadcast(runs.select("run_no").distinct()))
-    full = grid.join(entries.select("run_no", "name", "value"), ["run_no", "name"], "left")
-    counts = full.groupBy("name").agg(F.count_distinct(F.coalesce("value", F.lit("null"))).alias("n_values")).where("n_values > 1")
-    return counts.join(names, "name").select("name", "n_values", F.col("first_seen.run_no").alias("first_run"), F.col("first_seen.pos").alias("first_pos"))
+    value = F.coalesce("value", F.lit("null"))
+    counts = entries.groupBy("name").agg(F.count_distinct(value).alias("n"), F.count_distinct("run_no").alias("n_runs"), F.bool_or(value == "null").alias("null"), F.min(F.struct("run_no", "pos")).alias("first"))
+    whole = runs.agg(F.count_distinct("run_no").alias("whole"))
+    absent = (F.col("n_runs") < F.col("whole")) & ~F.col("null")
+    out = counts.join(F.broadcast(whole)).select("name", (F.col("n") + absent.cast("int")).alias("n_values"), F.col("first.run_no").alias("first_run"), F.col("first.pos").alias("first_pos"))
+    return out.where("n_values > 1")
 
 
 def experiment_tail(runs: DataFrame, where: Column, n: int) -> DataFrame:

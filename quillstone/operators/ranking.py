@@ -148,12 +148,12 @@ def evidence_numbers(rows: DataFrame, by: list[str], order: list[Column]) -> Dat
     return numbered(rows, by, order, "__n").withColumn("evidence_id", F.format_string("ev_%03d", "__n")).drop("__n")
 
 
-def growth(rounds: DataFrame, value: str = "total") -> DataFrame:
-    """Growth against the previous round (from 0: 1 if anything came, else 0) and the running length of rounds at or under 5 %."""
+def growth(rounds: DataFrame, value: str = "total", threshold: float = 0.0) -> DataFrame:
+    """Growth against the previous round (from 0: 1 if anything came, else 0) and the running length of rounds at or under the threshold."""
     w = Window.partitionBy("query_id").orderBy("round")
     before = F.coalesce(F.lag(value).over(w), F.lit(0))
     rate = F.when(before == 0, F.when(F.col(value) > 0, 1.0).otherwise(0.0)).otherwise((F.col(value) - before) / before)
     out = rounds.withColumn("growth", F.round(rate, 6))
-    island = F.sum(F.when(F.col("growth") > 0.05, 1).otherwise(0)).over(w)
+    island = F.sum(F.when(F.col("growth") > threshold, 1).otherwise(0)).over(w)
     out = out.withColumn("island", island)
-    return out.withColumn("stagnant", F.sum(F.when(F.col("growth") <= 0.05, 1).otherwise(0)).over(Window.partitionBy("query_id", "island").orderBy("round"))).drop("island")
+    return out.withColumn("stagnant", F.sum(F.when(F.col("growth") <= threshold, 1).otherwise(0)).over(Window.partitionBy("query_id", "island").orderBy("round"))).drop("island")

@@ -8,15 +8,19 @@ vectors are taken in blocks.
 from __future__ import annotations
 
 import re
+import weakref
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.functions.text import tokens
 from quillstone.operators.ranking import top_k
@@ -29,11 +33,50 @@ VECTOR_BLOCK = 2048
 
 
 def query_terms(queries: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
-    """(query_id, term) of queries (query_id, text), each term once."""
+    """(query_id, term) of queries (query_id, text), each pair once, whatever rows of a query_id repeat or add."""
     terms = F.array_distinct(tokens(F.col("text")))
     if stopwords:
         terms = F.array_except(terms, F.array(*map(F.lit, stopwords)))
-    return queries.select("query_id", F.explode(terms).alias("term"))
+    return queries.select("query_id", F.explode(terms).alias("term")).distinct()
+
+
+class Best:
+    """Running best k of each query over the batches of a task, ties by key; what can no longer count is dropped as it grows."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.held, self.size = max(k, 0), [], 0
+        self.floor = np.full(n_queries, -np.inf)
+        self.room = max(1_000_000, 4 * self.k * n_queries)
+
+    def add(self, query: np.ndarray, score: np.ndarray, key: np.ndarray, doc: np.ndarray) -> None:
+        good = score >= self.floor[query]
+        self.held.append((query[good], score[good], key[good], doc[good]))
+        self.size += int(good.sum())
+        if self.size > self.room:
+            self.cut()
+
+    def cut(self) -> None:
+        query, score, key, doc = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((key, -score, query))
+        query, score, key, doc = query[order], score[order], key[order], doc[order]
+        first = np.concatenate(([0], np.flatnonzero(query[1:] != query[:-1]) + 1)) if len(query) else np.zeros(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        if self.k:
+            last = place == self.k - 1
+            self.floor[query[last]] = score[last]
+        keep = place < self.k
+        self.held = [(query[keep], score[keep], key[keep], doc[keep])]
+        self.size = int(keep.sum())
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        self.cut()
+        return self.held[0]
+
+
+def let_go(df: DataFrame) -> None:
+    """Unpersists df unless its session has ended."""
+    if df.sparkSession.sparkContext._jsc is not None:
+        df.unpersist()
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -46,10 +89,10 @@ class BM25Index:
     """BM25 (k1 1.5, b 0.75, ln(1 + (N - df + 0.5) / (df + 0.5))) over chunks (chunk_id, doc_id, text).
 
     Lengths come from the token arrays before anything is exploded. Up to TERMS_BOUND pairs of query
-    and term, which is counted, every task scores its own chunks for all queries and keeps the best
-    of each batch, so k rows for each query and batch are shuffled; beyond it, the postings of
-    query terms are joined by shuffle. Terms without a match give no hit: zero scores never pad a
-    result.
+    and term, which is counted, one pass over the corpus keeps the postings of the query terms, which
+    give the counts; then every task scores its own postings for all queries and keeps a running best
+    k, so k rows for each query and task are shuffled. Beyond the bound, the postings of query terms are
+    joined by shuffle. Terms without a match give no hit: zero scores never pad a result.
     """
 
     def __init__(self, chunks: DataFrame, stopwords: list[str] | None = None):
@@ -85,75 +128,96 @@ class BM25Index:
         df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
         return tf.join(df, "term")
 
-    def search(self, queries: DataFrame, k: int = 10, run: str = "bm25") -> DataFrame:
-        """hits of queries (query_id, text, ...), the best k of each."""
+    def search(self, queries: DataFrame, k: int = 10, run: str = "bm25", within: DataFrame | None = None) -> DataFrame:
+        """hits of queries (query_id, text, ...), the best k of each; of the chunks of within (chunk_id) only, if given, under statistics of all."""
         wanted = query_terms(queries, self.stopwords)
         pairs = wanted.limit(TERMS_BOUND + 1).collect()
-        scored = self.scored_here(queries, pairs, k) if len(pairs) <= TERMS_BOUND else self.scored_by_join(wanted)
+        scored = self.scored_here(queries, pairs, k, within) if len(pairs) <= TERMS_BOUND else self.scored_by_join(wanted, within)
         hits = top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
         return hits.select("query_id", F.lit(run).alias("run"), "rank", "chunk_id", "doc_id", "score")
 
-    def scored_by_join(self, wanted: DataFrame) -> DataFrame:
+    def scored_by_join(self, wanted: DataFrame, within: DataFrame | None = None) -> DataFrame:
         posted = self.postings(wanted.select("term").distinct())
+        if within is not None:
+            posted = posted.join(within.select("chunk_id"), "chunk_id", "left_semi")
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         scored = posted.crossJoin(F.broadcast(self.statistics())).select("term", "chunk_id", "doc_id", part.alias("part"))
         return scored.join(wanted, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
-    def scored_here(self, queries: DataFrame, pairs: list, k: int) -> DataFrame:
-        """The best k and their ties of each batch of chunks, for each query."""
+    def posted(self, terms: list[str]) -> DataFrame:
+        """(chunk_id, doc_id, dl, place, tf) of chunks with any token: which of the sorted terms they hold, and how often; kept on disk."""
+        known = self.chunks.sparkSession.sparkContext.broadcast(terms)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = pa.array(known.value, pa.string())
+            for batch in batches:
+                lists = batch.column("tokens")
+                at = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy()
+                sizes = np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), sizes)[at >= 0]
+                key, tf = np.unique(row * max(len(values), 1) + at[at >= 0], return_counts=True)
+                row, place = key // max(len(values), 1), key % max(len(values), 1)
+                offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+                columns = [batch.column("chunk_id"), batch.column("doc_id"), batch.column("dl")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], ["chunk_id", "doc_id", "dl", "place", "tf"])
+
+        types = {c: self.chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")}
+        out = self.chunks.where("dl > 0").mapInArrow(run, f"chunk_id {types['chunk_id']}, doc_id {types['doc_id']}, dl int, place array<int>, tf array<int>")
+        out = out.persist(StorageLevel.DISK_ONLY)
+        # results that were not read before the index goes are computed from the corpus again
+        weakref.finalize(self, let_go, out).atexit = False
+        return out
+
+    def scored_here(self, queries: DataFrame, pairs: list, k: int, within: DataFrame | None = None) -> DataFrame:
+        """The best k and their ties of each task's chunks, for each query."""
         spark, kind = self.chunks.sparkSession, queries.schema["query_id"].dataType
         terms = sorted({p["term"] for p in pairs})
         ids = list(dict.fromkeys(p["query_id"] for p in pairs))
-        # one pass for all counts; the empty term stands for the documents themselves
-        names = spark.createDataFrame([(t,) for t in [*terms, ""]], "term string")
-        own = self.chunks.where("dl > 0").select("dl", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"))
-        counted = {r["term"]: r for r in own.join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()}
-        n = counted[""]["df"] if counted else 0
-        mean = counted[""]["dl"] / n if n else 1.0
-        df = np.array([counted[t]["df"] if t in counted else 0 for t in terms], float)
+        posted = self.posted(terms)
+        n, total = posted.agg(F.count("*"), F.sum("dl")).first()
+        mean = total / n if n else 1.0
+        df = np.zeros(len(terms))
+        for r in posted.select(F.explode("place").alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect():
+            df[r["place"]] = r["df"]
         number = {t: i for i, t in enumerate(terms)}
         place = {q: i for i, q in enumerate(ids)}
         by_term = sorted((number[p["term"]], place[p["query_id"]]) for p in pairs)
         starts = np.searchsorted(np.array([t for t, _ in by_term], np.int64), np.arange(len(terms) + 1))
-        state = spark.sparkContext.broadcast((terms, ids, np.log(1 + (n - df + 0.5) / (df + 0.5)), starts, np.array([q for _, q in by_term], np.int64)))
+        state = spark.sparkContext.broadcast((ids, np.log(1 + (n - df + 0.5) / (df + 0.5)), starts, np.array([q for _, q in by_term], np.int64)))
+        types = {c: self.chunks.schema[c].dataType for c in ("chunk_id", "doc_id")}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms, ids, idf, starts, asked = state.value
-            known, wide, fan = pa.array(terms, pa.string()), len(ids), np.diff(starts)
-            names = pa.array(ids)
+            ids, idf, starts, asked = state.value
+            wide, fan, best = len(ids), np.diff(starts), Best(len(ids), k)
             for batch in batches:
-                lists = batch.column("tokens")
-                at = pc.index_in(lists.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+                lists = batch.column("place")
+                terms_of, tf_of = lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
                 offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 dl = batch.column("dl").to_numpy()
+                chunk, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "doc_id"))
                 step = max(1, min(1000, 2_000_000 // max(wide, 1)))
                 for lo in range(0, batch.num_rows, step):
                     hi = min(lo + step, batch.num_rows)
-                    own = at[offsets[lo] : offsets[hi]]
-                    row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-                    good = ~np.isnan(own) if own.dtype.kind == "f" else own >= 0
-                    key, tf = np.unique(row[good] * len(terms) + own[good].astype(np.int64), return_counts=True)
-                    row, term = key // len(terms), key % len(terms)
+                    own = slice(offsets[lo], offsets[hi])
+                    row, term, tf = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), terms_of[own], tf_of[own]
                     part = idf[term] * tf / (tf + K1 * (1 - B + B * dl[lo:hi][row] / mean))
                     n = fan[term]
                     ends = np.cumsum(n)
                     query = asked[np.repeat(starts[term] - (ends - n), n) + np.arange(int(n.sum()))]
                     score = np.bincount(np.repeat(row, n) * wide + query, np.repeat(part, n), (hi - lo) * wide).reshape(hi - lo, wide)
-                    if hi - lo > k:
-                        # ties after rounding stay
-                        least = np.partition(score, hi - lo - k, axis=0)[hi - lo - k] - 1e-6
-                        found, query = np.nonzero((score > 0) & (score >= least))
-                    else:
-                        found, query = np.nonzero(score > 0)
-                    rows = pa.array(found + lo)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column("chunk_id").take(rows), batch.column("doc_id").take(rows), pa.array(score[found, query])], ["query_id", "chunk_id", "doc_id", "score"])
-
-        if not pairs:
-            run = lambda batches: iter(())
-        types = {c: self.chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")}
-        out = self.chunks.mapInArrow(run, f"query_id {kind.simpleString()}, chunk_id {types['chunk_id']}, doc_id {types['doc_id']}, score double")
-        return out.withColumn("score", F.round("score", 6))
+                    # ties after rounding stay
+                    found, query = np.nonzero((score > 0) & (score >= best.floor - 1e-6))
+                    best.add(query, np.round(score[found, query], 6), chunk[lo + found], doc[lo + found])
+            query, score, chunk, doc = best.rows() if best.held else (np.zeros(0, np.int64),) * 4
+            for s in range(0, len(query), 100_000):
+                at = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)).take(pa.array(query[at])), pa.array(chunk[at], to_arrow_type(types["chunk_id"])), pa.array(doc[at], to_arrow_type(types["doc_id"])), pa.array(score[at].astype(float))], ["query_id", "chunk_id", "doc_id", "score"])
+
+        if within is not None:
+            posted = posted.join(within.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "doc_id", "dl", "place", "tf")
+        out = posted.mapInArrow(run, f"query_id {kind.simpleString()}, chunk_id {types['chunk_id'].simpleString()}, doc_id {types['doc_id'].simpleString()}, score double")
+        return out
 
 
 def fielded_search(rows: DataFrame, key: str, fields: list[str], queries: DataFrame, k: int = 10) -> DataFrame:
@@ -166,33 +230,30 @@ def fielded_search(rows: DataFrame, key: str, fields: list[str], queries: DataFr
     return out
 
 
-def vector_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Query vectors (query_id, vector) in bounded blocks, streamed through the driver."""
-    ids, rows = [], []
-    for r in queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["vector"])
-        if len(ids) == VECTOR_BLOCK:
-            yield ids, np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows)
+def vector_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Query vectors (query_id, vector, __scope) in bounded blocks, streamed through the driver."""
+    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), "__scope").toLocalIterator()
+    while block := list(islice(rows, VECTOR_BLOCK)):
+        yield [r["query_id"] for r in block], np.array([r["vector"] for r in block]), np.array([r["__scope"] for r in block])
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, run: str = "dense", normalize: bool = True, skip_self: bool = False) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, run: str = "dense", normalize: bool = True, skip_self: bool = False, scope: str | None = None) -> DataFrame:
     """Exact inner-product search of queries (query_id, vector) in corpus (chunk_id, doc_id, vector): hits.
 
-    Each task multiplies its batches with a block of queries and keeps k rows of each query and
-    batch, so what is shuffled is k rows for each query and batch. normalize makes it cosine.
+    Each task multiplies its batches with a block of queries and keeps a running best k of each query, so
+    what is shuffled is k rows for each query and task. normalize makes it cosine. scope names a column of
+    both sides whose values have to be equal.
     """
     spark = corpus.sparkSession
     out = None
-    source = corpus.select("chunk_id", "doc_id", F.col("vector").cast("array<double>").alias("vector"))
-    for ids, matrix in vector_blocks(queries):
-        state = spark.sparkContext.broadcast((np.array(ids), unit_rows(matrix) if normalize else matrix))
+    own_scope = F.coalesce(F.xxhash64(scope), F.lit(0)) if scope else F.lit(0).cast("long")
+    source = corpus.select("chunk_id", "doc_id", F.col("vector").cast("array<double>").alias("vector"), own_scope.alias("scope"))
+    for ids, matrix, scopes in vector_blocks(queries.withColumn("__scope", own_scope)):
+        state = spark.sparkContext.broadcast((np.array(ids), unit_rows(matrix) if normalize else matrix, scopes))
 
         def run_block(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            ids, matrix = state.value
+            ids, matrix, scopes = state.value
+            best = Best(len(ids), k)
             for batch in batches:
                 lists = batch.column("vector")
                 keep = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == matrix.shape[1]) if not lists.null_count else np.array([i for i in range(len(lists)) if lists[i].is_valid and len(lists[i]) == matrix.shape[1]], np.int64)
@@ -200,18 +261,22 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, run: str = "dense",
                     continue
                 own = lists.take(pa.array(keep))
                 rows = own.flatten().to_numpy(zero_copy_only=False).reshape(len(keep), -1)
-                chunk = batch.column("chunk_id").to_numpy()[keep]
-                doc = batch.column("doc_id").to_numpy()[keep]
+                chunk, doc, here = (batch.column(c).to_numpy()[keep] for c in ("chunk_id", "doc_id", "scope"))
                 scores = np.round(matrix @ (unit_rows(rows) if normalize else rows).T, 6)
                 if skip_self:
                     scores[ids[:, None] == chunk[None, :]] = -np.inf
-                n = min(k, len(keep))
-                order = np.lexsort((np.broadcast_to(chunk, scores.shape), -scores), axis=1)[:, :n]
-                q = np.repeat(ids, n)
-                at = order.ravel()
-                flat = np.take_along_axis(scores, order, 1).ravel()
-                good = np.isfinite(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(chunk[at[good]]), pa.array(doc[at[good]]), pa.array(flat[good] + 0.0)], ["query_id", "chunk_id", "doc_id", "score"])
+                if scope:
+                    scores[scopes[:, None] != here[None, :]] = -np.inf
+                if scores.shape[1] > k > 0:
+                    # of a batch the best k of a query and their ties
+                    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    q, at = np.nonzero((scores >= np.maximum(least, best.floor)[:, None]) & np.isfinite(scores))
+                else:
+                    q, at = np.nonzero(np.isfinite(scores))
+                best.add(q, scores[q, at], chunk[at], doc[at])
+            if best.held:
+                q, score, chunk, doc = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunk), pa.array(doc), pa.array(score + 0.0)], ["query_id", "chunk_id", "doc_id", "score"])
 
         part = source.mapInArrow(run_block, "query_id long, chunk_id long, doc_id long, score double")
         out = part if out is None else out.unionByName(part)
@@ -235,7 +300,7 @@ def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, run: st
     spark = doc_tokens.sparkSession
     numbered = query_tokens.select(F.struct("query_id", "token_no").alias("query_id"), "vector")
     out = None
-    for ids, matrix in vector_blocks(numbered):
+    for ids, matrix, _ in vector_blocks(numbered.withColumn("__scope", F.lit(0))):
         state = spark.sparkContext.broadcast((np.array([i["query_id"] for i in ids]), np.array([i["token_no"] for i in ids]), matrix))
 
         def run_block(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import blank_if_null, normalize_alias, strip
+from quillstone.operators.logs import ordinals
 
 
 def include_exclude(rows: DataFrame, key: str, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -124,10 +125,10 @@ def chunk_record(pages: Column, locator: Column, section: Column) -> tuple[Colum
 
 
 def batches(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """rows with the number of their fixed-size batch, in order; the order is global, as for a work list."""
+    """rows with the number of their fixed-size batch, in ascending order of the given columns."""
     if size <= 0:
         raise ValueError("batch size must be positive")
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    return ordinals(rows, order, "__i").withColumn("batch", F.floor(F.col("__i") / size)).drop("__i")
 
 
 def compared_methods(names: Column) -> Column:

@@ -134,11 +134,8 @@ def bm25_topk(spark, d):
 )
 def bm25_filtered(spark, d):
     """Top 5 within a venue and track filter; statistics are the corpus's."""
-    attrs = chunks_of(spark, d).where((F.col("lang") == "en") & (F.col("source") != "src0")).select("doc_id")
-    index = retrieval.BM25Index.build(chunks_of(spark, d))
-    wide = index.search(questions(spark, d), 1 << 30)
-    kept = wide.drop("rank").join(attrs, "doc_id", "left_semi")
-    return ranking.top_k(kept, 5, ["query_id"], [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    within = chunks_of(spark, d).where((F.col("lang") == "en") & (F.col("source") != "src0"))
+    return retrieval.BM25Index.build(chunks_of(spark, d)).search(questions(spark, d), 5, within=within).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {_BM} SELECT t AS term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st WHERE df >= 2")
@@ -185,14 +182,10 @@ def knn_exact(spark, d):
 
 @query(_KNN + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE ql = cl QUALIFY rank <= 5")
 def knn_label_scoped(spark, d):
-    """Nearest vectors within the query's own label: a search for each label."""
-    rows = table(spark, d, "embeddings")
-    out = None
-    for r in rows.select("label").distinct().orderBy("label").collect():
-        own = rows.where(F.col("label") == r["label"]).select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-        hits = retrieval.knn(own, own.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), 5, skip_self=True)
-        out = hits if out is None else out.unionByName(hits)
-    return out.select("query_id", "rank", "doc_id", "score")
+    """Nearest vectors within the query's own label, in one scan."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    wanted = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector", "label")
+    return retrieval.knn(rows, wanted, 5, skip_self=True, scope="label").select("query_id", "rank", "doc_id", "score")
 
 
 @query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM e")

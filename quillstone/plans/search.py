@@ -23,8 +23,8 @@ class LexicalIndexer:
         self.index = BM25Index.build(chunks, self.stopwords)
         return self
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return self.index.search(queries, k, self.name)
+    def search(self, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
+        return self.index.search(queries, k, self.name, within)
 
 
 @register("indexer", "dense")
@@ -40,8 +40,9 @@ class DenseIndexer:
         self.vectors = chunks.select("chunk_id", "doc_id", self.encode(F.col("text")).alias("vector"))
         return self
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return knn(self.vectors, queries.select("query_id", self.encode(F.col("text")).alias("vector")), k, self.name)
+    def search(self, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
+        vectors = self.vectors if within is None else self.vectors.join(within.select("chunk_id"), "chunk_id", "left_semi")
+        return knn(vectors, queries.select("query_id", self.encode(F.col("text")).alias("vector")), k, self.name)
 
 
 @register("fuser", "rrf")
@@ -65,10 +66,11 @@ class HybridRetriever:
     def __init__(self, indexers: list, fuser: Fuser, per_index_k: int = 100, reranker: Callable | None = None):
         self.indexers, self.fuser, self.per_index_k, self.reranker = indexers, fuser, per_index_k, reranker
 
-    def retrieve(self, queries: DataFrame, top_k: int) -> DataFrame:
+    def retrieve(self, queries: DataFrame, top_k: int, within: DataFrame | None = None) -> DataFrame:
+        """within (chunk_id) restricts the search to some chunks before the best are taken; statistics stay the corpus's."""
         hits = None
         for indexer in self.indexers:
-            run = indexer.search(queries, self.per_index_k)
+            run = indexer.search(queries, self.per_index_k) if within is None else indexer.search(queries, self.per_index_k, within)
             hits = run if hits is None else hits.unionByName(run)
         wide = top_k * 3 if self.reranker else top_k
         fused = self.fuser.fuse(hits, wide, [i.name for i in self.indexers])
@@ -85,12 +87,18 @@ def multi_query(queries: DataFrame, extra: DataFrame, search: Callable[[DataFram
     low = F.lower(F.trim("text"))
     first = rows.groupBy("query_id", low.alias("low")).agg(F.min_by(F.struct("sub_no", "text"), "sub_no").alias("x")).select("query_id", "x.sub_no", "x.text")
     kept = ranking.top_k(first, most + 1, ["query_id"], [F.asc("sub_no")], "n")
-    keyed = kept.select(F.struct("query_id", "n").alias("key"), "text").withColumn("query_id", F.xxhash64("key")).cache()
-    hits = search(keyed.select("query_id", "text"))
-    back = hits.join(keyed.select("query_id", F.col("key.query_id").alias("q"), F.col("key.n").alias("n")), "query_id").drop("query_id").withColumnRenamed("q", "query_id").withColumn("run", F.col("n"))
+    back = search_apart(kept.select("query_id", F.col("n").alias("sub_no"), "text"), search).withColumnRenamed("sub_no", "run")
     return ranking.merge_best_position(back, limit)
 
 
+def search_apart(wordings: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Hits of wordings (query_id, sub_no, text), each searched on its own in one batch: the hits' columns with query_id and sub_no."""
+    keyed = wordings.select(F.xxhash64("query_id", "sub_no", "text").alias("wording"), F.col("query_id").alias("__q"), "sub_no", "text")
+    hits = search(keyed.select(F.col("wording").alias("query_id"), "text")).withColumnRenamed("query_id", "wording")
+    back = hits.join(keyed.drop("text"), "wording").drop("wording").withColumnRenamed("__q", "query_id")
+    return back.select("query_id", "sub_no", *(c for c in back.columns if c not in ("query_id", "sub_no")))
+
+
 def first_attribution(hits: DataFrame) -> DataFrame:
     """(query_id, doc_id, first_sub): the first wording that found each document."""
     return hits.groupBy("query_id", "doc_id").agg(F.min("sub_no").alias("first_sub"))

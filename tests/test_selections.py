@@ -54,8 +54,8 @@ def test_chunk_record_and_small_extractors(spark):
     names = spark.createDataFrame([([" a ", "a", "", "b" * 81] + [f"n{i}" for i in range(20)],)], "n array<string>")
     assert names.select(S.compared_methods(F.col("n"))).collect()[0][0] == ["a"] + [f"n{i}" for i in range(7)]
     with pytest.raises(ValueError):
-        S.batches(spark.range(3), [F.asc("id")], 0)
-    assert [r["batch"] for r in S.batches(spark.range(5), [F.asc("id")], 2).orderBy("id").collect()] == [0, 0, 1, 1, 2]
+        S.batches(spark.range(3), [F.col("id")], 0)
+    assert [r["batch"] for r in S.batches(spark.range(5), [F.col("id")], 2).orderBy("id").collect()] == [0, 0, 1, 1, 2]
 
 
 def test_embedding_shell(spark):
@@ -127,3 +127,16 @@ def test_upload_tries_again(spark):
 
     got = {r["id"]: (r["status"], r["attempts"]) for r in M.upload(spark.range(1, 4).coalesce(1), send, "id").collect()}
     assert got == {1: ("ok", 1), 2: ("ok", 2), 3: ("refused", 3)}
+
+
+def test_ordinals_over_many_ranges(spark, monkeypatch):
+    from quillstone.operators import logs
+
+    monkeypatch.setattr(logs, "RANGE_ROWS", 40)
+    rows = spark.createDataFrame([(i * 7 % 1000, f"k{i % 13:02d}") for i in range(1000)], "n long, s string").repartition(5)
+    got = [(r["i"], r["s"], r["n"]) for r in logs.ordinals(rows, [F.col("s"), F.col("n")], "i").orderBy("i").collect()]
+    want = sorted((f"k{i % 13:02d}", i * 7 % 1000) for i in range(1000))
+    assert got == [(i, s, n) for i, (s, n) in enumerate(want)]
+    assert {r["n"] for r in logs.shard_modulo(rows, F.col("n"), 2, 5).collect()} == {n for n in range(1000) if n % 5 == 2}
+    hot = spark.createDataFrame([("same",)] * 300, "s string")
+    assert sorted(r["i"] for r in logs.ordinals(hot, [F.col("s")], "i").collect()) == list(range(300))
