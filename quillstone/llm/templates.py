@@ -375,22 +375,27 @@ def met_items(docs: DataFrame, benchmark: DataFrame, least: float, block: int) -
         floor = F.least(F.col("n") * min(FLOOR, least), F.lit(FLOOR_WORDS))
         enough = met.where(covered >= F.when(F.col("width") > 0, floor).otherwise(F.col("n")) - 1e-9)
         named = benchmark.select(F.col("item_id").cast("long").alias("i2"), F.col("text").alias("item"), F.xxhash64("text").alias("v2")).distinct()
-        pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2"))).select("row", "item_id", "item", "width")
-        pairs = pairs.join(hits.select("row", "text").dropDuplicates(["row"]), "row").select("row", "item_id", "width", "item", "text")
+        pairs = enough.join(named, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("version") == F.col("v2")))
+        # a document's text once for all its items, dealt to all tasks
+        pairs = pairs.groupBy("row").agg(F.collect_list(F.struct("item_id", "width", "item")).alias("items"))
+        pairs = pairs.join(hits.select("row", "text").dropDuplicates(["row"]), "row").select("row", "items", "text")
+        pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
         verdicts = "n_windows long, n_matched long, similarity double, first_word long, last_word long, changed map<string,string>"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["n_windows", "n_matched", "similarity", "first_word", "last_word"]
             for batch in batches:
-                at, found = [], []
-                for r, (width, item, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "item", "text")))):
-                    if got := aligned(item, text, width, least):
-                        at.append(r)
-                        found.append(got)
-                at = pa.array(at, pa.int64())
+                at, ids, found = [], [], []
+                for r in range(batch.num_rows):
+                    text = batch.column("text")[r].as_py()
+                    for item in batch.column("items")[r].as_py():
+                        if got := aligned(item["item"], text, item["width"], least):
+                            at.append(r)
+                            ids.append(item["item_id"])
+                            found.append(got)
                 columns = [pa.array([f[n] for f in found], pa.float64() if n == "similarity" else pa.int64()) for n in names]
                 changed = pa.array([list(f["changed"].items()) for f in found], pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("item_id").take(at), *columns, changed], ["row", "item_id", *names, "changed"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), *columns, changed], ["row", "item_id", *names, "changed"])
 
         out = pairs.mapInArrow(run, f"row struct<digest:string,id:long>, item_id long, {verdicts}")
         out = out.select(F.col("row.id").alias("doc_id"), "item_id", *(c.split()[0] for c in verdicts.split(", ")), F.size("changed").cast("long").alias("n_changed"), "row.digest")
