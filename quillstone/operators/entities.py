@@ -185,9 +185,8 @@ def title_resolution(entries: DataFrame, titles: DataFrame) -> DataFrame:
     """(entry_id, doc_id) of reference entries whose text holds a document's normalized title of 15+ characters; the longest, then the smallest id."""
     e = entries.select("entry_id", normalize_title(F.col("text")).alias("e"))
     t = titles.select("doc_id", normalize_title(F.col("title")).alias("t")).where(F.length("t") >= 15)
-    # titles and entries meet on the title's first three words
-    key = lambda c: F.substring_index(c, " ", 3)
-    words = F.split("e", " ")
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
-    joined = e.select("entry_id", "e", F.explode(F.array_distinct(starts)).alias("k")).join(t.withColumn("k", key("t")), "k").where(F.instr(F.col("e"), F.col("t")) > 0)
+    # titles and entries meet on the title's first 15 characters
+    windows = F.transform(F.sequence(F.lit(1), F.length("e") - 14), lambda i: F.substring(F.col("e"), i, F.lit(15)))
+    met = e.where(F.length("e") >= 15).select("entry_id", "e", F.explode(F.array_distinct(windows)).alias("k"))
+    joined = met.join(t.withColumn("k", F.substring("t", 1, 15)), "k").where(F.instr(F.col("e"), F.col("t")) > 0)
     return joined.groupBy("entry_id").agg(F.min_by("doc_id", F.struct(F.negative(F.length("t")), "doc_id")).alias("doc_id"))

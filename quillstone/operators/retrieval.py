@@ -119,6 +119,12 @@ class BM25Index:
         """One row: n documents and their mean length, empty ones left out."""
         return self.chunks.where("dl > 0").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
+    def term_statistics(self) -> DataFrame:
+        """(term, df, idf) of every term of the corpus."""
+        df = self.chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return df.join(F.broadcast(self.statistics())).select("term", "df", idf.alias("idf"))
+
     def postings(self, terms: DataFrame) -> DataFrame:
         """(term, chunk_id, doc_id, tf, dl, df) of the given distinct terms."""
         bounded = terms.limit(TERMS_BOUND + 1).count() <= TERMS_BOUND

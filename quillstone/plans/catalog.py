@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import chunking, entities, logs, metrics, packing, ranking, retrieval
+from quillstone.operators import chunking, entities, evidence, logs, metrics, packing, ranking, retrieval, selections
 from quillstone.plans.search import DenseIndexer, Fuser, HybridRetriever, LexicalIndexer
 from quillstone.streaming import ingest
 
@@ -140,10 +140,8 @@ def bm25_filtered(spark, d):
 
 @query(f"WITH {_BM} SELECT t AS term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st WHERE df >= 2")
 def bm25_term_stats(spark, d):
-    chunks = chunks_of(spark, d).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
-    n = chunks.where(F.size("terms") > 0).agg(F.count("*").cast("double").alias("n"))
-    df = chunks.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
-    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    index = retrieval.BM25Index.build(chunks_of(spark, d))
+    return index.term_statistics().where("df >= 2").select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -551,15 +549,13 @@ def task_family_by_wording(spark, d):
 
 
 @query(
-    """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 60) END IGNORE NULLS) OVER w AS section,
+    """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN trim(substr(text, 1, 60), ' ' || chr(10) || chr(9) || chr(13)) END IGNORE NULLS) OVER w AS section,
     sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS island FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"""
 )
 def section_forward_fill(spark, d):
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.substring("text", 1, 60)), True).over(w).alias("section"), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).alias("island"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("pos"), F.substring("text", 1, 60).alias("text"), (F.col("role") == "user").alias("user"))
+    filled = chunking.islands(chunking.sections(rows, F.col("user")), F.col("user"))
+    return filled.select(F.col("paper_id").alias("conv_id"), F.col("pos").alias("turn"), "section", "island")
 
 
 @query("SELECT conv_id, turn, printf('%d#%s%04d', conv_id, CASE role WHEN 'user' THEN 'tab' WHEN 'assistant' THEN 'fig' ELSE 'c' END, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn)) AS chunk_id FROM conversations")
@@ -653,7 +649,9 @@ def duplicate_texts(spark, d):
 
 @query("SELECT md5(text) AS key, min(doc_id) AS doc_id, count(*) - 1 AS n_dropped FROM documents GROUP BY 1")
 def dedup_first_wins(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("n_dropped"))
+    rows = table(spark, d, "documents").select(F.md5("text").alias("key"), F.lit(0).alias("run"), F.lit(0).alias("query_id"), F.col("doc_id").alias("rank"))
+    first = ranking.first_hits(rows, "key").select("key", F.col("rank").alias("doc_id"))
+    return first.join(rows.groupBy("key").agg((F.count("*") - 1).alias("n_dropped")), "key")
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 7 = 3")
@@ -673,8 +671,9 @@ def limit_with_partial_group(spark, d):
 @query("SELECT doc_id, lang FROM documents WHERE source IN ('src1', 'src2', 'src3') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def include_and_skip(spark, d):
     """Included sources, less documents on a skip list."""
-    docs = table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3"))
-    return docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
+    docs = table(spark, d, "documents")
+    wanted = docs.where(F.col("source").isin("src1", "src2", "src3")).select("doc_id")
+    return selections.include_exclude(docs, "doc_id", wanted, table(spark, d, "labels").where("toxic = 1")).select("doc_id", "lang")
 
 
 # --- logs --------------------------------------------------------------------------------------
@@ -719,8 +718,9 @@ def error_tally(spark, d):
 
 @query("SELECT event_id, coalesce((props->>'k')::BIGINT, -1) AS k, event_id % 7 AS page FROM events")
 def json_locator_fallback(spark, d):
-    parsed = F.from_json("props", "k LONG, page LONG")
-    return table(spark, d, "events").select("event_id", F.coalesce(parsed["k"], F.lit(-1)).alias("k"), F.coalesce(parsed["page"], F.col("event_id") % 7).alias("page"))
+    events = table(spark, d, "events")
+    built = evidence.locator(F.regexp_replace("props", '"k"', '"no"'), F.array((F.col("event_id") % 7).cast("int")), F.col("event_type"))
+    return events.select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(-1)).alias("k"), built["page"].cast("long").alias("page"))
 
 
 @query("SELECT coalesce(a.user_id, b.c_custkey) AS key, CASE WHEN a.user_id IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT user_id FROM events) a FULL JOIN customer b ON a.user_id = b.c_custkey WHERE a.user_id IS NULL OR b.c_custkey IS NULL")

@@ -1,7 +1,4 @@
-"""Registered queries over small inline relations, for operators that the stand-in tables have no data for.
-
-The same VALUES feed Spark and the SQL.
-"""
+"""Registered queries over small inline relations of odd values, which the tables lack; the same VALUES feed Spark and the SQL, which computes the results."""
 
 from __future__ import annotations
 
@@ -11,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import chunking, entities, evidence, lint, locators, logs, metrics, packing, ranking
+from quillstone.operators import chunking, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,23 +112,6 @@ def modality_hit_rate(spark, d):
     return metrics.modality_hits(gold, values(spark, "(1, 'p1', '3'), (2, 'p3', '8'), (1, 'p1', '3')", "query_id, doc_id, page"))
 
 
-GRID = "('t1', 2, 2, 0, 0, 0, 'a|b'), ('t1', 2, 2, 0, 1, 1, 'old'), ('t1', 2, 2, 0, 1, 2, ' new  cell '), ('t1', 2, 2, 1, 1, 3, 'z'), ('t1', 2, 2, 5, 0, 4, 'outside'), ('t2', 1, 1, 0, 0, 5, 'one')"
-
-
-@query("SELECT * FROM (VALUES ('t1', '| a\\|b | new cell |' || chr(10) || '| --- | --- |' || chr(10) || '|  | z |'), ('t2', '| one |' || chr(10) || '| --- |')) t(table_id, markdown)")
-def table_to_markdown(spark, d):
-    return chunking.grid_to_markdown(values(spark, GRID, "table_id, n_rows, n_cols, row, col, pos, content"))
-
-
-TABLES = "('a', 1, 1), ('a', 2, 1), ('a', 3, 2), ('b', 1, 1), ('b', 2, 3), ('c', 1, 1), ('c', 2, 4)"
-CAPTIONS = "('a', 10, 'Table 1', 1), ('a', 11, 'Table 2', 1), ('a', 12, 'Table 3', 2), ('b', 10, 'Table 1', 2), ('b', 11, 'Table 2', 3), ('c', 10, 'Table 9', 4)"
-
-
-@query("SELECT * FROM (VALUES ('a', 1, 'Table 1', 'page'), ('a', 2, 'Table 2', 'page'), ('a', 3, 'Table 3', 'page'), ('b', 1, 'Table 1', 'total'), ('b', 2, 'Table 2', 'total'), ('c', 2, 'Table 9', 'greedy')) t(paper_id, table_pos, label, mode)")
-def caption_alignment(spark, d):
-    return locators.align_tables(values(spark, TABLES, "paper_id, pos, page"), locators.first_captions(values(spark, CAPTIONS, "paper_id, pos, label, page")))
-
-
 OBJECTS = "('p', 1, 'Table 2: x'), ('p', 2, 'no number'), ('p', 3, ''), ('q', 1, 'Table 1. y'), ('q', 2, NULL)"
 
 
@@ -140,168 +120,4 @@ OBJECTS = "('p', 1, 'Table 2: x'), ('p', 2, 'no number'), ('p', 3, ''), ('q', 1,
 SELECT paper_id, pos, caption, CASE WHEN own IS NOT NULL THEN 'Table ' || own WHEN EXISTS (SELECT 1 FROM o p WHERE p.paper_id = o.paper_id AND p.own = o.place) THEN '(uncaptioned)' ELSE 'Table ' || place END AS label FROM o"""
 )
 def caption_labels(spark, d):
-    return chunking.caption_labels(values(spark, OBJECTS, "paper_id, pos, caption"))
-
-
-QUESTIONS = "(1, 'See Table 3 and Fig. 2b, then table 3 again.'), (2, 'What does figure 10 show?'), (3, 'No reference')"
-
-
-@query("SELECT * FROM (VALUES (1, 'table 3'), (1, 'figure 2b'), (2, 'figure 10')) t(query_id, ref)")
-def object_refs(spark, d):
-    rows = values(spark, QUESTIONS, "query_id, question")
-    return rows.select("query_id", F.explode(evidence.object_references(F.col("question"))).alias("ref"))
-
-
-REFS = "(1, '[1] A. One. 2019.\\n[2] B. Two, 2020.\\nmore\\n[3] C. Three.', 2), (2, '[1] Only.', 4)"
-
-
-@query("SELECT * FROM (VALUES (1, '[2] B. Two, 2020.' || chr(10) || 'more', 3), (2, NULL, 1)) t(id, entry, last)")
-def reference_entry(spark, d):
-    rows = values(spark, REFS, "id, text, n")
-    return rows.select("id", evidence.reference_entry(F.col("text"), F.col("n")).alias("entry"), evidence.last_reference(F.col("text")).alias("last"))
-
-
-EQUATIONS = "(1, 'as follows\\nE = mc^2 (4)\\nend (4)', 4), (2, 'none (1)', 1)"
-
-
-@query("SELECT * FROM (VALUES (1, 'E = mc^2 (4)'), (2, NULL)) t(id, line)")
-def equation_line(spark, d):
-    return values(spark, EQUATIONS, "id, text, n").select("id", evidence.equation_line(F.col("text"), F.col("n")).alias("line"))
-
-
-ASKED = "(1, 'How does \"Deep Nets\" compare with BERT-Large and GPTNeo on GLUE?'), (2, 'what is it?')"
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'Deep Nets'), (1, 1, 'GPTNeo'), (1, 2, 'GLUE'), (1, 3, 'BERT-Large')) t(query_id, place, entity)")
-def entity_candidates(spark, d):
-    rows = values(spark, ASKED, "query_id, question")
-    return rows.select("query_id", F.posexplode(entities.candidates(F.col("question"))).alias("place", "entity"))
-
-
-@query("SELECT * FROM (VALUES ('titles', true), ('prefix', true), ('short', false), ('other', false)) t(id, same)")
-def title_equivalence(spark, d):
-    rows = values(spark, "('titles', 'A Study: of X', 'a study of x'), ('prefix', 'A long enough title of work', 'A Long Enough Title of Work - supplement'), ('short', 'BERT', 'BERT base'), ('other', 'a', 'b')", "id, a, b")
-    return rows.select("id", T.titles_equivalent(F.col("a"), F.col("b")).alias("same"))
-
-
-@query("SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false)) t(id, inside)")
-def numeric_containment(spark, d):
-    rows = values(spark, "(1, 'rate 10.09', '0.09'), (2, 'rate 0.09 here', '0.09'), (3, 'the value', 'value'), (4, 'abc', 'xyz')", "id, text, value")
-    return rows.select("id", T.contains_value(F.col("text"), F.col("value")).alias("inside"))
-
-
-CHOICES = "(1, 'B', map('A', 'red', 'B', 'blue')), (2, 'option (a)', map('A', 'red', 'B', 'blue')), (3, 'Blue', map('A', 'red', 'B', 'blue')), (4, 'it is red, surely', map('A', 'red', 'B', 'blue')), (5, 'red or blue', map('A', 'red', 'B', 'blue')), (6, 'Z', map('A', 'red', 'B', 'blue'))"
-
-
-@query("SELECT * FROM (VALUES (1, 'B'), (2, 'A'), (3, 'B'), (4, 'A'), (5, NULL), (6, NULL)) t(id, letter)")
-def choice_normalization(spark, d):
-    return values(spark, CHOICES, "id, raw, options").select("id", T.choice_letter(F.col("raw"), F.col("options")).alias("letter"))
-
-
-@query("SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, '{\"a\": 2}'), (3, NULL), (4, NULL)) t(id, json)")
-def json_salvage(spark, d):
-    rows = values(spark, "(1, '{\"a\": 1}'), (2, 'Sure: ```{\"a\": 2}``` done'), (3, '[1]'), (4, 'none')", "id, raw")
-    return rows.select("id", T.json_object(F.col("raw")).alias("json"))
-
-
-@query("SELECT * FROM (VALUES (1, 'HTTP 404'), (2, 'TimeoutError'), (3, 'unknown')) t(id, error_class)")
-def error_classes(spark, d):
-    rows = values(spark, "(1, 'x: y', 404), (2, 'TimeoutError: slow', NULL), (3, NULL, NULL)", "id, error, status")
-    return rows.select("id", T.error_class(F.col("error"), F.col("status")).alias("error_class"))
-
-
-@query("SELECT * FROM (VALUES (1, 1.0), (2, 2.0), (3, 4.0), (9, 60.0)) t(attempt, delay)")
-def backoff(spark, d):
-    return values(spark, "(1), (2), (3), (9)", "attempt").select("attempt", T.backoff_seconds(F.col("attempt"), 1.0, 60.0).alias("delay"))
-
-
-@query("SELECT * FROM (VALUES (0, 1, 4), (1, 5, 8), (2, 9, 10)) t(n, first, last)")
-def page_windows(spark, d):
-    rows = values(spark, "(10)", "pages").select(F.posexplode(chunking.page_windows(F.col("pages"), 4)).alias("n", "w"))
-    return rows.select("n", F.col("w.first").alias("first"), F.col("w.last").alias("last"))
-
-
-@query("SELECT * FROM (VALUES (0, 'aa' || chr(10) || 'bb'), (1, 'bb' || chr(10) || 'cccc'), (2, 'cccc' || chr(10) || 'd')) t(n, chunk)")
-def chunk_overlap(spark, d):
-    rows = spark.sql("SELECT array('aa', 'bb', 'cccc', 'd') AS units")
-    return rows.select(F.posexplode(packing.pack_texts(F.col("units"), 7, 2)).alias("n", "chunk"))
-
-
-@query("SELECT 'The quick brown fox jumps over the lazy dog and runs away' || chr(10) || 'Other' AS text")
-def overlap_concat(spark, d):
-    rows = spark.sql("SELECT array('The quick brown fox jumps over the lazy dog', 'fox jumps over the lazy dog and runs away', 'Other') AS texts")
-    return rows.select(packing.merge_overlapping(F.col("texts"), 10).alias("text"))
-
-
-HITS3 = "(1, 1, 'aaaa'), (1, 2, 'bbbbbbbbbb'), (1, 3, 'cc'), (2, 1, 'dddddddddddd')"
-
-
-@query("SELECT * FROM (VALUES (1, 1, true, 1), (1, 3, true, 2), (1, 2, false, 3), (2, 1, true, 1)) t(query_id, rank, fits, place)")
-def budget_overflow(spark, d):
-    rows = values(spark, HITS3, "query_id, rank, text")
-    return packing.overflow_order(rows, ["query_id"], [F.asc("rank")], 8).select("query_id", "rank", "fits", "place")
-
-
-RUNS = "(0, map('k', '10', 'w', '1')), (1, map('k', '20', 'w', '1')), (2, map('k', '10', 'w', '1', 'z', '5'))"
-
-
-@query("SELECT * FROM (VALUES ('k', 2, 0, 0), ('z', 2, 2, 2)) t(name, n_values, first_run, first_pos)")
-def param_diff(spark, d):
-    return logs.varying_params(values(spark, RUNS, "run_no, params"))
-
-
-@query("SELECT * FROM (VALUES (1, 1), (2, 2)) t(run_no, line)")
-def experiment_tail(spark, d):
-    return logs.experiment_tail(values(spark, RUNS, "run_no, params"), F.col("run_no") >= 0, 2).select("run_no", "line")
-
-
-PREDICTIONS = """('q1', array('p1', 'p1'), array(named_struct('paper_id', 'p1', 'source_type', 'table', 'page', 'x', 'text', 't')), 'C', map('A', 'u', 'B', 'v')),
-('q1', array('p2'), array(named_struct('paper_id', 'p9', 'source_type', 'other', 'page', '', 'text', '')), 'A', map('A', 'u')),
-('q9', CAST(NULL AS array<string>), CAST(NULL AS array<struct<paper_id:string,source_type:string,page:string,text:string>>), CAST(NULL AS string), CAST(NULL AS map<string,string>))"""
-
-
-@query(
-    """SELECT * FROM (VALUES ('blank_query_id', 0, ''), ('papers_missing', 1, 'q9'), ('papers_empty', 1, 'q9'), ('paper_id_blank', 0, ''), ('papers_repeated', 1, 'q1'), ('evidence_missing', 1, 'q9'), ('evidence_too_many', 0, ''),
-('evidence_type_unknown', 1, 'q1'), ('evidence_paper_foreign', 1, 'q1'), ('evidence_page_blank', 1, 'q1'), ('evidence_page_not_number', 1, 'q1'), ('evidence_text_blank', 1, 'q1'), ('answer_missing', 1, 'q9'), ('choice_not_offered', 1, 'q1'),
-('query_id_repeated', 1, 'q1'), ('query_missing', 1, 'q2'), ('query_unknown', 1, 'q9')) t("check", n, examples)"""
-)
-def lint_checks(spark, d):
-    predictions = values(spark, PREDICTIONS, "query_id, gold_papers, evidence, answer, options")
-    return lint.lint(predictions, values(spark, "('q1'), ('q2')", "query_id"))
-
-
-ROUNDS = "(1, 0, 0), (1, 1, 10), (1, 2, 10), (1, 3, 10), (2, 0, 4), (2, 1, 8)"
-
-
-@query("SELECT * FROM (VALUES (1, 0, 0, 0.0, 1), (1, 1, 10, 1.0, 0), (1, 2, 10, 0.0, 1), (1, 3, 10, 0.0, 2), (2, 0, 4, 1.0, 0), (2, 1, 8, 1.0, 0)) t(query_id, round, total, growth, stagnant)")
-def growth_rate(spark, d):
-    return ranking.growth(values(spark, ROUNDS, "query_id, round, total"))
-
-
-CITED = "(1, 0, '[ c2 ]'), (1, 1, 'C1'), (1, 2, 'c3'), (1, 3, 'C2')"
-CONTEXT = "(1, 'C1', 'p', 'text_span', '4', '', '', 'x'), (1, 'C2', 'p', 'table', '3', 'Table 1', '', 'y'), (1, 'C3', 'p', 'text_span', '3', '', '', 'z'), (1, 'C4', 'r', 'text_span', '1', '', '', 'w')"
-
-
-@query("SELECT * FROM (VALUES (1, 'ev_001', 'C2', 'p', '3'), (1, 'ev_002', 'C3', 'p', '3')) t(query_id, evidence_id, label, doc_id, page)")
-def evidence_from_citations(spark, d):
-    cites = values(spark, CITED, "query_id, pos, label")
-    context = values(spark, CONTEXT, "query_id, label, doc_id, source_type, page, table_id, figure_id, text")
-    out = evidence.from_citations(cites, context, values(spark, "(1, 'p')", "query_id, doc_id"))
-    return out.select("query_id", "evidence_id", "label", "doc_id", "page")
-
-
-BLOCKS = """('p', 0, 'text', 0, 'Intro', 1), ('p', 1, 'text', 0, 'First words.', NULL), ('p', 2, 'equation', 0, 'E = mc^2 \\\\tag{3}', NULL), ('p', 3, 'text', 1, 'On page two.', NULL), ('p', 4, 'footer', 1, 'skip', NULL), ('p', 5, 'table', 1, '', NULL), ('p', 6, 'image', 1, '', NULL), ('p', 7, 'image', 1, '', NULL)"""
-
-
-@query(
-    """SELECT * FROM (VALUES ('p#c0001', 'text_span', 1, 'Intro', 'First words.' || chr(10) || 'E = mc^2 \\tag{3}', NULL), ('p#c0002', 'text_span', 2, 'Intro', 'On page two.', NULL),
-('p#eq0001', 'equation_algorithm', 1, 'Intro', 'First words.' || chr(10) || 'E = mc^2 \\tag{3}', '3'), ('p#tab0001', 'table', 2, 'Intro', 'Table 2: T' || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |', 'Table 2'),
-('p#fig0001', 'figure', 2, 'Intro', 'Fig. 5 shows', 'Figure 5')) t(chunk_id, chunk_type, page, section, text, object_id)"""
-)
-def layout_chunks(spark, d):
-    blocks = values(spark, BLOCKS, "paper_id, pos, type, page_idx, text, text_level")
-    caption = F.when(F.col("pos") == 5, F.array(F.lit("Table 2: T"))).when(F.col("pos") == 7, F.array(F.lit("Fig. 5 shows")))
-    html = F.when(F.col("pos") == 5, F.lit("<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table>"))
-    none = F.lit(None).cast("string")
-    blocks = blocks.withColumns({"list_items": F.lit(None).cast("array<string>"), "caption": caption, "footnote": F.lit(None).cast("array<string>"), "table_body": html, "content": none, "img_path": none})
-    return chunking.layout_chunks(blocks).select("chunk_id", "chunk_type", "page", "section", "text", "object_id")
+    return chunking.caption_labels(values(spark, OBJECTS, "paper_id, pos, caption"))
\ No newline at end of file

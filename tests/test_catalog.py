@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillstone.plans import catalog, inline
+from quillstone.plans import catalog, derived, inline
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = {**catalog.QUERIES, **inline.QUERIES}, {**catalog.SQL, **inline.SQL}
+QUERIES, SQL = {**catalog.QUERIES, **derived.QUERIES, **inline.QUERIES}, {**catalog.SQL, **derived.SQL, **inline.SQL}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
