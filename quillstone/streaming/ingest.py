@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstone.operators.logs import last_write_wins
 
@@ -65,3 +67,25 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 
 def deduplicated(events: DataFrame, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def latest(events: DataFrame, key: str, pos: str) -> DataFrame:
+    """Last write wins on a stream: of each key the row of the largest pos so far, whenever it changes (update mode).
+
+    The state of a key is one row; earlier rows that come late change nothing.
+    """
+    columns = events.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get if state.exists else None
+        at, changed = columns.index(pos), False
+        for df in frames:
+            row = tuple(x.item() if hasattr(x, "item") else x for x in df.loc[df[pos].idxmax(), columns])
+            if best is None or row[at] > best[at]:
+                best, changed = row, True
+        if changed:
+            state.update(best)
+            yield pd.DataFrame([best], columns=columns)
+
+    return events.groupBy(key).applyInPandasWithState(step, kinds, kinds, "update", GroupStateTimeout.NoTimeout)

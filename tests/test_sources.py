@@ -113,3 +113,58 @@ def test_prompt_template():
     assert readers.prompt_template("# note\nAsk {question}") == "Ask {question}"
     with pytest.raises(ValueError):
         readers.prompt_template("none")
+
+
+def test_json_documents_blocks_and_distinct_values(spark, tmp_path):
+    path = tmp_path / "docs"
+    path.mkdir()
+    (path / "a.json").write_text('[{"id": 1, "venue": " ACL "}, {"id": 2, "venue": ""}]')
+    (path / "b.json").write_text('{"id": 3, "venue": "ACL"}')
+    (path / "c.json").write_text('{"id": 4')
+    rows = readers.json_documents(spark, str(path), "id int, venue string", "id")
+    assert sorted((r["id"], r["file"]) for r in rows.collect()) == [(1, "a.json"), (2, "a.json"), (3, "b.json")]
+    assert [r["venue"] for r in readers.distinct_values(rows, "venue").collect()] == ["ACL"]
+    papers = spark.createDataFrame([("p1",), ("p2",)], "paper_id string")
+    blocks = spark.createDataFrame([("p1", 0, "x"), ("p1", 1, "y")], "paper_id string, pos int, text string")
+    assert sorted(map(tuple, readers.blocks_or_nothing(papers, blocks).collect()), key=str) == [("p1", 0, "x"), ("p1", 1, "y"), ("p2", None, None)]
+    meta = spark.createDataFrame([("p1", "u"), ("", "u"), ("p3", None)], "paper_id string, pdf_url string")
+    assert [r["paper_id"] for r in readers.valid_metadata(meta).collect()] == ["p1"]
+
+
+def test_queries_of_production_read_no_answers(spark):
+    record = spark.sql("SELECT 'q' AS query_id, 'w' AS question, array('x') AS answer_types, 's' AS table_schema, map('A', 'own') AS options, 'secret' AS gold")
+    known = spark.sql("SELECT 'q' AS query_id, map('A', 'known') AS options")
+    assert readers.queries(record, known).collect()[0]["options"] == {"A": "own"}
+    row = readers.queries(record, known, production=True).collect()[0]
+    assert row["options"] == {"A": "known"} and "gold" not in row.asDict()
+
+
+def test_configuration_csv_keys_and_provenance(spark, tmp_path):
+    from quillstone.plans import models
+
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x, y]\n")
+    (tmp_path / "empty.yaml").write_text("")
+    assert readers.configuration(str(tmp_path / "c.yaml")) == {"a": 1, "b": ["x", "y"]} and readers.configuration(str(tmp_path / "empty.yaml")) == {}
+    df = spark.createDataFrame([(2, "b,c"), (1, "a"), (2, "b,c")], "id int, x string")
+    sinks.write_csv(df, f"{tmp_path}/csv", ["x", "id"])
+    back = spark.read.option("header", True).csv(f"{tmp_path}/csv")
+    assert back.columns == ["x", "id"] and sorted(map(tuple, back.collect())) == [("a", "1"), ("b,c", "2"), ("b,c", "2")]
+    sinks.write_keys(df, f"{tmp_path}/keys", "id")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/keys").collect()] == ["1", "2"]
+    known = models.provenance({"k": 3}, str(tmp_path))
+    assert known["arguments"] == {"k": "3"} and known["revision"] is None
+
+
+def test_the_library_stands_without_the_training_data_operators(tmp_path):
+    """A copy without quillstone/llm, tests/llm and the pipeline: the entry imports and a query runs."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not [n for n in q if n.startswith('op') or n == 'pipeline'], q.keys(); assert set(e.oracle_sql()) <= set(q); import tests.test_catalog, tests.test_plans"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    assert done.returncode == 0, done.stderr[-2000:]
