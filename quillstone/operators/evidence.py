@@ -148,3 +148,101 @@ def comparison_context(chunks: DataFrame, least: int = 3) -> DataFrame:
     rows = chunks.withColumn("n_cited", cited).where(F.col("n_cited") >= least)
     order = [F.desc(F.col("chunk_type") == "table"), F.desc("n_cited"), F.asc("pos")]
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+
+
+#: Number words that a question may count references with.
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+#: Verbs that ask for the references of an author.
+_CITES = r"\b(?:include|includes|list|lists|cite|cites|mention|mentions|by|with)"
+
+
+def lookup_request(question: Column) -> Column:
+    """What a question asks to look up in its document: struct (kind, number, last, surname), kind being reference_count,
+    reference or equation, null where it asks for none. Of several forms the first in this order counts."""
+    low = F.lower(blank_if_null(question))
+    surname = F.regexp_extract(question, _CITES + r"\s+([A-Z][a-z][A-Za-z'’-]+)", 1)
+    counted = low.rlike(r"\bhow many references\b") & low.rlike(_CITES + r"\b") & (surname != "")
+    tail = r"\s+(?:cited\s+|listed\s+)?reference\b"
+    found = lambda pattern: F.regexp_extract(low, pattern, 1)
+    words = found(r"\b(" + "|".join(ORDINALS) + ")" + tail)
+    word_number = F.array_position(F.array(*map(F.lit, ORDINALS)), words).cast("int")
+    make = lambda kind, number=None, last=False, name=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None) if number is None else number).cast("int").alias("number"), F.lit(last).alias("last"), (F.lit(None) if name is None else name).cast("string").alias("surname"))
+    nth, plain, equation = found(r"\b([0-9]+)\s*(?:st|nd|rd|th)" + tail), found(r"\breference\s*(?:number\s*)?\[?([0-9]+)\]?"), found(r"\b(?:equation|eq)\.?\s*\(?([0-9]+)\)?")
+    return (
+        F.when(counted, make("reference_count", name=surname))
+        .when(low.rlike(r"\b(?:last|final)" + tail), make("reference", last=True))
+        .when(nth != "", make("reference", nth.try_cast("int")))
+        .when(words != "", make("reference", word_number))
+        .when(plain != "", make("reference", plain.try_cast("int")))
+        .when(equation != "", make("equation", equation.try_cast("int")))
+    )
+
+
+def reference_region(chunks: DataFrame) -> DataFrame:
+    """chunks (doc_id, pos, source_type, section, text) with in_region: those of a section of references, or where a document has
+    none, those of three entries or more; tables, figures and metadata never."""
+    body = ~F.coalesce("source_type", F.lit("")).isin("table", "figure", "metadata")
+    labelled = body & F.lower(blank_if_null(F.col("section"))).contains("reference")
+    shaped = body & (F.regexp_count("text", F.lit(r"\[[0-9]{1,3}\]\s+[A-Z]")) >= 3)
+    any_labelled = F.bool_or(labelled).over(Window.partitionBy("doc_id"))
+    return chunks.withColumn("in_region", F.when(any_labelled, labelled).otherwise(shaped))
+
+
+def surname_chunks(chunks: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """The first chunks of each document's extended reference region that hold its surname (doc_id, surname): with place."""
+    region = extended_region(reference_region(chunks)).join(names, "doc_id")
+    held = region.where(F.regexp("text", F.concat(F.lit(r"(?<![A-Za-z])\Q"), "surname", F.lit(r"\E(?![a-z])"))))
+    return held.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("place") <= most)
+
+
+def lookup_evidence(found: DataFrame, head: int = 120) -> DataFrame:
+    """(query_id, doc_id, source_type, page, text): evidence of looked-up snippets (query_id, doc_id, source_type, content, pages, snippet), one for each page that the snippet's head stands on."""
+    pages = page_fanout(F.substring("snippet", 1, head), F.col("content"), F.col("pages"))
+    return found.select("query_id", "doc_id", "source_type", F.explode(pages).alias("page"), F.col("snippet").alias("text"))
+
+
+def coerce_page(value: Column) -> Column:
+    """A positive page number, else null."""
+    page = strip(blank_if_null(value)).try_cast("int")
+    return F.when(page > 0, page)
+
+
+def figure_rows(chunks: DataFrame) -> DataFrame:
+    """(doc_id, pos, figure_id, page) of figure chunks (doc_id, pos, source_type, locator_json, page_numbers) that have a page."""
+    parsed = F.from_json(blank_if_null(F.col("locator_json")), "page STRING, figure_id STRING")
+    page = F.coalesce(coerce_page(parsed["page"]), coerce_page(F.get("page_numbers", F.lit(0))))
+    return chunks.where("source_type = 'figure'").select("doc_id", "pos", parsed["figure_id"].alias("figure_id"), page.alias("page")).where("page is not null")
+
+
+def candidate_pages(papers: DataFrame, evidence: DataFrame, figures: DataFrame, most: int) -> DataFrame:
+    """(query_id, place, doc_id, page): pages worth looking at, most at most and each once: those of figure evidence, of other
+    evidence, then of the figures of each paper (query_id, doc_id, order) in order."""
+    own = papers.select("query_id", "doc_id", "order")
+    cited = evidence.join(own, ["query_id", "doc_id"]).withColumn("page", coerce_page(F.col("page"))).where("page is not null")
+    cited = cited.select("query_id", "doc_id", "page", F.struct((F.col("source_type") != "figure").cast("int").alias("kind"), F.lit(0).alias("order"), F.col("pos").cast("long").alias("pos")).alias("at"))
+    shown = own.join(figures.select("doc_id", "pos", "page"), "doc_id").select("query_id", "doc_id", "page", F.struct(F.lit(2).alias("kind"), F.col("order").cast("int").alias("order"), F.col("pos").cast("long").alias("pos")).alias("at"))
+    first = cited.unionByName(shown).groupBy("query_id", "doc_id", "page").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "doc_id", "page"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("query_id", "place", "doc_id", "page")
+
+
+def paper_facts(chunks: DataFrame) -> DataFrame:
+    """(doc_id, metadata, surname, abstract) of chunks (doc_id, pos, source_type, section, text): the first metadata chunk, the first
+    author's last name in it, and its abstract, else the text of an abstract section."""
+    meta = F.min_by("text", F.when(F.col("source_type") == "metadata", F.col("pos")))
+    section = F.min_by("text", F.when(F.lower(blank_if_null(F.col("section"))).contains("abstract"), F.col("pos")))
+    rows = chunks.groupBy("doc_id").agg(meta.alias("metadata"), section.alias("section"))
+    authors = strip(F.regexp_extract("metadata", r"Authors?:\s*([^,\n]+)", 1))
+    abstract = strip(F.regexp_extract("metadata", r"(?s)Abstract:\s*(.*)", 1))
+    return rows.select("doc_id", "metadata", F.coalesce(F.element_at(F.split(authors, r"\s+"), -1), F.lit("")).alias("surname"), F.coalesce(F.nullif(abstract, F.lit("")), "section").alias("abstract"))
+
+
+def result_lines(hits: DataFrame, size: int = 1800) -> DataFrame:
+    """(query_id, listing) of hits (query_id, doc_rank, doc_id, title, venue, year, chunk_rank, chunk_id, chunk_type, page, text) as a prompt shows them: a head for each document, then its chunks."""
+    head = F.format_string("[%s] %s (%s %s)", F.col("doc_id").cast("string"), blank_if_null(F.col("title")), blank_if_null(F.col("venue")), blank_if_null(F.col("year")))
+    place = F.when(F.col("page").isNotNull(), F.concat(F.lit(", page="), F.col("page").cast("string"))).otherwise("")
+    line = F.concat(F.lit("  - "), F.col("chunk_id").cast("string"), F.lit(" (type="), blank_if_null(F.col("chunk_type")), place, F.lit(")\n    "), F.substring(blank_if_null(F.col("text")), 1, size))
+    ordered = lambda value, by: F.transform(F.array_sort(F.collect_list(F.struct(by, value.alias("v")))), lambda x: x["v"])
+    docs = hits.groupBy("query_id", "doc_rank").agg(F.min(head).alias("head"), ordered(line, "chunk_rank").alias("lines"))
+    block = F.concat(F.col("head"), F.lit("\n"), F.array_join("lines", "\n"))
+    return docs.groupBy("query_id").agg(F.array_join(ordered(block, "doc_rank"), "\n\n").alias("listing"))

@@ -132,3 +132,21 @@ def experiment_tail(runs: DataFrame, where: Column, n: int) -> DataFrame:
     """The last n runs in log order among those that where holds for."""
     last = runs.where(where).orderBy(F.desc("run_no")).limit(n)
     return last.withColumn("line", F.row_number().over(Window.orderBy("run_no")))
+
+
+def experiment_table(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """Runs (run_no, params, metrics maps) side by side: run_no, a column for each parameter that differs (param_<name>, in order of first appearance) and for each metric.
+
+    Parameters are columns, so their names come to the driver; they are those of a configuration.
+    """
+    names = [r["name"] for r in varying_params(runs).orderBy("first_run", "first_pos").collect()]
+    return runs.select("run_no", *(F.col("params")[n].alias(f"param_{n}") for n in names), *(F.col("metrics")[m].alias(m) for m in metrics))
+
+
+def scan_statistics(scans: DataFrame, by: list[str], counts: list[str], notes: str = "notes", shown: int = 5) -> DataFrame:
+    """Counters of scans (by, pos, counts, notes array) added up, and the first notes in order of pos: a monoid, so parts may be added in any grouping."""
+    total = scans.groupBy(*by).agg(*(F.sum(c).alias(c) for c in counts), F.count("*").alias("n_scans"))
+    notes_of = scans.select(*by, "pos", F.posexplode(notes).alias("no", "note"))
+    first = notes_of.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "no"))).where(F.col("__n") <= shown)
+    first = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "note"))), lambda x: x["note"]).alias(notes))
+    return total.join(first, by, "left")

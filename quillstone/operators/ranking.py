@@ -7,6 +7,7 @@ window, and windows rank within one query only.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,12 +103,21 @@ def merge_best_position(hits: DataFrame, limit: int | None = None) -> DataFrame:
 
 def merge_primary_wins(primary: DataFrame, other: DataFrame, key: list[str], position: str = "rank") -> DataFrame:
     """Ordered union without repeated keys; rows of primary come first and win."""
-    both = primary.withColumn("source_no", F.lit(0)).unionByName(other.withColumn("source_no", F.lit(1)))
+    return merge_lists([primary, other], key, position)
+
+
+def merge_lists(sources: list[DataFrame], key: list[str], position: str = "rank", limit: int | None = None, strict: bool = False) -> DataFrame:
+    """Ordered union of any number of lists without repeated keys: earlier lists come first and win; the first limit rows
+    (of each query_id, if that is part of the key). strict refuses lists that repeat a key."""
+    both = reduce(DataFrame.unionByName, (s.withColumn("source_no", F.lit(n)) for n, s in enumerate(sources)))
+    if strict and (row := both.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").orderBy(*key).first()):
+        raise ValueError(f"repeated key: {tuple(row[k] for k in key)}")
     order = F.struct("source_no", position)
     rest = [c for c in both.columns if c not in key]
     kept = both.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("row")).select(*key, *(F.col(f"row.{c}").alias(c) for c in rest))
     group = [c for c in key if c == "query_id"]
-    return numbered(kept, group, [F.asc("source_no"), F.asc(position), *(F.asc(k) for k in key)], "merged_rank")
+    sort = [F.asc("source_no"), F.asc(position), *(F.asc(k) for k in key)]
+    return numbered(kept, group, sort, "merged_rank") if limit is None else top_k(kept, limit, group, sort, "merged_rank")
 
 
 def round_robin(hits: DataFrame, limit: int | None = None) -> DataFrame:

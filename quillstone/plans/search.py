@@ -12,12 +12,18 @@ from quillstone.operators.retrieval import BM25Index, hashed_vector, knn
 from quillstone.plans.registry import register
 
 
+#: English words that lexical search leaves out on both sides.
+STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+
+
 @register("indexer", "bm25")
 class LexicalIndexer:
+    """BM25 without English stop words, unless others are given (none: [])."""
+
     name = "bm25"
 
     def __init__(self, stopwords: list[str] | None = None):
-        self.stopwords = stopwords
+        self.stopwords = STOPWORDS if stopwords is None else stopwords
 
     def build(self, chunks: DataFrame) -> LexicalIndexer:
         self.index = BM25Index.build(chunks, self.stopwords)

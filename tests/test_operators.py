@@ -237,3 +237,117 @@ def test_growth_threshold(spark):
 def test_unknown_names_are_refused(spark):
     with pytest.raises(ValueError):
         ranking.family_cutoff(spark.createDataFrame([(1, 1)], "query_id int, rank int"), spark.createDataFrame([(1, "x")], "query_id int, task_family string"), "other")
+
+
+def test_lists_merge_in_order(spark):
+    lists = [spark.createDataFrame(rows, "query_id int, doc_id string, rank int") for rows in ([(1, "b", 1), (1, "a", 2)], [(1, "a", 1), (1, "c", 2), (2, "z", 1)], [(1, "d", 1), (1, "b", 2)])]
+    rows = ranking.merge_lists(lists, ["query_id", "doc_id"], limit=3).orderBy("query_id", "merged_rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["source_no"]) for r in rows] == [(1, "b", 0), (1, "a", 0), (1, "c", 1), (2, "z", 1)]
+    with pytest.raises(ValueError, match="repeated"):
+        ranking.merge_lists(lists, ["query_id", "doc_id"], strict=True)
+    assert ranking.merge_lists(lists[:1], ["query_id", "doc_id"], strict=True).count() == 2
+
+
+def test_lookup_requests(spark):
+    cases = {
+        "How many references include Smith as an author?": ("reference_count", None, False, "Smith"),
+        "How many references are there?": None,
+        "What is the last cited reference?": ("reference", None, True, None),
+        "Who wrote the 12th reference?": ("reference", 12, False, None),
+        "title of the third listed reference": ("reference", 3, False, None),
+        "see Reference number [7]": ("reference", 7, False, None),
+        "What does Eq. (4) state?": ("equation", 4, False, None),
+        "nothing of the sort": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(cases)], "i int, q string")
+    got = {r["i"]: tuple(r["x"]) if r["x"] else None for r in df.select("i", evidence.lookup_request(F.col("q")).alias("x")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_surnames_are_counted_in_the_reference_region(spark):
+    entries = "[1] Smith, A. [2] Jones, B. [3] Smithson, C."
+    chunks = [(1, 0, "metadata", "References", "Smith"), (1, 1, "text_span", "Intro", "Smith " + entries), (1, 2, "text_span", "References", entries), (1, 3, "text_span", "x", "D. Smith, 2020. arXiv " * 8), (2, 0, "text_span", None, entries), (2, 1, "text_span", None, "Smith")]
+    rows = spark.createDataFrame(chunks, "doc_id int, pos int, source_type string, section string, text string")
+    region = {(r["doc_id"], r["pos"]) for r in evidence.reference_region(rows).where("in_region").collect()}
+    assert region == {(1, 2), (2, 0)}
+    names = spark.createDataFrame([(1, "Smith"), (2, "Smiths")], "doc_id int, surname string")
+    assert [(r["doc_id"], r["pos"], r["place"]) for r in evidence.surname_chunks(rows, names).orderBy("pos").collect()] == [(1, 2, 1), (1, 3, 2)]
+
+
+def test_looked_up_snippets_fan_out(spark):
+    found = spark.sql("SELECT 1 AS query_id, 'p' AS doc_id, 'citation_context' AS source_type, 'aaaabbbbcccc' AS content, array(3, 4, 5) AS pages, 'cccc' AS snippet UNION ALL SELECT 2, 'p', 'x', 'a', array(), 'a'")
+    assert sorted((r["query_id"], r["page"]) for r in evidence.lookup_evidence(found).collect()) == [(1, 3), (1, 5)]
+
+
+def test_candidate_pages_put_figure_evidence_first(spark):
+    papers = spark.createDataFrame([(1, "p", 0), (1, "q", 1)], "query_id int, doc_id string, order int")
+    items = spark.createDataFrame([(1, 0, "p", "table", " 4 "), (1, 1, "q", "figure", "2"), (1, 2, "z", "figure", "9"), (1, 3, "p", "figure", "x"), (1, 4, "p", "text_span", "0")], "query_id int, pos int, doc_id string, source_type string, page string")
+    chunks = spark.createDataFrame([("q", 0, "figure", '{"page": 2, "figure_id": "Figure 1"}', ["1"]), ("q", 1, "figure", "broken", ["7"]), ("p", 0, "figure", None, []), ("p", 1, "figure", '{"page": "5"}', None), ("p", 2, "table", None, ["1"])], "doc_id string, pos int, source_type string, locator_json string, page_numbers array<string>")
+    figures = evidence.figure_rows(chunks)
+    assert {(r["doc_id"], r["figure_id"], r["page"]) for r in figures.collect()} == {("p", None, 5), ("q", None, 7), ("q", "Figure 1", 2)}
+    got = [(r["doc_id"], r["page"]) for r in evidence.candidate_pages(papers, items, figures, 4).orderBy("place").collect()]
+    assert got == [("q", 2), ("p", 4), ("p", 5), ("q", 7)]
+
+
+def test_facts_of_papers(spark):
+    chunks = [(1, 1, "metadata", None, "Title: T\nAuthors: Ann B. Smith, Bo\nAbstract: Deep\nnets"), (1, 2, "metadata", None, "Authors: Other"), (2, 0, "text_span", "1 Abstract", "words"), (2, 1, "metadata", None, "Title: U\nAbstract: ")]
+    rows = {r["doc_id"]: (r["surname"], r["abstract"]) for r in evidence.paper_facts(spark.createDataFrame(chunks, "doc_id int, pos int, source_type string, section string, text string")).collect()}
+    assert rows == {1: ("Smith", "Deep\nnets"), 2: ("", "words")}
+
+
+def test_listing_for_a_prompt(spark):
+    hits = spark.createDataFrame([(1, 2, "q", None, None, None, 1, "q1", "table", None, "tt"), (1, 1, "p", "T", "ACL", 2020, 2, "p2", "text_span", 3, "long text"), (1, 1, "p", "T", "ACL", 2020, 1, "p1", None, 1, None)], "query_id int, doc_rank int, doc_id string, title string, venue string, year int, chunk_rank int, chunk_id string, chunk_type string, page int, text string")
+    text = evidence.result_lines(hits, 4).collect()[0]["listing"]
+    assert text == "[p] T (ACL 2020)\n  - p1 (type=, page=1)\n    \n  - p2 (type=text_span, page=3)\n    long\n\n[q]  ( )\n  - q1 (type=table)\n    tt"
+
+
+def test_experiments_side_by_side_and_scan_statistics(spark):
+    from quillstone.operators import logs
+
+    runs = spark.sql("SELECT * FROM VALUES (0, map('k', '10', 'w', '1'), map('f1', 0.5D)), (1, map('k', '20', 'w', '1'), map('f1', 0.7D)), (2, map('k', '10', 'w', '1', 'z', '5'), map('mc', 1.0D)) AS t(run_no, params, metrics)")
+    table = logs.experiment_table(runs, ["f1", "mc"])
+    assert table.columns == ["run_no", "param_k", "param_z", "f1", "mc"]
+    assert sorted(map(tuple, table.collect()), key=str) == [(0, "10", None, 0.5, None), (1, "20", None, 0.7, None), (2, "10", "5", None, 1.0)]
+    scans = spark.sql("SELECT * FROM VALUES ('a', 0, 2, 1, array('x')), ('a', 1, 3, 0, array('y', 'z')), ('b', 0, 1, 1, array()) AS t(kind, pos, n, bad, notes)")
+    got = {r["kind"]: (r["n"], r["bad"], r["n_scans"], r["notes"]) for r in logs.scan_statistics(scans, ["kind"], ["n", "bad"], shown=2).collect()}
+    assert got == {"a": (5, 1, 2, ["x", "y"]), "b": (1, 1, 1, None)}
+
+
+def test_inverted_index_reaches_exact_search(spark, tmp_path):
+    import numpy as np
+
+    from quillstone.operators.ann import InvertedIndex
+
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((30, 32))
+    rows = [(i, i, [float(x) for x in centers[i % 30] + 0.4 * rng.standard_normal(32)]) for i in range(3000)] + [(9000, 1, [0.0] * 32), (9001, 1, None), (9002, 1, [1.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, doc_id long, vector array<double>").repartition(3)
+    index = InvertedIndex.build(corpus, f"{tmp_path}/index", sample=1000)
+    assert index.rows.select("chunk_id").distinct().count() == index.rows.count() == 3000 and len(index.centroids) == 54
+    queries = corpus.where("chunk_id % 50 = 0 and chunk_id < 3000").select(F.col("chunk_id").alias("query_id"), "vector")
+    exact = {(r["query_id"], r["chunk_id"]) for r in retrieval.knn(corpus, queries, 10, skip_self=True).collect()}
+    hits = index.search(queries, 10, probes=12, skip_self=True)
+    found = {(r["query_id"], r["chunk_id"]) for r in hits.collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and hits.groupBy("query_id").count().where("count > 10").isEmpty()
+    whole = {(r["query_id"], r["chunk_id"]) for r in index.search(queries, 10, probes=99, skip_self=True).collect()}
+    assert whole == exact
+    one = index.search(queries.limit(1), 5, probes=1)
+    assert "PartitionFilters: [list_no" in one._jdf.queryExecution().toString() or "list_no" in one._jdf.queryExecution().toString()
+
+
+def test_inverted_index_on_the_tables(spark, tmp_path):
+    import os
+
+    from quillstone.operators.ann import InvertedIndex
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    corpus = spark.read.parquet(path).select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    queries = corpus.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    exact = {(r["query_id"], r["chunk_id"]) for r in retrieval.knn(corpus, queries, 10, skip_self=True).collect()}
+    index = InvertedIndex.build(corpus, f"{tmp_path}/index")
+    found = {(r["query_id"], r["chunk_id"]) for r in index.search(queries, 10, probes=30, skip_self=True).collect()}
+    print(len(exact & found) / len(exact), len(index.centroids))
+    assert len(exact & found) >= 0.9 * len(exact)
