@@ -54,7 +54,7 @@ def plain_score(model, text):
             w = w.lower()
             hash_ = lambda x: int(B.span_hash(B.prefix_hash(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0])
             features.add(hash_(w))
-            features |= {int(B.mix(np.array([hash_(w[:n]) ^ n], np.uint64))[0]) for n in toxicity.PREFIXES if len(w) > n}
+            features |= {int(B.mix(np.array([hash_(w[:n]) ^ n], np.uint64))[0]) for n in toxicity.PREFIXES}
         clean *= 1 / (1 + np.exp(model.bias + sum(weights.get(f, 0.0) for f in features)))
     return 1 - clean
 
@@ -65,8 +65,7 @@ def test_run_matches_plain_stages(spark, tables):
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
     rows = [(i, t) for i, t in rows if plain_score(model, t) < 0.5]
     assert all(i >= 200 or i % 5 for i, _ in rows) and len(rows) > 120
-    kept = lines_of(rows, 10)
-    rows = [(i, kept[i][2]) for i, _ in rows]
+    rows = [(i, text) for i, _, _, text in lines_of(rows, 10)]
     classes = classes_of(rows)
     rows = [(i, t) for i, t in rows if classes[i] == i]
     rows = [(i, t) for i, t in rows if ITEM not in t]
