@@ -279,8 +279,8 @@ class Encoder:
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
         return B.mix((prefix[cuts[1:]] - prefix[cuts[:-1]]) * down[cuts[:-1]] + np.diff(cuts).astype(np.uint64))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts and the number of each text's."""
+    def encode(self, texts: list[str], hashed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts and the number of each text's; with hashed, fragments of equal hashes are matched once."""
         marked = [f"▁{t.replace(' ', chr(SPACE))}" if t else "" for t in texts]
         sizes = np.array([len(t) for t in marked], np.int64)
         points = code_points("".join(marked))
@@ -292,6 +292,10 @@ class Encoder:
         begins = np.cumsum(sizes) - sizes
         cut[begins[sizes > 0]] = True
         cuts = np.append(np.flatnonzero(cut), len(points))
+        owner = np.searchsorted(np.cumsum(sizes), cuts[:-1], "right")
+        if not hashed:
+            tokens, count = self.encode_fragments(points, cuts)
+            return tokens, np.bincount(owner, count, len(texts)).astype(np.int64)
         keys = self.fragment_hashes(points, cuts)
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.seen, unique), max(len(self.seen) - 1, 0))
@@ -314,9 +318,32 @@ class Encoder:
         place = at[inverse]
         size = self.seen_size[place]
         out = self.seen_tokens[gather(self.seen_start[place], size)]
-        owner = np.searchsorted(np.cumsum(sizes), cuts[:-1], "right")
         return out, np.bincount(owner, size, len(texts)).astype(np.int64)
 
+    def round_trips(self, texts: list[str], tokens: np.ndarray, counts: np.ndarray) -> list[bool]:
+        """Whether each text's tokens decode to it."""
+        data, sizes = self.decode(tokens, counts)
+        raw, at, same = data.tobytes(), 0, []
+        for t, e in zip(texts, np.cumsum(sizes).tolist()):
+            same.append(raw[at:e] == t.replace("▁", " ").encode())
+            at = e
+        return same
+
+    def encode_sure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """As encode(), with round_trips(). Fragments that only share a hash would decode to each other: texts that fail are
+        encoded again without hashes."""
+        tokens, counts = self.encode(texts)
+        same = self.round_trips(texts, tokens, counts)
+        failed = [i for i, ok in enumerate(same) if not ok]
+        if failed:
+            parts = np.split(tokens, np.cumsum(counts)[:-1])
+            again, sizes = self.encode([texts[i] for i in failed], hashed=False)
+            for i, part in zip(failed, np.split(again, np.cumsum(sizes)[:-1])):
+                parts[i] = part
+            tokens, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            same = self.round_trips(texts, tokens, counts)
+        return tokens, counts, same
+
     def decode(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts and the number of each text's; the space put before a text is taken off."""
         size = self.raw_size[tokens]
@@ -362,14 +389,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep_ids: bool = True) -> DataFr
             _, offsets = B.flat(column)
             for i, j in B.slices(offsets, SLICE_CHARS):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
-                tokens, counts = coder.encode(texts)
-                data, sizes = coder.decode(tokens, counts)
-                ends = np.cumsum(sizes)
-                raw, at = data.tobytes(), 0
-                same = []
-                for t, e in zip(texts, ends.tolist()):
-                    same.append(raw[at:e] == t.replace("▁", " ").encode())
-                    at = e
+                tokens, counts, same = coder.encode_sure(texts)
                 stops = np.concatenate(([0], np.cumsum(counts)))
                 little = tokens.astype("<i4")
                 sums = [hashlib.sha256(little[a:b]).hexdigest() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]

@@ -187,15 +187,15 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(bad), pa.array(n.astype(np.int64))], ["feature", "toxic", "n"])
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
-    """docs with score, predicted, n_sentences and n_offending, and with spans also offending: array of (start, end, score), in code points."""
+def scored(docs: DataFrame, model: Model, text: str = "text", spans: bool = False, inside: str | None = None) -> DataFrame:
+    """docs (with inside, the text is a field of that struct) with score, predicted, n_sentences and n_offending, and with spans also offending: array of (start, end, score), in code points."""
     state = docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = state.value
         for batch in batches:
-            data, offsets = B.flat(batch.column(text))
+            data, offsets = B.flat(batch.column(text) if inside is None else batch.column(inside).field(text))
             scores, count, bad = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             where: list[list] = [[] for _ in range(batch.num_rows if spans else 0)]
             for i, j in B.slices(offsets):
@@ -230,6 +230,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs with their columns, without the documents that score least or more."""
     model = train(docs, labels)
-    slim = docs.withColumn("__text", F.col("text"))
-    out = scored(slim.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text")), model, "__text")
+    out = scored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")), model, inside="__row")
     return out.where(F.col("score") < least).select("__row.*")

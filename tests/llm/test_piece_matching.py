@@ -65,3 +65,13 @@ def test_query_rows(spark, library):
         assert digest == hashlib.sha256(np.array(want, "<i4").tobytes()).hexdigest()
     assert {r["doc_id"]: r["text"] for r in P.decode(out.where("doc_id is not null")).collect()}[1] == "the cat"
     assert P.encode(docs.limit(0)).count() == 0
+
+
+def test_fragments_that_share_a_hash_are_encoded_again(library, monkeypatch):
+    own = P.Encoder(P.load_pieces())
+    plain = P.Encoder.fragment_hashes
+    monkeypatch.setattr(P.Encoder, "fragment_hashes", lambda self, points, cuts: plain(self, points, cuts) % np.uint64(7))
+    texts = ["the cat sat on the mat", "", "another line of words", "the cat", "x" * 50, "é\n漢"]
+    tokens, counts, same = own.encode_sure(texts)
+    assert [p.tolist() for p in np.split(tokens, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts] and all(same)
+    assert not np.array_equal(own.encode(texts)[0], tokens)
