@@ -178,6 +178,11 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+def gathered(links: DataFrame) -> DataFrame:
+    """The links (a, b) of a wide map stage in partitions of the advised size, not a tiny file for each of its tasks."""
+    return links.hint("rebalance", F.col("a"))
+
+
 def compare_bucket(group: pa.Table, least: float) -> pa.RecordBatch | None:
     """Links (between classes) that a chunk pair of one bucket still lacks: documents of different classes are
     compared until their classes meet. Pairs with the bucket's hub have been compared before, and a pair of several
@@ -250,7 +255,7 @@ def classes(docs: DataFrame, least: float, count: int, order: int, k: int, chunk
         pairs = table(member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         words = table(word_table(docs, texts.join(ids, "node", "left_semi").select("node", "rep", "digest"), repeated))
-        label = components(verified(pairs, words, least), scratch)
+        label = components(gathered(verified(pairs, words, least)), scratch)
         named = label.select("node", F.col("component").alias("class"))
         classed = table(member.where("n > 2").join(named, "node", "left").select("key", "turn", "node", "hub", F.coalesce("class", "node").alias("class")))
         # buckets that hold several classes; of equal buckets that of the first sketch
@@ -264,7 +269,7 @@ def classes(docs: DataFrame, least: float, count: int, order: int, k: int, chunk
         level = F.slice("keys", ((F.floor(F.col("turn") / count) - F.col("level")) * count + 1).cast("int"), count)
         rows = rows.select("key", "i", "j", (F.col("turn") % count).alias("turn"), "node", "hub", "class", "part", "words", level.alias("keys"))
         rest = map_groups(rows, ["key", "i", "j"], lambda group: compare_bucket(group, least), "a long, b long")
-        joined = components(rest, scratch).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        joined = components(gathered(rest), scratch).select(F.col("node").alias("component"), F.col("component").alias("joined"))
         # a class of one text has no label yet; as a table joined's size is known, and beyond that of a broadcast
         # the labels of one giant class can be split
         merged = label.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("group"))

@@ -179,3 +179,28 @@ def test_one_giant_class_and_nothing_left_behind(spark):
     got = {r["doc_id"]: r["class_id"] for r in O.near_duplicates(docs, chunk=50).collect()}
     assert got == {i: 0 if i < 300 else i for i, _ in rows}
     assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"near"}
+
+
+def test_links_are_written_to_few_files(spark, monkeypatch):
+    """The links of many tasks are a few rows each: as many files would be written and read again."""
+    inputs = []
+    find = O.components
+
+    def recorded(edges, scratch):
+        inputs.append((edges.rdd.getNumPartitions(), edges.count()))
+        return find(edges, scratch)
+
+    monkeypatch.setattr(O, "components", recorded)
+    rows = corpus()
+    small = {"shuffle.partitions": "40", "autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.coalescePartitions.minPartitionSize": "1k", "adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), chunk=7).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert got == brute(rows)
+    assert len(inputs) == 2 and inputs[0][1] > 10
+    assert all(parts == 1 for parts, _ in inputs), inputs
