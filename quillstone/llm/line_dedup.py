@@ -152,9 +152,8 @@ def line_counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(keys), pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    again = cut_table(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
-        drop_table(again)
         counts = rows.mapInArrow(sums, "key binary, refs long")
     else:
         alone = rows.join(again, "doc_id", "left_anti").mapInArrow(sums, "key binary, refs long")
@@ -203,16 +202,23 @@ class LineIndex:
 
     @property
     def filters(self) -> DataFrame:
-        """(shard, bits): one cuckoo filter for each shard that has common keys."""
+        """(shard, bits): one cuckoo filter for each shard that has common keys; a table, for indexes that follow."""
         if self._filters is None:
-            def make(group: pa.Table) -> pa.RecordBatch:
-                table = CuckooFilter.of(halves(group.column("key").to_pylist())).table
-                return pa.RecordBatch.from_arrays([group.column("shard").combine_chunks().slice(0, 1), pa.array([table.tobytes()], pa.binary())], ["shard", "bits"])
-
-            keys = self.common.select(shard_of(self.shards).alias("shard"), "key")
-            self._filters = cut_table(map_groups(keys, ["shard"], make, "shard long, bits binary"), "filters")
+            self._filters = cut_table(self.lazy_filters(), "filters")
         return self._filters
 
+    def lazy_filters(self) -> DataFrame:
+        """The filters for one reading: no table is written for it, one that is there is read."""
+        if self._filters is not None:
+            return self._filters
+
+        def make(group: pa.Table) -> pa.RecordBatch:
+            table = CuckooFilter.of(halves(group.column("key").to_pylist())).table
+            return pa.RecordBatch.from_arrays([group.column("shard").combine_chunks().slice(0, 1), pa.array([table.tobytes()], pa.binary())], ["shard", "bits"])
+
+        keys = self.common.select(shard_of(self.shards).alias("shard"), "key")
+        return map_groups(keys, ["shard"], make, "shard long, bits binary")
+
     def changed(self, docs: DataFrame, sign: int) -> LineIndex:
         delta = line_counts(docs)
         counts = cut_table(merge_counts((self.counts, 1), (delta, sign)), "lines")
@@ -284,7 +290,7 @@ class LineIndex:
         spread = docs.sparkSession.createDataFrame([(s, int(n)) for s, n in enumerate(parts)], "shard long, n int")
         every = lambda own, kind: own.join(F.broadcast(spread), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("part"), F.lit(kind).cast("long").alias("kind"), F.lit(0).cast("long").alias("row"), "data")
         exact = self.common.select(shard_of(shards).alias("shard"), "key").groupBy("shard").agg(F.unhex(F.array_join(F.transform(F.collect_list("key"), F.hex), "")).alias("data"))
-        state_rows = every(self.filters.select("shard", F.col("bits").alias("data")), -1).union(every(exact, 0))
+        state_rows = every(self.lazy_filters().select("shard", F.col("bits").alias("data")), -1).union(every(exact, 0))
         found = map_groups(state_rows.union(asked), ["shard", "part"], probe, "row long, key binary")
         return found.groupBy("row").agg(F.collect_set("key").alias("gone"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -85,3 +86,19 @@ def test_stage_keeps_clashing_columns(spark):
     rows = L.drop_common_lines(docs)
     assert rows.schema.simpleString() == docs.schema.simpleString()
     assert {(r["text"], r["n_lines"], r["kept"], r["row"], r["n_dropped"]) for r in rows.collect()} == {(f"b{i}", 7, "mine", "r", 5) for i in range(12)}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_stage_writes_few_tables(spark, monkeypatch, repeated):
+    """Each file in a local folder starts a process, which a look at memory may take for the whole JVM once more."""
+    written = []
+    cut = L.cut_table
+    monkeypatch.setattr(L, "cut_table", lambda df, label: (written.append(label), cut(df, label))[1])
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/quillstone"
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    rows = [(i, f"Common line\nb{i}") for i in range(12)] + [(3, "solo\nCommon line")] * (3 * repeated)
+    got = sorted(tuple(r) for r in L.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((i, kept) for i, _, _, kept in brute(rows, L.THRESHOLD))
+    assert written == ["lines", "common-lines"]
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["common-lines"]
