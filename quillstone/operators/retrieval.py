@@ -8,16 +8,16 @@ vectors are taken in blocks.
 from __future__ import annotations
 
 import re
-import weakref
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -30,6 +30,10 @@ K1, B = 1.5, 0.75
 TERMS_BOUND = 500_000
 #: Query vectors of one block.
 VECTOR_BLOCK = 2048
+#: Hits that a task keeps at most, the best k of each query of a pass.
+HELD_BOUND = 500_000
+#: Numbers that a task works on at once: tokens, pairs of a posting and a query, scores.
+SLICE = 500_000
 
 
 def query_terms(queries: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -46,7 +50,7 @@ class Best:
     def __init__(self, n_queries: int, k: int):
         self.k, self.held, self.size = max(k, 0), [], 0
         self.floor = np.full(n_queries, -np.inf)
-        self.room = max(1_000_000, 4 * self.k * n_queries)
+        self.room = max(1 << 18, 2 * self.k * n_queries)
 
     def add(self, query: np.ndarray, score: np.ndarray, key: np.ndarray, doc: np.ndarray) -> None:
         good = score >= self.floor[query]
@@ -73,12 +77,6 @@ class Best:
         return self.held[0]
 
 
-def let_go(df: DataFrame) -> None:
-    """Unpersists df unless its session has ended."""
-    if df.sparkSession.sparkContext._jsc is not None:
-        df.unpersist()
-
-
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores where their scan has fewer partitions, as of one small file; large tables stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -89,10 +87,11 @@ class BM25Index:
     """BM25 (k1 1.5, b 0.75, ln(1 + (N - df + 0.5) / (df + 0.5))) over chunks (chunk_id, doc_id, text).
 
     Lengths come from the token arrays before anything is exploded. Up to TERMS_BOUND pairs of query
-    and term, which is counted, one pass over the corpus keeps the postings of the query terms, which
-    give the counts; then every task scores its own postings for all queries and keeps a running best
-    k, so k rows for each query and task are shuffled. Beyond the bound, the postings of query terms are
-    joined by shuffle. Terms without a match give no hit: zero scores never pad a result.
+    and term, which is counted, one pass over the corpus counts the documents of each query term; in a
+    second one every task scores its own postings for all queries and keeps a running best k, so k rows
+    for each query and task are shuffled. Batches are taken in slices of bounded size, so a task's memory
+    depends neither on the corpus nor on how often its words are asked for. Beyond the bound, the postings
+    of query terms are joined by shuffle. Terms without a match give no hit: zero scores never pad a result.
     """
 
     def __init__(self, chunks: DataFrame, stopwords: list[str] | None = None):
@@ -151,79 +150,127 @@ class BM25Index:
         scored = posted.crossJoin(F.broadcast(self.statistics())).select("term", "chunk_id", "doc_id", part.alias("part"))
         return scored.join(wanted, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
-    def posted(self, terms: list[str]) -> DataFrame:
-        """(chunk_id, doc_id, dl, place, tf) of chunks with any token: which of the sorted terms they hold, and how often; kept on disk."""
-        known = self.chunks.sparkSession.sparkContext.broadcast(terms)
+    def counts(self, known: Broadcast) -> tuple[int, int, np.ndarray]:
+        """Chunks with any token, their tokens in all, and how many chunks hold each of the sorted terms."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values = pa.array(known.value, pa.string())
-            for batch in batches:
-                lists = batch.column("tokens")
-                at = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy()
-                sizes = np.diff(lists.offsets.to_numpy())
-                row = np.repeat(np.arange(batch.num_rows), sizes)[at >= 0]
-                key, tf = np.unique(row * max(len(values), 1) + at[at >= 0], return_counts=True)
-                row, place = key // max(len(values), 1), key % max(len(values), 1)
-                offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-                columns = [batch.column("chunk_id"), batch.column("doc_id"), batch.column("dl")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], ["chunk_id", "doc_id", "dl", "place", "tf"])
+            terms, n, total = pa.array(known.value, pa.string()), 0, 0
+            df = np.zeros(len(terms), np.int64)
+            for held in postings_of(batches, terms):
+                n, total = n + len(held.dl), total + int(held.dl.sum())
+                df += np.bincount(held.term, minlength=len(df))
+            place = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-2, -1], place))), pa.array(np.concatenate(([n, total], df[place])))], ["place", "n"])
+
+        df = np.zeros(len(known.value) + 2)
+        for r in self.chunks.where("dl > 0").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            df[r["place"]] = r["n"]
+        return int(df[-2]), int(df[-1]), df[:-2]
+
+    def posted(self, known: Broadcast) -> DataFrame:
+        """(chunk_id, doc_id, dl, place, tf) of chunks with any token: which of the sorted terms they hold, and how often."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in postings_of(batches, pa.array(known.value, pa.string())):
+                offsets = pa.array(held.offsets.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (held.term, held.tf)]
+                yield pa.RecordBatch.from_arrays([held.rows.column("chunk_id"), held.rows.column("doc_id"), pa.array(held.dl.astype(np.int32)), *lists], ["chunk_id", "doc_id", "dl", "place", "tf"])
 
         types = {c: self.chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")}
-        out = self.chunks.where("dl > 0").mapInArrow(run, f"chunk_id {types['chunk_id']}, doc_id {types['doc_id']}, dl int, place array<int>, tf array<int>")
-        out = out.persist(StorageLevel.DISK_ONLY)
-        # results that were not read before the index goes are computed from the corpus again
-        weakref.finalize(self, let_go, out).atexit = False
-        return out
+        return self.chunks.where("dl > 0").mapInArrow(run, f"chunk_id {types['chunk_id']}, doc_id {types['doc_id']}, dl int, place array<int>, tf array<int>")
 
     def scored_here(self, queries: DataFrame, pairs: list, k: int, within: DataFrame | None = None) -> DataFrame:
-        """The best k and their ties of each task's chunks, for each query."""
+        """The best k and their ties of each task's chunks, for each query; one pass for all queries whose best k a task can hold."""
         spark, kind = self.chunks.sparkSession, queries.schema["query_id"].dataType
         terms = sorted({p["term"] for p in pairs})
         ids = list(dict.fromkeys(p["query_id"] for p in pairs))
-        posted = self.posted(terms)
-        n, total = posted.agg(F.count("*"), F.sum("dl")).first()
-        mean = total / n if n else 1.0
-        df = np.zeros(len(terms))
-        for r in posted.select(F.explode("place").alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect():
-            df[r["place"]] = r["df"]
+        known = spark.sparkContext.broadcast(terms)
+        n, total, df = self.counts(known)
+        mean, idf = total / n if n else 1.0, np.log(1 + (n - df + 0.5) / (df + 0.5))
         number = {t: i for i, t in enumerate(terms)}
         place = {q: i for i, q in enumerate(ids)}
-        by_term = sorted((number[p["term"]], place[p["query_id"]]) for p in pairs)
-        starts = np.searchsorted(np.array([t for t, _ in by_term], np.int64), np.arange(len(terms) + 1))
-        state = spark.sparkContext.broadcast((ids, np.log(1 + (n - df + 0.5) / (df + 0.5)), starts, np.array([q for _, q in by_term], np.int64)))
+        by_term = np.array(sorted((number[p["term"]], place[p["query_id"]]) for p in pairs), np.int64).reshape(-1, 2)
         types = {c: self.chunks.schema[c].dataType for c in ("chunk_id", "doc_id")}
+        schema = f"query_id {kind.simpleString()}, chunk_id {types['chunk_id'].simpleString()}, doc_id {types['doc_id'].simpleString()}, score double"
+        posted = self.posted(known).join(within.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "doc_id", "dl", "place", "tf") if within is not None else None
+        block, out = max(1, HELD_BOUND // max(k, 1)), None
+        for first in range(0, max(len(ids), 1), block):
+            own = by_term[(by_term[:, 1] >= first) & (by_term[:, 1] < first + block)]
+            starts = np.searchsorted(own[:, 0], np.arange(len(terms) + 1))
+            state = spark.sparkContext.broadcast((ids[first : first + block], idf, starts, own[:, 1] - first))
+
+            def run(batches: Iterator[pa.RecordBatch], state=state, fresh=within is None) -> Iterator[pa.RecordBatch]:
+                ids, idf, starts, asked = state.value
+                best = Best(len(ids), k)
+                for held in postings_of(batches, pa.array(known.value, pa.string())) if fresh else postings_again(batches):
+                    chunk, doc = (held.rows.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "doc_id"))
+                    for lo, found, query, score in scores_of(held, idf, mean, starts, asked, best):
+                        best.add(query, score, chunk[lo + found], doc[lo + found])
+                query, score, chunk, doc = best.rows() if best.held else (np.zeros(0, np.int64),) * 4
+                for s in range(0, len(query), 100_000):
+                    at = slice(s, s + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)).take(pa.array(query[at])), pa.array(chunk[at], to_arrow_type(types["chunk_id"])), pa.array(doc[at], to_arrow_type(types["doc_id"])), pa.array(score[at].astype(float))], ["query_id", "chunk_id", "doc_id", "score"])
+
+            part = (self.chunks.where("dl > 0") if posted is None else posted).mapInArrow(run, schema)
+            out = part if out is None else out.unionByName(part)
+        return out
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, idf, starts, asked = state.value
-            wide, fan, best = len(ids), np.diff(starts), Best(len(ids), k)
-            for batch in batches:
-                lists = batch.column("place")
-                terms_of, tf_of = lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
-                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                dl = batch.column("dl").to_numpy()
-                chunk, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "doc_id"))
-                step = max(1, min(1000, 2_000_000 // max(wide, 1)))
-                for lo in range(0, batch.num_rows, step):
-                    hi = min(lo + step, batch.num_rows)
-                    own = slice(offsets[lo], offsets[hi])
-                    row, term, tf = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), terms_of[own], tf_of[own]
-                    part = idf[term] * tf / (tf + K1 * (1 - B + B * dl[lo:hi][row] / mean))
-                    n = fan[term]
-                    ends = np.cumsum(n)
-                    query = asked[np.repeat(starts[term] - (ends - n), n) + np.arange(int(n.sum()))]
-                    score = np.bincount(np.repeat(row, n) * wide + query, np.repeat(part, n), (hi - lo) * wide).reshape(hi - lo, wide)
-                    # ties after rounding stay
-                    found, query = np.nonzero((score > 0) & (score >= best.floor - 1e-6))
-                    best.add(query, np.round(score[found, query], 6), chunk[lo + found], doc[lo + found])
-            query, score, chunk, doc = best.rows() if best.held else (np.zeros(0, np.int64),) * 4
-            for s in range(0, len(query), 100_000):
-                at = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)).take(pa.array(query[at])), pa.array(chunk[at], to_arrow_type(types["chunk_id"])), pa.array(doc[at], to_arrow_type(types["doc_id"])), pa.array(score[at].astype(float))], ["query_id", "chunk_id", "doc_id", "score"])
 
-        if within is not None:
-            posted = posted.join(within.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "doc_id", "dl", "place", "tf")
-        out = posted.mapInArrow(run, f"query_id {kind.simpleString()}, chunk_id {types['chunk_id'].simpleString()}, doc_id {types['doc_id'].simpleString()}, score double")
-        return out
+class Postings(NamedTuple):
+    """Rows of a slice, their lengths, and which terms each holds how often: those of row i are offsets[i] to offsets[i + 1]."""
+
+    rows: pa.RecordBatch
+    dl: np.ndarray
+    offsets: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+
+
+def steps(sizes: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Slices of consecutive rows of at most so many rows and the sum of at most most, one row at least."""
+    upto, lo = np.concatenate(([0], np.cumsum(sizes))), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(upto, upto[lo] + most, side="right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def postings_of(batches: Iterator[pa.RecordBatch], terms: pa.Array) -> Iterator[Postings]:
+    """Postings of the given terms in batches (chunk_id, doc_id, tokens, dl), from slices of at most SLICE tokens."""
+    width = max(len(terms), 1)
+    for batch in batches:
+        for lo, hi in steps(batch.column("dl").to_numpy(), SLICE, batch.num_rows):
+            part = batch.slice(lo, hi - lo)
+            lists = part.column("tokens")
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy()
+            row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))[at >= 0]
+            key, tf = np.unique(row * width + at[at >= 0], return_counts=True)
+            yield Postings(part.drop_columns(["tokens"]), part.column("dl").to_numpy(), np.searchsorted(key // width, np.arange(part.num_rows + 1)), key % width, tf)
+
+
+def postings_again(batches: Iterator[pa.RecordBatch]) -> Iterator[Postings]:
+    """Postings out of the batches that BM25Index.posted() made of them."""
+    for batch in batches:
+        lists = batch.column("place")
+        offsets = lists.offsets.to_numpy()
+        yield Postings(batch, batch.column("dl").to_numpy(), offsets - offsets[0], lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy())
+
+
+def scores_of(held: Postings, idf: np.ndarray, mean: float, starts: np.ndarray, asked: np.ndarray, best: Best) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row in the slice, query, score) of what may be among the best, in steps of at most SLICE pairs of a posting and a query that asks for it."""
+    fan, wide = np.diff(starts), len(best.floor)
+    pairs = np.diff(np.concatenate(([0], np.cumsum(fan[held.term])))[held.offsets])
+    for lo, hi in steps(pairs, SLICE, max(1, SLICE // max(wide, 1))):
+        own = slice(held.offsets[lo], held.offsets[hi])
+        row, term, tf = np.repeat(np.arange(hi - lo), np.diff(held.offsets[lo : hi + 1])), held.term[own], held.tf[own]
+        part = idf[term] * tf / (tf + K1 * (1 - B + B * held.dl[lo:hi][row] / mean))
+        n = fan[term]
+        ends = np.cumsum(n)
+        query = asked[np.repeat(starts[term] - (ends - n), n) + np.arange(int(n.sum()))]
+        score = np.bincount(np.repeat(row, n) * wide + query, np.repeat(part, n), (hi - lo) * wide).reshape(hi - lo, wide)
+        # ties after rounding stay
+        found, query = np.nonzero((score > 0) & (score >= best.floor - 1e-6))
+        yield lo, found, query, np.round(score[found, query], 6)
 
 
 def fielded_search(rows: DataFrame, key: str, fields: list[str], queries: DataFrame, k: int = 10) -> DataFrame:

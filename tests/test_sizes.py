@@ -1,8 +1,14 @@
 """Results on odd letters, and memory of a task that is bounded whatever its batches, queries and words."""
 
+import random
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from quillstone.operators import retrieval
 from quillstone.plans import derived
 
 LETTERS = "aßŉǰΐᾀᾈᾳᾼῃῳﬁﬀևẞéΑiıſµ\U00010428\n"
@@ -18,3 +24,69 @@ def test_letters_without_a_single_capital(spark, tmp_path, name):
     columns = [c[0] for c in want.description]
     got = derived.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
     assert sorted(tuple(r) for r in got) == sorted(want.fetchall())
+
+
+@pytest.fixture
+def python_mb(spark, monkeypatch):
+    """MB at most that numpy and Python hold while a step in Python works off its rows in one batch; the steps are those made since."""
+    frame, calls = type(spark.range(1)), []
+    for name in ("mapInArrow", "mapInPandas"):
+        made = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, fn, *a, made=made, name=name, **k: (calls.append((self, fn, name)), made(self, fn, *a, **k))[1])
+
+    def peak(at: int) -> float:
+        rows, fn, name = calls[at]
+        table = rows.toArrow().combine_chunks()
+        batches = [table.to_pandas()] if name == "mapInPandas" else table.to_batches()
+        tracemalloc.start()
+        try:
+            for _ in fn(iter(batches)):
+                pass
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    return peak
+
+
+def test_words_that_all_queries_ask_for(spark, python_mb):
+    """8 million pairs of a posting and a query that asks for it, in one batch."""
+    r, words = random.Random(5), [f"w{i}" for i in range(40)]
+    chunks = spark.createDataFrame([(i, i, " ".join(r.sample(words, 40))) for i in range(1000)], "chunk_id long, doc_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(words)) for q in range(200)], "query_id long, text string")
+    hits = retrieval.BM25Index.build(chunks).search(queries, 3)
+    assert python_mb(-1) < 100
+    assert [(r["rank"], r["chunk_id"]) for r in hits.where("query_id = 7").orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_passes_of_few_queries_agree(spark, monkeypatch):
+    r = random.Random(6)
+    text = lambda n: " ".join(f"w{int(r.random() ** 2 * 60)}" for _ in range(n))
+    chunks = spark.createDataFrame([(i, i // 2, text(r.randint(0, 40))) for i in range(300)], "chunk_id long, doc_id long, text string")
+    queries = spark.createDataFrame([(q, text(6)) for q in range(23)], "query_id long, text string")
+    within = chunks.where("chunk_id % 3 > 0")
+    found = lambda: [sorted(map(tuple, retrieval.BM25Index.build(chunks).search(queries, 4, within=w).collect())) for w in (None, within)]
+    whole = found()
+    monkeypatch.setattr(retrieval, "HELD_BOUND", 20)
+    assert found() == whole
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_slices_of_few_tokens_and_pairs_agree(monkeypatch, size):
+    r = random.Random(7)
+    lists = [[f"w{r.randrange(9)}" for _ in range(r.choice([1, 2, 30]))] for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"chunk_id": range(50), "doc_id": range(50), "tokens": lists, "dl": pa.array(map(len, lists), pa.int32())})
+    # w0, w2, w4 and w6 are asked for by queries 0 and 1, 1, none, and 0, 1 and 2
+    terms, starts, asked = pa.array(["w0", "w2", "w4", "w6"]), np.array([0, 2, 3, 3, 6]), np.array([0, 1, 1, 0, 1, 2])
+
+    def found():
+        best = retrieval.Best(3, 4)
+        for held in retrieval.postings_of(iter([batch.slice(0, 20), batch.slice(20)]), terms):
+            for lo, row, query, score in retrieval.scores_of(held, np.array([1.0, 2.0, 3.0, 0.5]), 9.0, starts, asked, best):
+                key = held.rows.column("chunk_id").to_numpy()[lo + row]
+                best.add(query, score, key, key)
+        return [x.tolist() for x in best.rows()]
+
+    whole = found()
+    monkeypatch.setattr(retrieval, "SLICE", size)
+    assert found() == whole and len(whole[0]) == 12
