@@ -133,25 +133,30 @@ class BM25Index:
         df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
         return tf.join(df, "term")
 
-    def search(self, queries: DataFrame, k: int = 10, run: str = "bm25", within: DataFrame | None = None) -> DataFrame:
-        """hits of queries (query_id, text, ...), the best k of each; of the chunks of within (chunk_id) only, if given, under statistics of all."""
+    def search(self, queries: DataFrame, k: int = 10, run: str = "bm25", within: DataFrame | None = None, by: str = "bm25") -> DataFrame:
+        """hits of queries (query_id, text, ...), the best k of each; of the chunks of within (chunk_id) only, if given, under statistics of all.
+
+        by "terms" the score is the number of distinct query terms that a chunk holds.
+        """
+        if by not in ("bm25", "terms"):
+            raise ValueError(f"unknown score: {by}")
         wanted = query_terms(queries, self.stopwords)
         pairs = wanted.limit(TERMS_BOUND + 1).collect()
-        scored = self.scored_here(queries, pairs, k, within) if len(pairs) <= TERMS_BOUND else self.scored_by_join(wanted, within)
+        scored = self.scored_here(queries, pairs, k, within, by) if len(pairs) <= TERMS_BOUND else self.scored_by_join(wanted, within, by)
         hits = top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
         return hits.select("query_id", F.lit(run).alias("run"), "rank", "chunk_id", "doc_id", "score")
 
-    def scored_by_join(self, wanted: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    def scored_by_join(self, wanted: DataFrame, within: DataFrame | None = None, by: str = "bm25") -> DataFrame:
         posted = self.postings(wanted.select("term").distinct())
         if within is not None:
             posted = posted.join(within.select("chunk_id"), "chunk_id", "left_semi")
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) if by == "bm25" else F.lit(1.0)
         scored = posted.crossJoin(F.broadcast(self.statistics())).select("term", "chunk_id", "doc_id", part.alias("part"))
         return scored.join(wanted, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
-    def counts(self, known: Broadcast) -> tuple[int, int, np.ndarray]:
-        """Chunks with any token, their tokens in all, and how many chunks hold each of the sorted terms."""
+    def weights(self, known: Broadcast) -> tuple[float, np.ndarray]:
+        """The mean length of chunks with any token, and idf of each of the sorted terms."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms, n, total = pa.array(known.value, pa.string()), 0, 0
@@ -165,7 +170,8 @@ class BM25Index:
         df = np.zeros(len(known.value) + 2)
         for r in self.chunks.where("dl > 0").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
             df[r["place"]] = r["n"]
-        return int(df[-2]), int(df[-1]), df[:-2]
+        n, df, total = df[-2], df[:-2], df[-1]
+        return total / n if n else 1.0, np.log(1 + (n - df + 0.5) / (df + 0.5))
 
     def posted(self, known: Broadcast) -> DataFrame:
         """(chunk_id, doc_id, dl, place, tf) of chunks with any token: which of the sorted terms they hold, and how often."""
@@ -179,14 +185,13 @@ class BM25Index:
         types = {c: self.chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")}
         return self.chunks.where("dl > 0").mapInArrow(run, f"chunk_id {types['chunk_id']}, doc_id {types['doc_id']}, dl int, place array<int>, tf array<int>")
 
-    def scored_here(self, queries: DataFrame, pairs: list, k: int, within: DataFrame | None = None) -> DataFrame:
+    def scored_here(self, queries: DataFrame, pairs: list, k: int, within: DataFrame | None = None, by: str = "bm25") -> DataFrame:
         """The best k and their ties of each task's chunks, for each query; one pass for all queries whose best k a task can hold."""
         spark, kind = self.chunks.sparkSession, queries.schema["query_id"].dataType
         terms = sorted({p["term"] for p in pairs})
         ids = list(dict.fromkeys(p["query_id"] for p in pairs))
         known = spark.sparkContext.broadcast(terms)
-        n, total, df = self.counts(known)
-        mean, idf = total / n if n else 1.0, np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean, idf = self.weights(known) if by == "bm25" else (None, np.ones(len(terms)))
         number = {t: i for i, t in enumerate(terms)}
         place = {q: i for i, q in enumerate(ids)}
         by_term = np.array(sorted((number[p["term"]], place[p["query_id"]]) for p in pairs), np.int64).reshape(-1, 2)
@@ -256,14 +261,14 @@ def postings_again(batches: Iterator[pa.RecordBatch]) -> Iterator[Postings]:
         yield Postings(batch, batch.column("dl").to_numpy(), offsets - offsets[0], lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy())
 
 
-def scores_of(held: Postings, idf: np.ndarray, mean: float, starts: np.ndarray, asked: np.ndarray, best: Best) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row in the slice, query, score) of what may be among the best, in steps of at most SLICE pairs of a posting and a query that asks for it."""
+def scores_of(held: Postings, idf: np.ndarray, mean: float | None, starts: np.ndarray, asked: np.ndarray, best: Best) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row in the slice, query, score) of what may be among the best, in steps of at most SLICE pairs of a posting and a query that asks for it. Without a mean length a term's weight is its idf alone."""
     fan, wide = np.diff(starts), len(best.floor)
     pairs = np.diff(np.concatenate(([0], np.cumsum(fan[held.term])))[held.offsets])
     for lo, hi in steps(pairs, SLICE, max(1, SLICE // max(wide, 1))):
         own = slice(held.offsets[lo], held.offsets[hi])
         row, term, tf = np.repeat(np.arange(hi - lo), np.diff(held.offsets[lo : hi + 1])), held.term[own], held.tf[own]
-        part = idf[term] * tf / (tf + K1 * (1 - B + B * held.dl[lo:hi][row] / mean))
+        part = idf[term] if mean is None else idf[term] * tf / (tf + K1 * (1 - B + B * held.dl[lo:hi][row] / mean))
         n = fan[term]
         ends = np.cumsum(n)
         query = asked[np.repeat(starts[term] - (ends - n), n) + np.arange(int(n.sum()))]

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from quillstone.operators import retrieval
-from quillstone.plans import derived
+from quillstone.plans import catalog, derived
 
 LETTERS = "aßŉǰΐᾀᾈᾳᾼῃῳﬁﬀևẞéΑiıſµ\U00010428\n"
 
@@ -90,3 +90,45 @@ def test_slices_of_few_tokens_and_pairs_agree(monkeypatch, size):
     whole = found()
     monkeypatch.setattr(retrieval, "SLICE", size)
     assert found() == whole and len(whole[0]) == 12
+
+
+def rows_made(df) -> int:
+    """Rows that any operator of the plan put out, at most."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if (metrics := node.metrics()).contains("numOutputRows"):
+            most = max(most, metrics.apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+    return most
+
+
+def test_second_run_keeps_the_best_of_each_task(spark, tmp_path):
+    """No row for each document and each query that shares a word with it."""
+    r = random.Random(9)
+    texts = [" ".join(["the", *(f"w{r.randrange(30)}" for _ in range(6))]) for _ in range(2000)]
+    asked = [" ".join(["The", "the", *(f"w{r.randrange(30)}" for _ in range(4))]) for _ in range(50)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits = catalog.shared_terms(spark, str(tmp_path), 5)
+    assert rows_made(hits) < 10_000
+    words = [set(t.split()) for t in texts]
+    want = set()
+    for q, text in enumerate(asked):
+        scores = sorted((-float(len(w & set(text.lower().split()))), d) for d, w in enumerate(words))
+        want |= {(q, "terms", i + 1, d, d, -s) for i, (s, d) in enumerate(scores[:5])}
+    assert {tuple(x) for x in hits.collect()} == want
+
+
+def test_both_ways_of_shared_terms_agree(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, i % 7, f"a{i % 3} b{i % 4} b{i % 4} c{i % 5}") for i in range(60)] + [(999, 1, None)], "chunk_id long, doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"a{i % 3} c{i % 5} c{i % 2} absent") for i in range(9)] + [(50, "")], "query_id long, text string")
+    found = lambda: sorted(map(tuple, retrieval.BM25Index.build(chunks).search(queries, 5, by="terms").collect()))
+    here = found()
+    monkeypatch.setattr(retrieval, "TERMS_BOUND", 3)
+    assert here == found() and len(here) == 45
+    with pytest.raises(ValueError):
+        retrieval.BM25Index.build(chunks).search(queries, 5, by="words")
