@@ -298,9 +298,9 @@ def vector_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, np.nda
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, run: str = "dense", normalize: bool = True, skip_self: bool = False, scope: str | None = None) -> DataFrame:
     """Exact inner-product search of queries (query_id, vector) in corpus (chunk_id, doc_id, vector): hits.
 
-    Each task multiplies its batches with a block of queries and keeps a running best k of each query, so
-    what is shuffled is k rows for each query and task. normalize makes it cosine. scope names a column of
-    both sides whose values have to be equal.
+    Each task multiplies slices of its batches with a block of queries, a million scores at once, and keeps a
+    running best k of each query, so what is shuffled is k rows for each query and task. normalize makes it
+    cosine. scope names a column of both sides whose values have to be equal.
     """
     spark = corpus.sparkSession
     out = None
@@ -312,25 +312,20 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, run: str = "dense",
         def run_block(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             ids, matrix, scopes = state.value
             best = Best(len(ids), k)
-            for batch in batches:
-                lists = batch.column("vector")
-                keep = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == matrix.shape[1]) if not lists.null_count else np.array([i for i in range(len(lists)) if lists[i].is_valid and len(lists[i]) == matrix.shape[1]], np.int64)
-                if not len(keep):
-                    continue
-                own = lists.take(pa.array(keep))
-                rows = own.flatten().to_numpy(zero_copy_only=False).reshape(len(keep), -1)
-                chunk, doc, here = (batch.column(c).to_numpy()[keep] for c in ("chunk_id", "doc_id", "scope"))
-                scores = np.round(matrix @ (unit_rows(rows) if normalize else rows).T, 6)
+            for rows, part in vectors_of(batches, matrix.shape[1], max(1, 2 * SLICE // len(ids))):
+                chunk, doc, here = (part.column(c).to_numpy() for c in ("chunk_id", "doc_id", "scope"))
+                scores = matrix @ (unit_rows(rows) if normalize else rows).T
+                np.round(scores, 6, out=scores)
+                scores[~np.isfinite(scores)] = -np.inf
                 if skip_self:
                     scores[ids[:, None] == chunk[None, :]] = -np.inf
                 if scope:
                     scores[scopes[:, None] != here[None, :]] = -np.inf
+                least = best.floor
                 if scores.shape[1] > k > 0:
-                    # of a batch the best k of a query and their ties
-                    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    q, at = np.nonzero((scores >= np.maximum(least, best.floor)[:, None]) & np.isfinite(scores))
-                else:
-                    q, at = np.nonzero(np.isfinite(scores))
+                    # of a slice the best k of a query and their ties
+                    least = np.maximum(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+                q, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
                 best.add(q, scores[q, at], chunk[at], doc[at])
             if best.held:
                 q, score, chunk, doc = best.rows()
@@ -344,6 +339,16 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, run: str = "dense",
     return hits.select("query_id", F.lit(run).alias("run"), "rank", "chunk_id", "doc_id", "score")
 
 
+def vectors_of(batches: Iterator[pa.RecordBatch], dims: int, most: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Vectors of so many components, and their rows, in slices of at most most rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, most):
+            part = batch.slice(lo, most)
+            part = part.filter(pc.fill_null(pc.equal(pc.list_value_length(part.column("vector")), dims), False))
+            if part.num_rows:
+                yield part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims), part
+
+
 def unit_rows(rows: np.ndarray) -> np.ndarray:
     norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, norm, out=rows.astype(float).copy(), where=norm > 0)
@@ -353,7 +358,7 @@ def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, run: st
     """Late interaction: for each query token the largest inner product with a document's tokens, summed.
 
     doc_tokens (doc_id, vector), query_tokens (query_id, token_no, vector). Maxima are taken within
-    batches first and combined map-side, so no document's tokens need to meet in one task.
+    slices of batches first and combined map-side, so no document's tokens need to meet in one task.
     """
     spark = doc_tokens.sparkSession
     numbered = query_tokens.select(F.struct("query_id", "token_no").alias("query_id"), "vector")
@@ -363,11 +368,8 @@ def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, run: st
 
         def run_block(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             query, token, matrix = state.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                doc = batch.column("doc_id").to_numpy()
+            for rows, part in vectors_of(batches, matrix.shape[1], max(1, 4 * SLICE // len(query))):
+                doc = part.column("doc_id").to_numpy()
                 order = np.argsort(doc, kind="stable")
                 starts = np.flatnonzero(np.concatenate(([True], doc[order][1:] != doc[order][:-1])))
                 best = np.maximum.reduceat(matrix @ rows[order].T, starts, axis=1)

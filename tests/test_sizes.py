@@ -132,3 +132,38 @@ def test_both_ways_of_shared_terms_agree(spark, monkeypatch):
     assert here == found() and len(here) == 45
     with pytest.raises(ValueError):
         retrieval.BM25Index.build(chunks).search(queries, 5, by="words")
+
+
+@pytest.mark.parametrize("search", ["knn", "scoped", "max_sim"])
+def test_many_vectors_in_one_batch(spark, python_mb, search):
+    rng = np.random.default_rng(10)
+    rows = pa.table({"chunk_id": np.arange(6000), "doc_id": np.arange(6000) // 20, "label": np.arange(6000) % 7, "vector": pa.array(list(rng.standard_normal((6000, 8))))})
+    corpus = spark.createDataFrame(rows)
+    queries = corpus.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    if search == "max_sim":
+        hits = retrieval.max_sim(corpus, queries.selectExpr("query_id % 9 as query_id", "query_id as token_no", "vector"), 2)
+    else:
+        hits = retrieval.knn(corpus, queries, 4, skip_self=True, scope="label" if search == "scoped" else None)
+    assert python_mb(-1) < 80
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 4)) for r in hits.collect())
+    unit = (v := np.array(rows["vector"].to_pylist())) / np.linalg.norm(v, axis=1, keepdims=True)
+    asked, want = np.arange(0, 6000, 3), []
+    if search == "max_sim":
+        best = (v[asked] @ v.T).reshape(len(asked), 300, 20).max(axis=2)
+        for q in (0, 3, 6):
+            score = best[asked % 9 == q].sum(axis=0)
+            want += [(q, i + 1, d, round(score[d], 4)) for i, d in enumerate(np.argsort(-score.round(6), kind="stable")[:2])]
+    else:
+        score = unit[asked] @ unit.T
+        score[np.arange(len(asked)), asked] = -9
+        if search == "scoped":
+            score[asked[:, None] % 7 != np.arange(6000)[None, :] % 7] = -9
+        want += [(q, i + 1, d, round(score[n, d], 4)) for n, q in enumerate(asked) for i, d in enumerate(np.argsort(-score[n].round(6), kind="stable")[:4])]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=2e-4)
+
+
+def test_vectors_with_missing_components_hide_no_other(spark):
+    rows = [(i, i, [float(i), 1.0]) for i in range(1, 9)] + [(i, i, [None, 1.0]) for i in range(9, 15)] + [(20, 20, None), (21, 21, [1.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, doc_id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert [r["chunk_id"] for r in retrieval.knn(corpus, queries, 3).orderBy("rank").collect()] == [8, 7, 6]
