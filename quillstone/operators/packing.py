@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,20 +89,39 @@ def split_at_spaces(frames: DataFrame, size: int, text: str = "text") -> DataFra
     """Parts of at most size characters, cut at the last space past the half where there is one: adds part_no, part."""
 
     def parts(value: str) -> list[str]:
-        out, rest = [], (value or "").strip()
-        while len(rest) > size:
-            at = rest.rfind(" ", 0, size + 1)
-            at = at if at > size // 2 else size
-            out.append(rest[:at].strip())
-            rest = rest[at:].strip()
-        return [*out, rest] if rest else out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            yield df.assign(part=df[text].map(parts))
+        out, rest, lo = [], (value or "").strip(), 0
+        while len(rest) - lo > size:
+            at = rest.rfind(" ", lo, lo + size + 1)
+            at = at if at - lo > size // 2 else lo + size
+            out.append(rest[lo:at].strip())
+            while rest[at].isspace():
+                at += 1
+            lo = at
+        return [*out, rest[lo:]] if rest else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in slices(batch, text):
+                lists = pa.array([parts(x) for x in few.column(text).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*few.columns, lists], [*few.schema.names, "part"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
-    return frames.mapInPandas(run, f"{fields}, part array<string>").select(*frames.columns, F.posexplode("part").alias("part_no", "part"))
+    return frames.mapInArrow(run, f"{fields}, part array<string>").select(*frames.columns, F.posexplode("part").alias("part_no", "part"))
+
+
+#: Bytes of text that a task splits at once.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of at most SLICE_BYTES of text, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def overflow_order(rows: DataFrame, by: list[str], order: list[Column], budget: int, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillstone.operators import retrieval
+from quillstone.operators import packing, retrieval
 from quillstone.plans import catalog, derived
 
 LETTERS = "aßŉǰΐᾀᾈᾳᾼῃῳﬁﬀևẞéΑiıſµ\U00010428\n"
@@ -167,3 +167,25 @@ def test_vectors_with_missing_components_hide_no_other(spark):
     corpus = spark.createDataFrame(rows, "chunk_id long, doc_id long, vector array<double>").coalesce(1)
     queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>")
     assert [r["chunk_id"] for r in retrieval.knn(corpus, queries, 3).orderBy("rank").collect()] == [8, 7, 6]
+
+
+def test_many_texts_to_split_in_one_batch(spark, python_mb):
+    """32 MB of text in one batch, with columns of its own kinds; parts as a plain loop cuts them."""
+    r = random.Random(11)
+    pool = [" ".join("x" * r.choice([1, 3, 9, 400]) for _ in range(40)) for _ in range(50)]
+    texts = [f" \n{r.choice(pool)}　 {r.choice(pool)} \t" for _ in range(12_000)] + ["", None, "   ", "ü" * 1500]
+    rows = spark.createDataFrame(pa.table({"id": np.arange(len(texts)), "text": texts})).selectExpr("*", "timestamp'2020-01-01' + make_interval(0, 0, 0, id) as ts", "array(id) as ids")
+    parts = packing.split_at_spaces(rows, 600)
+    assert python_mb(-1) < 40
+
+    def plain(text):
+        out, rest = [], (text or "").strip()
+        while len(rest) > 600:
+            at = rest.rfind(" ", 0, 601)
+            at = at if at > 300 else 600
+            out.append(rest[:at].strip())
+            rest = rest[at:].strip()
+        return [*out, rest] if rest else out
+
+    got = sorted((x["id"], x["part_no"], x["part"]) for x in parts.where("id % 50 = 0 or id >= 12000").collect())
+    assert got == [(i, n, p) for i, t in enumerate(texts) if i % 50 == 0 or i >= 12000 for n, p in enumerate(plain(t))]
